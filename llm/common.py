@@ -1,0 +1,42 @@
+"""Shared helpers: table access, the shared folder for written tables, and argument checks."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, which the session names in spark.checkpoint.dir.
+
+    Only where that is unset (a local session, as in tests) is a temporary folder made and set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='llm-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df, written as Parquet in the shared folder and read again: cuts the lineage and outlives executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def row_hash(*columns: str) -> Column:
+    """A hash of the named columns; with the id it tells rows apart, so rows that agree in both are the same row repeated."""
+    return F.xxhash64(*[F.col(c) for c in columns])

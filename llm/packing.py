@@ -1,0 +1,94 @@
+"""Packing by power-of-two decomposition: no sequence crosses documents.
+
+A document of n tokens is cut, from its start, into n // L pieces of the longest length L, then into
+one piece for each set bit of the remainder, longest first. Equal lengths share a bucket, and every
+piece has its place in its bucket, so that batches of equal-length sequences can be read straight off.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .common import table
+
+TOKEN = r"[^ \t\n\r\f]+[ \t\n\r\f]*|^[ \t\n\r\f]+"
+MAX_LENGTH = 2048
+BATCH_TOKENS = 65536
+
+
+def tokens(text: Column) -> Column:
+    """Words with the white space after them; white space at the start is a token. Joined, they give the text again."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
+def pack(docs: DataFrame, max_length: int = MAX_LENGTH, batch_tokens: int = BATCH_TOKENS, run: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each piece: doc_id, piece (from 0 in the document), start, length, place (from 0 in the bucket), batch, text.
+
+    `place` follows (doc_id with null first, text, start) among all pieces of one length; a batch holds
+    batch_tokens // length places of one bucket. Neither is found by a global sort: documents are ranked
+    inside runs of `run` ids, and the runs' totals are summed over, so a bucket is never in one task.
+
+    Null and empty texts have no pieces. A null doc_id is kept and sorts first. A repeated row is packed
+    each time that it occurs. Other columns are ignored. An empty table gives no rows.
+    """
+    top = max_length.bit_length() - 1
+    if 1 << top != max_length:
+        raise ValueError("max_length must be a power of two")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("text <> ''")
+    counted = base.withColumns({"n": F.size(tokens(F.col("text"))), "run": F.coalesce(F.floor(F.col("doc_id") / run), F.lit(-(1 << 62)))})
+
+    def count(k: int) -> Column:
+        bits = F.shiftright("n", k)
+        return (bits if k == top else bits.bitwiseAND(F.lit(1))).cast("long")
+
+    sizes = range(top + 1)
+    totals = counted.groupBy("run").agg(*[F.sum(count(k)).alias(f"c{k}") for k in sizes])
+    long = totals.select("run", F.posexplode(F.array(*[f"c{k}" for k in sizes])).alias("k", "c"))
+    before = long.select("run", "k", (F.sum("c").over(Window.partitionBy("k").orderBy("run")) - F.col("c")).alias("b"))
+    offsets = before.groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "b"))), lambda x: x["b"]).alias("offset"))
+    order = Window.partitionBy("run").orderBy(F.asc_nulls_first("doc_id"), "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("within", F.array(*[F.sum(count(k)).over(order) - count(k) for k in sizes])).join(offsets, "run")
+    full = F.shiftright("n", top)
+    # (k, start, index among the document's pieces of that length)
+    bits = F.filter(
+        F.array(*[F.struct(F.lit(k).alias("k"), F.shiftleft(F.shiftright("n", k + 1), k + 1).alias("start"), F.when(count(k) == 1, 0).alias("i")) for k in reversed(range(top))]),
+        lambda x: x["i"].isNotNull(),
+    )
+    longest = F.transform(F.sequence(F.lit(0), full - 1), lambda i: F.struct(F.lit(top).alias("k"), (i * max_length).alias("start"), i.alias("i")))
+    pieces = F.when(full > 0, F.concat(longest, bits)).otherwise(bits) if top else longest
+    cut = ranked.select("doc_id", tokens(F.col("text")).alias("tokens"), "within", "offset", F.posexplode(pieces).alias("piece", "p"))
+    length = F.call_function("shiftleft", F.lit(1), F.col("p.k"))
+    place = F.element_at("offset", F.col("p.k") + 1) + F.element_at("within", F.col("p.k") + 1) + F.col("p.i")
+    return cut.select(
+        "doc_id",
+        F.col("piece").cast("long").alias("piece"),
+        F.col("p.start").cast("long").alias("start"),
+        length.cast("long").alias("length"),
+        place.alias("place"),
+        F.floor(place / F.floor(F.greatest(F.lit(batch_tokens), length) / length)).alias("batch"),
+        F.array_join(F.slice("tokens", F.col("p.start") + 1, length), "").alias("text"),
+    )
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+SQL = rf"""
+with counted as (
+  select doc_id, text, regexp_extract_all(text, '{TOKEN}') as tokens from documents where text <> ''
+), sized as (select *, len(tokens) as n from counted
+), cut as (
+  select doc_id, tokens, i * {MAX_LENGTH} as start, {MAX_LENGTH} as length, text from sized, unnest(range(n // {MAX_LENGTH})) as u(i)
+  union all
+  select doc_id, tokens, (n >> (k + 1)) << (k + 1), 1 << k, text from sized, unnest(range({MAX_LENGTH.bit_length() - 1})) as u(k) where (n >> k) & 1 = 1
+), placed as (
+  select *, row_number() over (partition by length order by doc_id nulls first, text, start) - 1 as place,
+    row_number() over (partition by doc_id, text order by start) - 1 as piece from cut
+)
+select doc_id, cast(piece as bigint) as piece, cast(start as bigint) as start, cast(length as bigint) as length, cast(place as bigint) as place,
+  cast(place // greatest({BATCH_TOKENS} // length, 1) as bigint) as batch,
+  array_to_string(list_slice(tokens, start + 1, start + length), '') as text
+from placed
+"""

@@ -1,0 +1,17 @@
+"""The queries of this subpackage, for __spark_entry__.py."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import packing
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": packing.query,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_packing": packing.SQL,
+}
