@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import langid, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": packing.query,
+    "op7_quality": quality.query,
+    "op9_langid": langid.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
