@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +43,44 @@ def written(df: DataFrame) -> DataFrame:
 def row_hash(*columns: str) -> Column:
     """A hash of the named columns; with the id it tells rows apart, so rows that agree in both are the same row repeated."""
     return F.xxhash64(*[F.col(c) for c in columns])
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length as bytes: their count, then one after the other."""
+    return b"".join([len(columns[0]).to_bytes(8, "little"), *[np.ascontiguousarray(c).tobytes() for c in columns]])
+
+
+def unpacked(blobs: Iterable[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The columns of packed blobs, joined."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    for blob in blobs:
+        n, at = int.from_bytes(blob[:8], "little"), 8
+        for out, k in zip(parts, kinds, strict=True):
+            out.append(np.frombuffer(blob, k, n, at))
+            at += n * np.dtype(k).itemsize
+    return [np.concatenate(p) for p in parts]
+
+
+def split(part: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The columns' rows as one row (part, blob) for each part that has any."""
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts))
+    sorted_columns = [c[order] for c in columns]
+    keys, blobs, lo = [], [], 0
+    for k, hi in enumerate(ends.tolist()):
+        if hi > lo:
+            keys.append(k)
+            blobs.append(packed(*[c[lo:hi] for c in sorted_columns]))
+        lo = hi
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+
+def exchange(df: DataFrame, mapper: Callable, reducer: Callable[[Iterator[bytes]], pa.Table], schema: str) -> DataFrame:
+    """mapper turns Arrow batches of df into rows (part, blob), as from split(); reducer turns all blobs of one part into rows of `schema`.
+
+    A blob holds some ten thousand records, so the shuffle moves few rows and no task works record by record."""
+
+    def reduce(table: pa.Table) -> pa.Table:
+        return reducer(x.as_py() for x in table.column("blob"))
+
+    return df.mapInArrow(mapper, "part int, blob binary").groupBy("part").applyInArrow(reduce, schema)

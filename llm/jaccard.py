@@ -1,0 +1,328 @@
+"""Set-similarity self-join on word n-grams, by rare-first prefix filtering.
+
+A document is the set of its word n-grams, in one order for all: rare ones first. Two sets of Jaccard
+similarity t or more share an n-gram in their prefixes of |x| - ceil(t |x|) + 1, so sets are joined on
+prefix n-grams alone. At the first n-gram they share, length and position bound the similarity. Sets that
+pass at some n-gram meet at a hub (the least set of those that passed there), where a bitmap filter bounds
+the overlap of the suffixes, and a pair is verified once, at the least hub that its two sets have in common.
+So a group of thousands of copies costs its members' postings, not its pairs, until it is verified.
+
+Rarity comes from a table of counts by hash bucket over all documents: it has one size whatever the
+input, and a wrong guess costs time only, as any order that is the same for all documents is right.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import exchange, shared_dir, split, table, unpacked, written
+from .textscan import Words, mix, rolling, spans_hash, words
+
+N = 3
+THRESHOLD = 0.6
+SKETCH_BITS = 20
+SLICES = 16
+PART = 2_000_000  # prefix postings in a part
+NAMED = 4_000_000  # candidate sets that are named to the mappers, at most; with more, all sets are joined
+_LOW = np.uint64((1 << 56) - 1)
+_LIST = 64  # postings of one n-gram up to which pairs are looked at one by one
+_BLOCK = 1 << 22
+
+
+def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of each n-gram; a text of fewer than n words, but some, has one n-gram of all of them."""
+    count = np.diff(w.first)
+    doc = np.repeat(np.arange(w.n), count)
+    g = rolling(w.hash, n)
+    inside = w.first[doc[: len(g)] + 1] - np.arange(len(g)) >= n
+    d, g = doc[: len(g)][inside], g[inside]
+    short = np.flatnonzero((count > 0) & (count < n))
+    if len(short):
+        d, g = np.concatenate((d, short)), np.concatenate((g, spans_hash(w.hash, w.first[short], w.first[short + 1])))
+    return d, g
+
+
+def sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """(rank of each bucket by its count, number of n-grams) over all documents."""
+    size = 1 << SKETCH_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for _, _, w in words(batch.column(1)):
+                total += np.bincount(grams(w, n)[1] >> np.uint64(64 - SKETCH_BITS), minlength=size)
+        yield from split(np.arange(size) // (size // SLICES), SLICES, np.arange(size, dtype=np.uint32), np.minimum(total, (1 << 32) - 1).astype(np.uint32))
+
+    def add(blobs: Iterator[bytes]) -> pa.Table:
+        total = np.zeros(size, np.int64)
+        for blob in blobs:
+            at, c = unpacked([blob], ("u4", "u4"))
+            total[at] += c
+            first = at[0]
+        part = total[first : first + size // SLICES]
+        rank = np.minimum(255, 4 * np.log2(1 + part)).astype(np.uint8)
+        return pa.table({"first": pa.array([int(first)], pa.int64()), "rank": [rank.tobytes()], "n": pa.array([int(part.sum())], pa.int64())})
+
+    rows = exchange(docs, count, add, "first long, rank binary, n long").collect()  # SLICES rows
+    rank = np.zeros(size, np.uint8)
+    for r in rows:
+        rank[r["first"] : r["first"] + size // SLICES] = np.frombuffer(r["rank"], np.uint8)
+    return rank, sum(r["n"] for r in rows)
+
+
+def ordered_sets(w: Words, n: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first index of each text's set, names of its n-grams, rare ones first, text of each, fingerprint of each set)."""
+    d, g = grams(w, n)
+    name = (rank[g >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (g & _LOW)
+    order = np.argsort(name)
+    order = order[np.argsort(d[order].astype(np.uint16) if w.n <= 1 << 16 else d[order], kind="stable")]
+    name, d = name[order], d[order]
+    new = np.ones(len(name), bool)
+    new[1:] = (name[1:] != name[:-1]) | (d[1:] != d[:-1])
+    name, d = name[new], d[new]
+    first = np.searchsorted(d, np.arange(w.n + 1))
+    total = np.zeros(len(name) + 1, np.uint64)
+    np.cumsum(mix(name), out=total[1:])
+    mark = mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)) >> np.uint64(1)  # fits a long
+    return first, name, d, mark
+
+
+def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+
+
+def _linked(blobs: Iterator[bytes], threshold: float) -> pa.Table:
+    """(set, hub) of the sets that pass the length and position filters at some n-gram of this part, and (set, itself) of repeated sets."""
+    name, mark, n, rest = unpacked(blobs, ("u8", "u8", "u2", "u1"))
+    order = np.argsort(name)
+    name = name[order]
+    same = name[1:] == name[:-1]
+    some = np.zeros(len(name), bool)
+    some[1:] |= same
+    some[:-1] |= same
+    order, name = order[some], name[some]
+    mark, n, rest = mark[order], n[order], rest[order]
+    order = np.lexsort((mark, name))
+    name, mark, n, rest = name[order], mark[order], n[order], rest[order]
+    again = np.zeros(len(name), bool)
+    again[1:] = (name[1:] == name[:-1]) & (mark[1:] == mark[:-1])
+    twins = np.unique(mark[again])
+    name, mark, n, rest = name[~again], mark[~again], n[~again], rest[~again]
+    run = np.cumsum(np.concatenate(([0], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
+    length = np.bincount(run)[run] if len(run) else run
+    passes = length > _LIST  # each set alone passes with a partner of the least length
+    small = np.flatnonzero((length > 1) & ~passes)
+    size = n[small].astype(np.float64)
+    size_up = np.where(size == 65535, np.inf, size)  # longer sets aren't filtered
+    left = np.where(size == 65535, np.inf, rest[small] / 255 * size)
+    of = run[small]
+    for step in range(1, min(_LIST, len(small))):
+        a, b = np.arange(len(small) - step), np.arange(step, len(small))
+        pair = of[a] == of[b]
+        if not pair.any():
+            break
+        a, b = a[pair], b[pair]
+        least, most = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        good = ((least >= threshold * most - 1e-6) | np.isinf(np.maximum(size_up[a], size_up[b]))) & (np.minimum(left[a], left[b]) >= threshold / (1 + threshold) * (size[a] + size[b]) - 1e-6)
+        passes[small[a[good]]] = True
+        passes[small[b[good]]] = True
+    name, mark = name[passes], mark[passes]
+    head = np.concatenate(([True], name[1:] != name[:-1])) if len(name) else np.zeros(0, bool)
+    hub = mark[head][np.cumsum(head) - 1] if len(name) else mark  # the least of the run: marks are in order
+    both = np.unique(np.column_stack((np.concatenate((mark, twins)), np.concatenate((hub, twins)))), axis=0) if len(mark) + len(twins) else np.zeros((0, 2), np.uint64)
+    return pa.table({"mark": pa.array(both[:, 0].astype(np.int64), pa.int64()), "hub": pa.array(both[:, 1].astype(np.int64), pa.int64())})
+
+
+def _bitmaps(row: np.ndarray, name: np.ndarray, m: int, width: int) -> np.ndarray:
+    """A row of `width` parities for each set; sets whose bitmaps differ in k places differ in k n-grams at least."""
+    at = mix(name) % np.uint64(width)
+    return (np.bincount(row * width + at.astype(np.int64), minlength=m * width).reshape(m, width) & 1).astype(np.float32)
+
+
+def _verify(ids: np.ndarray, hubs: list[np.ndarray], hub: int, sets: list[np.ndarray], threshold: float, forest: bool) -> tuple[list, list, list]:
+    """Pairs of one hub: ids of either, and their similarity. forest: of the pairs only what connects them."""
+    m = len(ids)
+    size = np.array([len(s) for s in sets], np.int64)
+    lower = [h[h < hub] for h in hubs]
+    value, back = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(m), size)
+    shared = np.bincount(back)[back] > 1
+    index = np.cumsum(np.bincount(back) > 1) - 1
+    col, srow = index[back[shared]], row[shared]
+    width = int(col.max()) + 1 if len(col) else 0
+    of_hub = {h: k for k, h in enumerate(np.unique(np.concatenate(lower)).tolist())} if any(map(len, lower)) else {}
+    member = np.zeros((m, len(of_hub)), np.float32)
+    for i, hs in enumerate(lower):
+        member[i, [of_hub[h] for h in hs.tolist()]] = 1
+    bits = 1 << int(np.clip(np.ceil(np.log2(2 * np.median(size) + 1)), 6, 12))
+    bitmap = _bitmaps(row, value[back], m, bits)
+    root = list(range(m))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out: tuple[list, list, list] = ([], [], [])
+    step = 1024
+    first = np.searchsorted(srow, np.arange(m + 1))
+    for i0 in range(0, m, step):
+        i1 = min(m, i0 + step)
+        for j0 in range(i0, m, step):
+            j1 = min(m, j0 + step)
+            ni, nj = size[i0:i1, None], size[None, j0:j1]
+            need = np.ceil(threshold / (1 + threshold) * (ni + nj) - 1e-6)
+            a, b = bitmap[i0:i1], bitmap[j0:j1]
+            differ = a.sum(1)[:, None] + b.sum(1)[None] - 2 * (a @ b.T)
+            # the filter of the suffixes: |x n y| = (|x| + |y| - |x ^ y|) / 2
+            todo = (np.minimum(ni, nj) >= threshold * np.maximum(ni, nj) - 1e-6) & ((ni + nj - differ) / 2 >= need)
+            todo &= np.arange(i0, i1)[:, None] < np.arange(j0, j1)[None]
+            if of_hub:
+                todo &= (member[i0:i1] @ member[j0:j1].T) == 0
+            if not todo.any():
+                continue
+            if todo.sum() < 64:
+                x, y = np.nonzero(todo)
+                common = np.array([len(np.intersect1d(sets[i0 + p], sets[j0 + q], assume_unique=True)) for p, q in zip(x.tolist(), y.tolist(), strict=True)], float)
+            else:
+                overlap = np.zeros((i1 - i0, j1 - j0), np.float32)
+                wide = max(256, _BLOCK // step)
+                si, sj = slice(first[i0], first[i1]), slice(first[j0], first[j1])
+                for c in range(0, width, wide):
+                    u, v = np.zeros((i1 - i0, wide), np.float32), np.zeros((j1 - j0, wide), np.float32)
+                    for mat, s, base in ((u, si, i0), (v, sj, j0)):
+                        here = (col[s] >= c) & (col[s] < c + wide)
+                        mat[srow[s][here] - base, col[s][here] - c] = 1
+                    overlap += u @ v.T
+                x, y = np.nonzero(todo)
+                common = overlap[x, y].astype(float)
+            p, q = x + i0, y + j0
+            similar = common / (size[p] + size[q] - common)
+            good = similar >= threshold - 1e-12
+            for i, j, s in zip(p[good].tolist(), q[good].tolist(), similar[good].tolist(), strict=True):
+                if forest:
+                    ri, rj = find(i), find(j)
+                    if ri == rj:
+                        continue
+                    root[max(ri, rj)] = min(ri, rj)
+                out[0].append(int(ids[i]))
+                out[1].append(int(ids[j]))
+                out[2].append(s)
+    return out
+
+
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs of documents whose sets of word n-grams have Jaccard similarity `threshold` or more: doc_a < doc_b, jaccard.
+
+    Documents with equal sets are one set with several documents: each is paired with the least of them,
+    and that one stands for them in all other pairs. With `forest`, only pairs that connect each group are
+    given. Texts that are null, empty or without words have no n-grams and no pairs; a text of fewer than
+    n words is one n-gram. Rows without doc_id have no pairs. Repeated rows are one document. Other columns
+    are ignored. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
+    rank, total = sketch(base, n)
+    ranks = spark.sparkContext.broadcast(rank)  # 1 MB
+    parts = max(1, -(-int(total * (1 - threshold)) // PART))
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got: list[list[np.ndarray]] = [[], [], [], []]
+            for _, _, w in words(batch.column(1)):
+                first, name, d, mark = ordered_sets(w, n, ranks.value)
+                size = np.diff(first)
+                place = np.arange(len(name)) - first[d]
+                keep = place < prefix_length(size, threshold)[d]
+                d, place = d[keep], place[keep]
+                m = size[d]
+                for out, c in zip(got, (name[keep], mark[d], np.minimum(m, 65535).astype("u2"), np.ceil(255 * (m - place) / m).astype("u1")), strict=True):
+                    out.append(c)
+            if got[0]:
+                name, *rest = [np.concatenate(c) for c in got]
+                yield from split((mix(name.copy()) % np.uint64(parts)).astype(np.int64), parts, name, *rest)
+
+    links = exchange(base, postings, lambda blobs: _linked(blobs, threshold), "mark long, hub long")
+    found = written(links.groupBy("mark").agg(F.array_sort(F.collect_set("hub")).alias("hubs")))
+    named = None
+    if found.count() <= NAMED:
+        named = spark.sparkContext.broadcast(np.sort(np.array(found.select("mark").toArrow().column(0).to_numpy(), dtype=np.uint64)))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[int] = set()
+            for i, j, w in words(batch.column(1)):
+                first, name, _, mark = ordered_sets(w, n, ranks.value)
+                keep = np.diff(first) > 0
+                if named is not None:
+                    at = np.searchsorted(named.value, mark)
+                    keep &= (at < len(named.value)) & (named.value[np.minimum(at, len(named.value) - 1)] == mark) if len(named.value) else False
+                rows = np.flatnonzero(keep)
+                blobs = []
+                for k in rows.tolist():
+                    blobs.append(b"" if int(mark[k]) in seen else name[first[k] : first[k + 1]].tobytes())
+                    seen.add(int(mark[k]))
+                yield pa.RecordBatch.from_arrays([pa.array(mark[rows].astype(np.int64), pa.int64()), batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(blobs, pa.binary())], names=["mark", "doc_id", "grams"])
+
+    groups = written(
+        base.mapInArrow(sets, "mark long, doc_id long, grams binary").groupBy("mark").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"), F.max("grams").alias("grams")).join(found, "mark")
+    )
+    twins = groups.where(F.size("ids") > 1).select(F.col("ids")[0].alias("doc_a"), F.explode(F.slice("ids", 2, F.greatest(F.lit(1), F.size("ids") - 1))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    meet = groups.select(F.col("ids")[0].alias("doc_id"), "hubs", "grams", F.explode("hubs").alias("hub"))
+
+    def verify(table: pa.Table) -> pa.Table:
+        hub = table.column("hub").to_numpy()
+        order = np.argsort(hub, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], np.diff(hub[order]) != 0, [True]))) if len(hub) else np.zeros(1, np.int64)
+        ids, hubs, grams_of = table.column("doc_id").to_numpy(), table.column("hubs"), table.column("grams")
+        a: list[int] = []
+        b: list[int] = []
+        s: list[float] = []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if hi - lo > 1:
+                rows = order[lo:hi]
+                x, y, z = _verify(ids[rows], [np.array(hubs[int(r)].as_py()) for r in rows], int(hub[rows[0]]), [np.frombuffer(grams_of[int(r)].as_py(), np.uint64) for r in rows], threshold, forest)
+                a += x
+                b += y
+                s += z
+        return pa.table({"doc_a": pa.array(np.minimum(a, b).astype(np.int64) if a else [], pa.int64()), "doc_b": pa.array(np.maximum(a, b).astype(np.int64) if a else [], pa.int64()), "jaccard": pa.array(s, pa.float64())})
+
+    rooms = F.pmod(F.xxhash64("hub"), F.lit(max(8, parts)))
+    near = meet.withColumn("room", rooms).groupBy("room").applyInArrow(verify, "doc_a long, doc_b long, jaccard double")
+    return twins.unionByName(near)
+
+
+def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
+    """(id, root): the least id that each id of the pairs is connected with, by alternating large and small stars."""
+    edges = written(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    before = None
+    while True:
+        # large star: neighbours above a node are tied to the least of its neighbours and itself
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # small star: a node and those below it are tied to the least below it
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        edges = written(small)
+        mark = tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+        if mark == before:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        before = mark
+
+
+def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near duplicates: of each connected group the least doc_id stays. Rows without doc_id stay; of rows with one doc_id, all stay or go."""
+    drop = components(similar_pairs(docs, n, threshold, True, id_col, text_col)).select(F.col("id").alias(id_col))
+    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
+    return similar_pairs(table(spark, sf_dir, "documents"))
