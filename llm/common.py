@@ -50,28 +50,31 @@ def packed(*columns: np.ndarray) -> bytes:
     return b"".join([len(columns[0]).to_bytes(8, "little"), *[np.ascontiguousarray(c).tobytes() for c in columns]])
 
 
-def unpacked(blobs: Iterable[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
-    """The columns of packed blobs, joined."""
-    parts: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+def unpacked(blobs: Iterable[bytes], *tables: tuple[str, ...]) -> list[np.ndarray]:
+    """The columns of packed blobs, joined; where a blob holds several tables, the columns of all of them."""
+    parts: list[list[list[np.ndarray]]] = [[[np.zeros(0, k)] for k in kinds] for kinds in tables]
     for blob in blobs:
-        n, at = int.from_bytes(blob[:8], "little"), 8
-        for out, k in zip(parts, kinds, strict=True):
-            out.append(np.frombuffer(blob, k, n, at))
-            at += n * np.dtype(k).itemsize
-    return [np.concatenate(p) for p in parts]
-
-
-def split(part: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The columns' rows as one row (part, blob) for each part that has any."""
-    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
-    ends = np.cumsum(np.bincount(part, minlength=parts))
-    sorted_columns = [c[order] for c in columns]
-    keys, blobs, lo = [], [], 0
-    for k, hi in enumerate(ends.tolist()):
-        if hi > lo:
-            keys.append(k)
-            blobs.append(packed(*[c[lo:hi] for c in sorted_columns]))
-        lo = hi
+        at = 0
+        for kinds, columns in zip(tables, parts, strict=True):
+            n = int.from_bytes(blob[at : at + 8], "little")
+            at += 8
+            for out, k in zip(columns, kinds, strict=True):
+                out.append(np.frombuffer(blob, k, n, at))
+                at += n * np.dtype(k).itemsize
+    return [np.concatenate(p) for columns in parts for p in columns]
+
+
+def split(part: np.ndarray, parts: int, *columns: np.ndarray, detail: tuple[np.ndarray, ...] | None = None) -> Iterator[pa.RecordBatch]:
+    """The columns' rows as one row (part, blob) for each part that has any. detail: the part of each row of a second table, and its columns."""
+    tables = [(part, columns)] + ([(detail[0], detail[1:])] if detail else [])
+    sorted_tables = []
+    for of, cols in tables:
+        order = np.argsort(of.astype(np.uint16) if parts <= 1 << 16 else of, kind="stable")
+        sorted_tables.append((np.concatenate(([0], np.cumsum(np.bincount(of, minlength=parts)))), [c[order] for c in cols]))
+    keys, blobs = [], []
+    for k in np.flatnonzero(np.bincount(part, minlength=parts)).tolist():
+        keys.append(k)
+        blobs.append(b"".join(packed(*[c[ends[k] : ends[k + 1]] for c in cols]) for ends, cols in sorted_tables))
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 

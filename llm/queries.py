@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, packing, quality
+from . import jaccard, langid, packing, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": packing.query,
     "op4_jaccard_join": jaccard.query,
     "op7_quality": quality.query,
     "op9_langid": langid.query,
+    "op10_repeats": repeats.query,
 }
 
 ORACLE_SQL: dict[str, str] = {

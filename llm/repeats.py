@@ -1,0 +1,205 @@
+"""Substring dedup by seed and extend, on words.
+
+Seeds are the winnowed anchors of a document: of every WINDOW consecutive K-word hashes the least one. A
+passage of K + WINDOW - 1 = LENGTH words or more has an anchor wherever it occurs, so documents are joined
+on anchors. An anchor is extended both ways: it carries a fingerprint of each stretch of LENGTH words around
+it that picked it, from the one that goes farthest to the left to the one that goes farthest to the right.
+Where one of them occurs again, at the same anchor, the repeat goes that far. Extensions of a document
+that overlap are one maximal repeat.
+
+Stretches at an anchor are compared by sorting fingerprints, not pair by pair, so a passage that very many
+documents share costs in proportion to its occurrences.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import exchange, shared_dir, split, table, unpacked, written
+from .textscan import Words, expand, mix, rolling, words
+
+LENGTH = 50  # words of the shortest repeat
+K = 20
+PER_PART = 60_000  # anchors in a part, about
+BYTES_PER_WORD = 5
+_SALT = np.uint64(0x2545F4914F6CDD1D)
+
+
+def least_of(h: np.ndarray, window: int) -> np.ndarray:
+    """Index of the least of h[i : i + window] for each i; the last one of equals."""
+    n = len(h) - window + 1
+    best = np.arange(len(h))
+    span = 1
+    while span < window:  # doubling; the last step overlaps
+        step = min(span, window - span)
+        m = len(best) - step
+        left, right = best[:m], best[step:]
+        best = np.where(h[left] < h[right], left, right)
+        span += step
+    return best[:n]
+
+
+def anchors(w: Words, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word index in the chunk, word index of its anchor) of each stretch of `length` words that lies within a text."""
+    window = length - k + 1
+    h = rolling(w.hash, k)
+    if len(h) < window:
+        return (np.zeros(0, np.int64),) * 3
+    count = np.diff(w.first)
+    doc = np.repeat(np.arange(w.n), count)
+    least = least_of(h, window)
+    inside = np.flatnonzero(w.first[doc[: len(least)] + 1] - np.arange(len(least)) >= length)
+    return doc[inside], inside, least[inside]
+
+
+def _flags(blobs: Iterator[bytes], length: int) -> pa.Table:
+    """Spans of stretches that occur more than once at an anchor of this part, and whether they came before."""
+    key, doc, anchor, pos, left, n, high, low = unpacked(blobs, ("i8", "i8", "u8", "u4", "u1", "u1"), ("u4", "u2"))
+    order = np.argsort(anchor)
+    a = anchor[order]
+    some = np.zeros(len(a), bool)
+    same = a[1:] == a[:-1]
+    some[1:] |= same
+    some[:-1] |= same
+    order = order[some]
+    order = order[np.lexsort((pos[order], key[order], doc[order], anchor[order]))]
+    first = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[:-1][order]
+    key, doc, anchor, pos, left, n = key[order], doc[order], anchor[order], pos[order], left[order], n[order]
+    # a repeated row is one document
+    fresh = np.ones(len(anchor), bool)
+    fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
+    key, doc, anchor, pos, left, n, first = key[fresh], doc[fresh], anchor[fresh], pos[fresh], left[fresh], n[fresh], first[fresh]
+    if not len(anchor):
+        return _spans(*[np.zeros(0, np.int64)] * 4, np.zeros(0, bool))
+    row, k = expand(n.astype(np.int64))
+    at = first[row] + k
+    value = mix(anchor)[row] ^ ((high[at].astype(np.uint64) << np.uint64(16)) | low[at])
+    # rows are in order of document: the first of equals came first
+    _, lead, back, times = np.unique(value, return_index=True, return_inverse=True, return_counts=True)
+    again = times[back] > 1
+    start = pos[row].astype(np.int64) - left[row] + k
+    head = lead[back]
+    elsewhere = (doc[row] != doc[row[head]]) | (key[row] != key[row[head]])
+    late = ((head != np.arange(len(back))) & (elsewhere | (start - start[head] >= length)))[again]
+    row, start = row[again], start[again]
+    return _spans(*merge(key[row], doc[row], start, start + length, late)) if len(row) else _spans(*[np.zeros(0, np.int64)] * 4, np.zeros(0, bool))
+
+
+def _spans(key: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, later: np.ndarray) -> pa.Table:
+    return pa.table({"key": key, "doc_id": doc, "start": start, "end": end, "later": later})
+
+
+def merge(key: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of one document and kind that overlap or meet, joined."""
+    order = np.lexsort((start, later, key, doc))
+    key, doc, start, end, later = key[order], doc[order], start[order], end[order], later[order]
+    group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (later[1:] != later[:-1]))))
+    base = group * (int(end.max()) + 2)
+    reach = np.maximum.accumulate(base + end)
+    new = np.concatenate(([True], base[1:] + start[1:] > reach[:-1]))
+    last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(new) - 1]))
+    return key[new], doc[new], start[new], reach[last] - base[last], later[new]
+
+
+def spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, doc_id, start, end, later): spans of words of which every stretch of `length` is repeated; later: it came before, in a document of less (doc_id, key) or wholly further up. key is a hash of the text."""
+    if not 0 < k <= length < k + 256:
+        raise ValueError("k must be from 1 to length, and less than 256 below it")
+    spark = docs.sparkSession
+    base = docs.select(F.xxhash64(text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    window = length - k + 1
+    parts = max(1, int(size / BYTES_PER_WORD * 2 / (window + 1) / PER_PART) + 1)
+
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, doc = (batch.column(c).to_numpy() for c in (0, 1))
+            got: list[list[np.ndarray]] = [[] for _ in range(8)]
+            for i, _, w in words(batch.column(2)):
+                d, begin, at = anchors(w, length, k)
+                if not len(d):
+                    continue
+                lead = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (d[1:] != d[:-1]))))
+                whole = rolling(w.hash, length)[begin]
+                d, a = d[lead], at[lead]
+                columns = (key[i + d], doc[i + d], mix(rolling(w.hash, k)[a] ^ _SALT), (a - w.first[d]).astype("u4"), (a - begin[lead]).astype("u1"), np.diff(np.append(lead, len(at))).astype("u1"), (whole >> np.uint64(32)).astype("u4"), (whole >> np.uint64(16)).astype("u2"))
+                for out, c in zip(got, columns, strict=True):
+                    out.append(c)
+            if got[0]:
+                columns = [np.concatenate(c) for c in got]
+                part = (columns[2] % np.uint64(parts)).astype(np.int64)
+                yield from split(part, parts, *columns[:6], detail=(np.repeat(part, columns[5]), *columns[6:]))
+
+    return exchange(base, seed, lambda blobs: _flags(blobs, length), "key long, doc_id long, start long, end long, later boolean")
+
+
+def joined(found: DataFrame) -> DataFrame:
+    """A row for each document with spans: key, doc_id, spans (those that overlap or meet joined, for either value of later)."""
+    rows = found.groupBy("key", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "later"))).alias("s"))
+
+    def run(which: str) -> str:
+        """Joins ordered spans, in the JVM."""
+        some = f"filter(s, x -> {which})"
+        kind = "array<struct<start:bigint,end:bigint>>"
+        last = "element_at(a, -1)"
+        put = f"case when size(a) > 0 and x.start <= {last}.end then concat(slice(a, 1, size(a) - 1), array(named_struct('start', {last}.start, 'end', greatest({last}.end, x.end)))) else concat(a, array(named_struct('start', x.start, 'end', x.end))) end"
+        return f"aggregate({some}, cast(array() as {kind}), (a, x) -> cast({put} as {kind}))"
+
+    return rows.select("key", "doc_id", F.expr(run("true")).alias("repeats"), F.expr(run("x.later")).alias("later"))
+
+
+def maximal_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Maximal repeats of `length` words or more: doc_id, start, length (in words), later (how many of its words lie in stretches that came before).
+
+    Every stretch of `length` words in it occurs once more at least, in another document or elsewhere in
+    this one, and it can't be longer on either side. Words are compared without case or punctuation. Null,
+    empty and shorter texts have none; rows without doc_id take no part. Repeated rows are one document; rows with
+    one doc_id and different texts are different documents. Other columns are ignored. An empty table
+    gives no rows.
+    """
+    rows = joined(spans(docs, length, k, id_col, text_col))
+    each = rows.select("doc_id", "later", F.explode("repeats").alias("r"))
+    inside = F.aggregate("later", F.lit(0).cast("long"), lambda a, x: a + F.greatest(F.lit(0).cast("long"), F.least(x["end"], F.col("r.end")) - F.greatest(x["start"], F.col("r.start"))))
+    return each.select("doc_id", F.col("r.start").alias("start"), (F.col("r.end") - F.col("r.start")).alias("length"), inside.alias("later"))
+
+
+def cut(text: str, ranges: list[tuple[int, int]]) -> str:
+    """The text without the given ranges of words, each with what follows its last word."""
+    raw = text.encode()
+    (_, _, w), *_ = words(pa.array([text], pa.large_string()), fold=False)
+    kept, at = [], 0
+    for lo, hi in ranges:
+        kept.append(raw[at : int(w.start[lo])])
+        at = int(w.start[hi]) if hi < len(w.start) else len(raw)
+    kept.append(raw[at:])
+    return b"".join(kept).decode("utf-8", "replace")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without passages that came before: the first occurrence of each passage stays (by doc_id, then by place). A text that loses all its words goes; columns named n_chars follow the text. Other rows are unchanged, those without doc_id too."""
+    hit = joined(spans(docs, length, k, id_col, text_col)).where(F.size("later") > 0).select(F.col("key").alias("__key"), F.col("doc_id").alias("__id"), F.col("later").alias("__later"))
+    names = docs.columns
+    keyed = docs.withColumn("__key", F.xxhash64(text_col)).withColumn("__id", F.col(id_col).cast("long"))
+    # only texts that lose something cross into Python
+    base = keyed.join(written(hit), ["__key", "__id"], "left")
+
+    @F.pandas_udf("string")
+    def shorten(text, ranges):
+        import pandas as pd
+
+        return pd.Series([t if r is None else cut(t, [(x["start"], x["end"]) for x in r]) for t, r in zip(text, ranges, strict=True)])
+
+    changed = base.where("__later is not null").withColumn(text_col, shorten(F.col(text_col), F.col("__later"))).where(F.length(F.trim(F.col(text_col))) > 0)
+    if "n_chars" in names:
+        changed = changed.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+    return base.where("__later is null").select(*names).unionByName(changed.select(*names))
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
+    return maximal_repeats(table(spark, sf_dir, "documents"))
