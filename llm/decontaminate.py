@@ -1,0 +1,264 @@
+"""Benchmark decontamination by latent semantic retrieval, verified by longest common subsequences.
+
+1. Documents are passages of WIDTH words. Columns of the passage matrix are the words of the benchmark,
+   weighted by tf-idf over all passages; other words count in a passage's norm alone.
+2. A randomised SVD of that matrix with the benchmark's rows below it: every task multiplies its passages
+   into A'(A omega), the sums are added in slices, and the latent basis is their orthonormal base.
+3. Passages whose cosine with an item in the latent space is COSINE or more are candidates, in steps of
+   STEP words, from every document. A candidate is held against the item by the longest common
+   subsequence of words and by how much of the item's answer, its last sentence, is there.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import exchange, split, table, unpacked
+from .textscan import Words, expand, hash_of, words
+
+WIDTH, STEP = 32, 16
+RANK = 256
+COSINE = 0.35
+COVERAGE = 0.8  # share of an item's words, in order, that is a leak by itself
+PARAPHRASE, ANSWER = 0.55, 0.6  # or this share, with this share of the answer
+COMMON, COMMON_LEAST = 0.05, 100  # words in more than this share of passages (and more than so many) have no weight
+LEAST_WORDS = 5  # shorter items aren't searched
+BITS = 20
+SLICES = 16
+
+
+class Benchmark:
+    """Items' words, and the columns of their words by hash; bounded by 2^BITS columns."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        got = [(i, np.array(hash_of(t), np.uint64), self.answer_of(t)) for i, t in items]
+        got = [x for x in got if len(x[1]) >= LEAST_WORDS]
+        self.ids = [x[0] for x in got]
+        self.words = [x[1] for x in got]
+        self.answers = [np.array(a if len(a) >= 3 else w[-max(3, len(w) // 4) :], np.uint64) for _, w, a in got]
+        bucket = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]) >> np.uint64(64 - BITS)).astype(np.int64)
+        self.column = np.full(1 << BITS, -1, np.int32)
+        self.column[bucket] = np.arange(len(bucket))
+        self.size = len(bucket)
+
+    @staticmethod
+    def answer_of(text: str) -> list[int]:
+        ends = [p for p in re.split(r"[.?!\n]+", text) if p.strip()]
+        return hash_of(ends[-1]) if len(ends) > 1 else []
+
+    def columns(self, h: np.ndarray) -> np.ndarray:
+        return self.column[h >> np.uint64(64 - BITS)]
+
+    def matrix(self, idf: np.ndarray) -> np.ndarray:
+        """Unit tf-idf rows of the items."""
+        out = np.zeros((len(self.words), self.size), np.float32)
+        for i, h in enumerate(self.words):
+            np.add.at(out[i], self.columns(h), 1)
+        out *= idf
+        return out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
+
+
+def cells(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell of each word, number of cells before each text): texts are cut in cells of `width` words."""
+    count = np.diff(w.first)
+    before = np.concatenate(([0], np.cumsum(-(-count // width))))
+    doc = np.repeat(np.arange(w.n), count)
+    return before[doc] + (np.arange(len(doc)) - w.first[doc]) // width, before
+
+
+def counts(cell: np.ndarray, col: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, column, times) of the words with a column."""
+    key, n = np.unique(cell * size + col, return_counts=True)
+    return key // size, key % size, n
+
+
+def frequencies(docs: DataFrame, bench: Benchmark) -> tuple[np.ndarray, float]:
+    """(idf of each column, idf of other words) over all passages."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(bench.size, np.int64), 0
+        for batch in batches:
+            for _, _, w in words(batch.column(0)):
+                cell, before = cells(w, WIDTH)
+                col = bench.columns(w.hash)
+                some = col >= 0
+                df += np.bincount(counts(cell[some], col[some].astype(np.int64), bench.size)[1], minlength=bench.size)
+                n += int(before[-1])
+        yield pa.RecordBatch.from_pydict({"col": pa.array(range(-1, bench.size), pa.int32()), "n": pa.array([n, *df.tolist()], pa.int64())})
+
+    rows = docs.mapInArrow(count, "col int, n long").groupBy("col").agg(F.sum("n").alias("n")).collect()  # a row for each column
+    df = np.zeros(bench.size + 1)
+    for r in rows:
+        df[r["col"]] = r["n"]  # the last is the number of passages
+    n, df = df[-1], df[:-1]
+    idf = np.log((n + 1) / (df + 0.5))
+    idf[df > max(COMMON_LEAST, COMMON * n)] = 0
+    return np.maximum(idf, 0).astype(np.float32), float(np.log(n + 2))
+
+
+def latent_basis(docs: DataFrame, bench: Benchmark, idf: np.ndarray, other: float, rank: int = RANK) -> np.ndarray:
+    """Orthonormal basis (columns x rank) of the leading right singular space of all passages and the items."""
+    size = bench.size
+    rank = min(rank, size)
+    rng = np.random.default_rng(7)
+    omega = rng.standard_normal((size, rank)).astype(np.float32)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, rank), np.float32)
+        for batch in batches:
+            for _, _, w in words(batch.column(0)):
+                cell, before = cells(w, WIDTH)
+                col = bench.columns(w.hash)
+                weight = np.where(col >= 0, idf[np.maximum(col, 0)], other)
+                some = (col >= 0) & (weight > 0)
+                if not some.any():
+                    continue
+                norm = np.sqrt(np.bincount(cell, weight**2, minlength=int(before[-1])))
+                c, t, n = counts(cell[some], col[some].astype(np.int64), size)
+                x = (n * idf[t] / np.maximum(1e-9, norm[c])).astype(np.float32)
+                for lo in range(0, len(c), 1 << 15):  # runs of whole rows don't matter: products add up by column
+                    hi = min(len(c), lo + (1 << 15))
+                    head = np.flatnonzero(np.concatenate(([True], c[lo + 1 : hi] != c[lo : hi - 1])))
+                    y = np.add.reduceat(omega[t[lo:hi]] * x[lo:hi, None], head, axis=0)
+                    row = np.repeat(np.arange(len(head)), np.diff(np.append(head, hi - lo)))
+                    order = np.argsort(t[lo:hi], kind="stable")
+                    tt = t[lo:hi][order]
+                    first = np.flatnonzero(np.concatenate(([True], tt[1:] != tt[:-1])))
+                    total[tt[first]] += np.add.reduceat(y[row[order]] * x[lo:hi][order][:, None], first, axis=0)
+        at = np.arange(size)
+        yield from split(at * SLICES // max(1, size), SLICES, at.astype(np.int64), total)
+
+    def add(blobs: Iterator[bytes]) -> pa.Table:
+        total, rows = None, None
+        for blob in blobs:
+            rows, part = unpacked([blob], ("i8", f"({rank},)f4"))
+            total = part.astype(np.float64) if total is None else total + part
+        return pa.table({"first": pa.array([int(rows[0])], pa.int64()), "sums": [total.astype(np.float32).tobytes()]})
+
+    g = np.zeros((size, rank))
+    for r in exchange(docs, multiply, add, "first long, sums binary").collect():  # SLICES rows: columns x rank in all
+        part = np.frombuffer(r["sums"], np.float32).reshape(-1, rank)
+        g[r["first"] : r["first"] + len(part)] = part
+    m = bench.matrix(idf).astype(np.float64)
+    own = m.T @ (m @ omega)
+    g = g / max(1e-9, np.linalg.norm(g)) * 0.5 + own / max(1e-9, np.linalg.norm(own))
+    return np.linalg.qr(g)[0].astype(np.float32)
+
+
+def common_length(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, with one bit for each element of a."""
+    masks: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b.tolist():
+        m = masks.get(y)
+        if m:
+            u = row & m
+            row = ((row + u) | (row - u)) & full
+    return len(a) - row.bit_count()
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """A row for each document and item that it holds: doc_id, key (hash of its text), item_id, cosine (of its best passage), coverage, answer.
+
+    A document is reported when coverage (longest common subsequence of the item and the words about a
+    candidate passage, as a share of the item) is COVERAGE, or PARAPHRASE with ANSWER of the answer.
+    Null and empty texts hold nothing; items that are null or shorter than LEAST_WORDS words, or of common
+    words only, aren't searched; items with one item_id are searched each by itself and reported by the
+    best. A null doc_id is kept. A repeated row is reported each time. Other columns are ignored. An empty
+    table of either kind gives no rows.
+    """
+    schema = "doc_id long, key long, item_id long, cosine double, coverage double, answer double"
+    items = [(r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col)).where(f"`{item_text_col}` is not null and `{item_col}` is not null").orderBy(item_col, item_text_col).collect()]
+    bench = Benchmark(items)
+    spark = docs.sparkSession
+    if not bench.ids:
+        return spark.createDataFrame([], schema)
+    base = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key")).where("text <> ''")
+    only = base.select("text")
+    idf, other = frequencies(only, bench)
+    basis = latent_basis(only, bench, idf, other, rank)
+    of_items = bench.matrix(idf) @ basis
+    of_items /= np.maximum(1e-9, np.linalg.norm(of_items, axis=1, keepdims=True))
+    sent = spark.sparkContext.broadcast((bench, idf, basis, of_items))  # columns x rank: grows with the benchmark alone
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench, idf, basis, of_items = sent.value
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, _, w in words(batch.column(0)):
+                cell, before = cells(w, STEP)
+                total = int(before[-1])
+                if not total:
+                    continue
+                col = bench.columns(w.hash)
+                weight = np.where(col >= 0, idf[np.maximum(col, 0)], other).astype(np.float64) ** 2
+                some = (col >= 0) & (weight > 0)
+                mine, rest = np.bincount(cell, weight * some, minlength=total + 1), np.bincount(cell, weight * (col < 0), minlength=total + 1)
+                # a passage is a cell and the next one of its text
+                text_of = np.repeat(np.arange(w.n), np.diff(before))
+                more = np.zeros(total, bool)
+                more[:-1] = text_of[1:] == text_of[:-1]
+                inside = mine[:-1] + np.where(more, mine[1:], 0)
+                outside = rest[:-1] + np.where(more, rest[1:], 0)
+                # a word that occurs k times weighs k * k; unless shared words occur four times each, a passage that fails this has a lower cosine
+                likely = np.flatnonzero(inside > 0)
+                likely = likely[inside[likely] * 4 >= cosine**2 * (inside[likely] * 4 + outside[likely])]
+                if not len(likely):
+                    continue
+                first_word = np.searchsorted(cell, np.arange(total + 1))
+                lo, hi = first_word[likely], first_word[np.minimum(likely + 1 + more[likely], total)]
+                owner, k = expand(hi - lo)
+                at = lo[owner] + k
+                keep = some[at]
+                p, t, n = counts(owner[keep], col[at[keep]].astype(np.int64), bench.size)
+                x = (n * idf[t]).astype(np.float32)
+                norm = np.sqrt(np.bincount(p, x.astype(np.float64) ** 2, minlength=len(likely)) + outside[likely])
+                head = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+                for b in range(0, len(head), 4096):
+                    e = min(len(head), b + 4096)
+                    s0, s1 = head[b], head[e] if e < len(head) else len(p)
+                    latent = np.add.reduceat(basis[t[s0:s1]] * x[s0:s1, None], head[b:e] - s0, axis=0)
+                    passage = p[head[b:e]]
+                    near = (latent @ of_items.T) / np.maximum(1e-9, norm[passage])[:, None]
+                    for q, item in zip(*np.nonzero(near >= cosine), strict=True):
+                        j = passage[q]
+                        doc = int(text_of[likely[j]])
+                        rows.append((doc + i, int(item), float(near[q, item]), w.hash[max(w.first[doc], lo[j] - len(bench.words[item])) : min(w.first[doc + 1], hi[j] + len(bench.words[item]))]))
+            best: dict[tuple[int, int], tuple[float, float, float]] = {}
+            for doc, item, near, region in rows:
+                mine = bench.words[item]
+                covered = common_length(mine, region) / len(mine)
+                answer = common_length(bench.answers[item], region) / len(bench.answers[item])
+                if covered >= COVERAGE or (covered >= PARAPHRASE and answer >= ANSWER):
+                    key = (doc, bench.ids[item])
+                    old = best.get(key, (0.0, 0.0, 0.0))
+                    best[key] = (max(old[0], min(1.0, near)), *max(old[1:], (covered, answer)))
+            keys = list(best)
+            of = pa.array([k[0] for k in keys], pa.int64())
+            values = list(best.values())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1).take(of), batch.column(2).take(of), pa.array([k[1] for k in keys], pa.int64()), *[pa.array([v[j] for v in values], pa.float64()) for j in range(3)]],
+                names=["doc_id", "key", "item_id", "cosine", "coverage", "answer"],
+            )
+
+    return base.mapInArrow(search, schema)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns; rows with null or empty text stay."""
+    hit = leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(text_col)})
+    return keyed.join(hit, keyed["__id"].eqNullSafe(hit["__id"]) & (keyed["__key"] == hit["__key"]), "left_anti").select(*docs.columns)
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
