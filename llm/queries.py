@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, packing, quality, repeats
+from . import decontaminate, jaccard, langid, packing, quality, repeats, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": packing.query,
     "op4_jaccard_join": jaccard.query,
     "op6_decontaminate": decontaminate.query,
     "op7_quality": quality.query,
+    "op8_suffix_dedup": suffixes.query,
     "op9_langid": langid.query,
     "op10_repeats": repeats.query,
 }

@@ -1,0 +1,160 @@
+"""Suffix-array dedup by prefix-free parsing, on words.
+
+A rolling hash of TRIGGER words that is 0 modulo MODULUS ends a phrase and begins the next one, so phrases
+depend on the words about them alone, and equal passages are parsed alike wherever they occur. The distinct
+phrases are the dictionary; documents are sequences of phrases, the parse.
+
+A suffix of the corpus is the tail of a phrase and then a suffix of the parse, so the corpus order of
+suffixes comes from two arrays: the parse's suffixes in order of their first phrase (a phrase goes to one
+task, which ranks its part of the dictionary), and, for each, the tails before it, by their length and
+contents and by what follows. Suffixes are told apart to the depth of LENGTH words: this is all that dedup needs, and
+contents below a phrase are ordered by fingerprint. Where neighbours in that order agree to the depth,
+their longest common prefix is LENGTH or more, and both are repeats. Phrases that occur once are dropped
+before anything is sorted: of highly repetitive text each task sorts small arrays.
+
+Stretches of LENGTH words without a whole phrase are filed by the one trigger in them, or by all of their words.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import exchange, shared_dir, split, table, unpacked
+from .repeats import BYTES_PER_WORD, _spans, joined, merge
+from .textscan import Words, expand, mix, rolling, spans_hash, words
+
+LENGTH = 50
+TRIGGER, MODULUS = 4, 8
+PER_PART = 150_000  # phrases in a part, about
+FLUSH = 1_500_000  # stretches that a mapper holds
+_SALTS = (np.uint64(0x51), np.uint64(0x52), np.uint64(0x53))
+
+
+def parse(w: Words, trigger: int, modulus: int) -> np.ndarray:
+    """First word of each trigger, in order; a trigger lies within one text."""
+    h = rolling(w.hash, trigger)
+    at = np.flatnonzero(mix(h) % np.uint64(modulus) == 0)
+    text_of = np.searchsorted(w.first, at, side="right") - 1
+    return at[at + trigger <= w.first[text_of + 1]]
+
+
+def filed(w: Words, length: int, trigger: int, modulus: int) -> tuple[np.ndarray, ...]:
+    """(first word, text, name and first word of the phrase that it is filed by) of every stretch of `length` words within a text."""
+    count = np.diff(w.first)
+    text = np.repeat(np.arange(w.n), count)
+    begin = np.flatnonzero(w.first[text + 1] - np.arange(len(text)) >= length) if len(text) else text
+    text = text[begin]
+    at = parse(w, trigger, modulus)
+    ends = np.append(at, len(w.hash) + length)  # no trigger
+    k = np.searchsorted(at, begin)
+    one, two = ends[k], ends[np.minimum(k + 1, len(at))]
+    last = begin + length
+    has_two, has_one = two + trigger <= last, one + trigger <= last
+    name = np.empty(len(begin), np.uint64)
+    name[has_two] = mix(spans_hash(w.hash, one[has_two], two[has_two] + trigger) ^ _SALTS[0])
+    single = has_one & ~has_two
+    name[single] = mix(spans_hash(w.hash, one[single], one[single] + trigger) ^ _SALTS[1])
+    name[~has_one] = mix(spans_hash(w.hash, begin[~has_one], last[~has_one]) ^ _SALTS[2])
+    return begin, text, name, np.where(has_one, one, begin)
+
+
+def _ordered(blobs: Iterator[bytes], length: int) -> pa.Table:
+    """Spans of repeats among the suffixes that are filed in this part."""
+    key, doc, phrase, pos, before, n, high, low = unpacked(blobs, ("i8", "i8", "u8", "u4", "u1", "u1"), ("u4", "u2"))
+    # the dictionary of this part, less what occurs once
+    dictionary, rank, times = np.unique(phrase, return_inverse=True, return_counts=True)
+    first = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[:-1]
+    row = np.flatnonzero(times[rank] > 1)
+    # occurrences in order of document; a repeated row is one document
+    row = row[np.lexsort((before[row], pos[row], key[row], doc[row]))]
+    same = np.zeros(len(row), bool)
+    if len(row):
+        a, b = row[1:], row[:-1]
+        same[1:] = (doc[a] == doc[b]) & (key[a] == key[b]) & (pos[a] == pos[b]) & (phrase[a] == phrase[b]) & (before[a] == before[b])
+    row = row[~same]
+    suffix, k = expand(n[row].astype(np.int64))
+    of = row[suffix]
+    if not len(of):
+        return _spans(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    tail = before[of].astype(np.int64) - k  # words of the phrase before
+    at = first[of] + k
+    place = rank[of].astype(np.uint64) << np.uint64(16) | tail.astype(np.uint64)
+    content = (high[at].astype(np.uint64) << np.uint64(16)) | low[at]
+    order = np.lexsort((np.arange(len(of)), content, place))  # corpus order
+    agree = (place[order][1:] == place[order][:-1]) & (content[order][1:] == content[order][:-1])  # to the depth of `length`
+    head = np.concatenate(([True], ~agree))
+    repeated = np.zeros(len(of), bool)
+    repeated[order[1:][agree]] = True
+    repeated[order[:-1][agree]] = True
+    earliest = np.empty(len(of), np.int64)
+    earliest[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+    start = pos[of].astype(np.int64) - tail
+    o, e = of[repeated], of[earliest[repeated]]
+    elsewhere = (doc[o] != doc[e]) | (key[o] != key[e])
+    late = (earliest[repeated] != np.flatnonzero(repeated)) & (elsewhere | (start[repeated] - start[earliest[repeated]] >= length))
+    if not len(o):
+        return _spans(key[:0], doc[:0], start[:0], start[:0], late)
+    return _spans(*merge(key[o], doc[o], start[repeated], start[repeated] + length, late))
+
+
+def spans(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, modulus: int = MODULUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, doc_id, start, end, later), as in the seed-and-extend operator, whose repeats these are too."""
+    if not 0 < trigger <= length < 256:
+        raise ValueError("length must be from trigger to 255")
+    base = docs.select(F.xxhash64(text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, int(size / BYTES_PER_WORD / modulus / PER_PART) + 1)
+
+    def send(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in got]
+        part = (columns[2] % np.uint64(parts)).astype(np.int64)
+        yield from split(part, parts, *columns[:6], detail=(np.repeat(part, columns[5]), *columns[6:]))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[list[np.ndarray]] = [[] for _ in range(8)]
+        held = 0
+        for batch in batches:
+            key, doc = (batch.column(c).to_numpy() for c in (0, 1))
+            for i, _, w in words(batch.column(2)):
+                begin, text, name, at = filed(w, length, trigger, modulus)
+                if not len(begin):
+                    continue
+                whole = rolling(w.hash, length)[begin]
+                lead = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (name[1:] != name[:-1]) | (text[1:] != text[:-1]))))
+                d, a = text[lead], at[lead]
+                columns = (key[i + d], doc[i + d], name[lead], (a - w.first[d]).astype("u4"), (a - begin[lead]).astype("u1"), np.diff(np.append(lead, len(begin))).astype("u1"), (whole >> np.uint64(32)).astype("u4"), (whole >> np.uint64(16)).astype("u2"))
+                for out, c in zip(got, columns, strict=True):
+                    out.append(c)
+                held += len(begin)
+                if held >= FLUSH:
+                    yield from send(got)
+                    got, held = [[] for _ in range(8)], 0
+        if held:
+            yield from send(got)
+
+    return exchange(base, cut, lambda blobs: _ordered(blobs, length), "key long, doc_id long, start long, end long, later boolean")
+
+
+def repeated_passages(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, modulus: int = MODULUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Maximal repeats of `length` words or more: doc_id, start, length (in words), later (how many of its words lie in stretches that came before).
+
+    Every stretch of `length` words in it occurs once more at least. Words are compared without case or
+    punctuation. Null, empty and shorter texts have none; rows without doc_id take no part. Repeated rows
+    are one document; rows with one doc_id and different texts are different documents. Other columns are
+    ignored. An empty table gives no rows.
+    """
+    rows = joined(spans(docs, length, trigger, modulus, id_col, text_col))
+    each = rows.select("doc_id", "later", F.explode("repeats").alias("r"))
+    zero = F.lit(0).cast("long")
+    inside = F.aggregate("later", zero, lambda a, x: a + F.greatest(zero, F.least(x["end"], F.col("r.end")) - F.greatest(x["start"], F.col("r.start"))))
+    return each.select("doc_id", F.col("r.start").alias("start"), (F.col("r.end") - F.col("r.start")).alias("length"), inside.alias("later"))
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
+    return repeated_passages(table(spark, sf_dir, "documents"))
