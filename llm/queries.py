@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, packing, quality, repeats, suffixes
+from . import decontaminate, jaccard, langid, packing, quality, repeats, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": packing.query,
     "op4_jaccard_join": jaccard.query,
+    "op5_toxicity": toxicity.query,
     "op6_decontaminate": decontaminate.query,
     "op7_quality": quality.query,
     "op8_suffix_dedup": suffixes.query,

@@ -1,0 +1,256 @@
+"""Toxicity by the nearest labelled examples: exact tf-idf cosine over a block-max inverted index.
+
+1. At most EXAMPLES labelled documents of either class are drawn by a hash. Terms that are spread over the
+   classes otherwise than by chance (chi squared) are the vocabulary; their document frequencies are
+   counted over all documents.
+2. Examples are laid in blocks of BLOCK by their heaviest term. A block has the inverted lists of its terms,
+   and each term's greatest weight in it, which bounds the cosine of any of its examples.
+3. Every document is a query. Its best-bounded blocks are scored first; then every block whose bound is
+   not below the K-th best cosine so far: the K nearest examples are exact.
+4. Cosine-weighted votes of the K nearest, made a probability by a logistic curve that is fitted on the
+   examples themselves (each without itself, weighted to the classes' shares among the labels).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import packed, table, unpacked
+from .textscan import Words, words
+
+EXAMPLES = 6000  # of either class, at most: the bound of the labelled sample
+K = 15
+TERMS = 4096
+LEAST_EXAMPLES, CHI_SQUARED = 4, 15.0
+BLOCK = 128
+ROWS = 2048  # queries that are dense at once
+EVIDENCE = 3  # nearest examples that are named
+SMOOTH = 0.5
+THRESHOLD = 0.5
+
+
+def term_counts(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, times) of the distinct terms of each text."""
+    doc = np.repeat(np.arange(w.n), np.diff(w.first))
+    order = np.lexsort((w.hash, doc))
+    d, h = doc[order], w.hash[order]
+    head = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])))) if len(d) else np.zeros(0, np.int64)
+    return d[head], h[head], np.diff(np.append(head, len(d)))
+
+
+def vocabulary(terms: list[np.ndarray], toxic: np.ndarray, most: int = TERMS) -> np.ndarray:
+    """Terms (in order) that tell the classes apart, by chi squared of their presence."""
+    if not len(terms) or toxic.all() or not toxic.any():
+        return np.zeros(0, np.uint64)
+    of = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    value, back = np.unique(np.concatenate(terms), return_inverse=True)
+    bad = np.bincount(back, toxic[of], minlength=len(value))
+    all_of = np.bincount(back, minlength=len(value)).astype(float)
+    n, n_bad = len(terms), toxic.sum()
+    a, b, c, d = bad, all_of - bad, n_bad - bad, (n - n_bad) - (all_of - bad)
+    chi = n * (a * d - b * c) ** 2 / np.maximum(1e-9, (a + b) * (c + d) * (a + c) * (b + d))
+    good = np.flatnonzero((all_of >= LEAST_EXAMPLES) & (chi >= CHI_SQUARED))
+    good = good[np.lexsort((value[good], -chi[good]))][:most]
+    return np.sort(value[good])
+
+
+class Index:
+    """Blocks of unit vectors: of each its terms, their weights for each example, and their greatest weights."""
+
+    def __init__(self, vectors: np.ndarray, labels: np.ndarray, ids: np.ndarray):
+        some = np.flatnonzero(vectors.any(axis=1))
+        top = vectors[some].argmax(axis=1) if vectors.shape[1] else np.zeros(0, int)
+        some = some[np.lexsort((ids[some], top))]
+        self.labels, self.ids, self.n = labels[some].astype(np.float32), ids[some], len(some)
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.bound = np.zeros((vectors.shape[1], -(-len(some) // BLOCK)), np.float32)
+        for b in range(self.bound.shape[1]):
+            x = vectors[some[b * BLOCK : (b + 1) * BLOCK]]
+            terms = np.flatnonzero(x.any(axis=0))
+            self.blocks.append((terms, np.ascontiguousarray(x[:, terms].T)))
+            self.bound[:, b] = x.max(axis=0)
+        self.scored = 0  # (query, block) pairs looked into
+
+    def nearest(self, queries: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest of each query (a row of unit length), best first, ties by id; own: an example that is left out."""
+        n, k = len(queries), min(k, self.n)
+        best, who = np.full((n, k), -1.0, np.float32), np.full((n, k), -1, np.int64)
+        if not k or not n:
+            return who, best
+        bound = queries @ self.bound
+        first = bound.argmax(axis=1)
+        rank = np.empty(self.n, np.int64)
+        rank[np.lexsort((np.arange(self.n), self.ids))] = np.arange(self.n)
+
+        def score(rows: np.ndarray, b: int) -> None:
+            terms, lists = self.blocks[b]
+            sims = queries[np.ix_(rows, terms)] @ lists
+            at = np.broadcast_to(np.arange(b * BLOCK, b * BLOCK + lists.shape[1]), sims.shape)
+            if own is not None:
+                sims = np.where(at == own[rows][:, None], -1, sims)
+            both, ids = np.concatenate((best[rows], sims), axis=1), np.concatenate((who[rows], at), axis=1)
+            # cosines that differ by rounding alone are ties
+            order = np.lexsort((np.where(ids >= 0, rank[ids], self.n), -np.round(both, 6)), axis=1)[:, :k]
+            best[rows], who[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+            self.scored += len(rows)
+
+        for b in np.unique(first).tolist():
+            score(np.flatnonzero(first == b), b)
+        for b in range(len(self.blocks)):
+            rows = np.flatnonzero((first != b) & (bound[:, b] > 0) & (bound[:, b] >= best[:, -1] - 2e-6))
+            if len(rows):
+                score(rows, b)
+        who[best <= 0] = -1
+        return who, np.maximum(best, 0)
+
+    def votes(self, who: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        if not who.shape[1]:
+            return np.zeros(len(who))
+        y = np.where(who >= 0, self.labels[np.maximum(who, 0)], 0) if self.n else 0 * sims
+        return (sims * y).sum(1) / (sims.sum(1) + SMOOTH)
+
+
+def calibrate(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Slope and offset of the logistic curve, by Newton steps with a light ridge."""
+    a, b = 1.0, 0.0
+    w = weight / max(1e-9, weight.sum())
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * votes + b, -40, 40)))
+        g = np.array([(w * (p - toxic) * votes).sum() + 1e-4 * a, (w * (p - toxic)).sum() + 1e-6 * b])
+        c = w * p * (1 - p)
+        h = np.array([[(c * votes**2).sum() + 1e-4, (c * votes).sum()], [(c * votes).sum(), c.sum() + 1e-6]])
+        step = np.linalg.solve(h, g)
+        step *= min(1.0, 4 / max(1e-9, np.abs(step).max()))
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(a), float(b)
+
+
+class Model:
+    """Vocabulary, idf, index of examples, and the calibration."""
+
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, index: Index, curve: tuple[float, float]):
+        self.terms, self.idf, self.index, self.curve = terms, idf, index, curve
+
+    def vectors(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(texts with any term of the vocabulary, their unit tf-idf rows)."""
+        if not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros((0, 0), np.float32)
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        hit = self.terms[at] == term
+        rows, back = np.unique(doc[hit], return_inverse=True)
+        x = np.zeros((len(rows), len(self.terms)), np.float32)
+        x[back, at[hit]] = (1 + np.log(times[hit])) * self.idf[at[hit]]
+        return rows, x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+
+    def probability(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] * votes + self.curve[1], -40, 40)))
+
+
+def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    u = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
+    rate = F.create_map(*[F.lit(x) for y in (0, 1) for x in (y, int(min(1.0, examples / max(1, counts.get(y, 0))) * (1 << 30)))])
+    drawn = known.where(u < F.element_at(rate, F.col("y")))  # about `examples` of either class, so small enough to broadcast
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chosen = base.join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, w in words(batch.column(2)):
+                d, h, n = term_counts(w)
+                first = np.searchsorted(d, np.arange(j - i + 1))
+                blobs = [packed(h[lo:hi], n[lo:hi].astype("i4")) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(blobs, pa.binary())], names=["doc_id", "y", "terms"])
+
+    got = chosen.mapInArrow(scan, "doc_id long, y int, terms binary").toArrow()  # the bounded sample, on the driver
+    columns = [unpacked([b], ("u8", "i4")) for b in got.column("terms").to_pylist()]
+    ids, toxic = got.column("doc_id").to_numpy(), got.column("y").to_numpy().astype(float)
+    order = sorted(range(len(columns)), key=lambda i: (ids[i], columns[i][0].tobytes()))
+    columns, ids, toxic = [columns[i] for i in order], ids[order], toxic[order]
+    terms = vocabulary([c[0] for c in columns], toxic)
+
+    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(len(terms), np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for _, _, w in words(batch.column(0)):
+                at = np.minimum(np.searchsorted(terms, w.hash), len(terms) - 1)
+                hit = np.flatnonzero(terms[at] == w.hash)
+                doc = np.searchsorted(w.first, hit, side="right") - 1
+                df += np.bincount(np.unique(doc * len(terms) + at[hit]) % len(terms), minlength=len(terms))
+        yield pa.RecordBatch.from_pydict({"term": pa.array(range(-1, len(terms)), pa.int32()), "n": pa.array([n, *df.tolist()], pa.int64())})
+
+    df = np.zeros(len(terms) + 1)
+    if len(terms):
+        for r in base.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term
+            df[r["term"]] = r["n"]
+    idf = np.log((df[-1] + 1) / (df[:-1] + 0.5)).clip(min=0.05).astype(np.float32)
+    model = Model(terms, idf, Index(np.zeros((0, len(terms)), np.float32), toxic[:0], ids[:0]), (1.0, -20.0))
+    if not len(terms):
+        return model
+    doc = np.repeat(np.arange(len(columns)), [len(c[0]) for c in columns])
+    rows, x = model.vectors(doc, np.concatenate([c[0] for c in columns]), np.concatenate([c[1] for c in columns]))
+    every = np.zeros((len(columns), len(terms)), np.float32)
+    every[rows] = x
+    model.index = Index(every, toxic, ids)
+    place = {int(i): k for k, i in enumerate(model.index.ids.tolist())}
+    own = np.array([place.get(int(i), -1) for i in ids])
+    votes = model.index.votes(*model.index.nearest(every, K, own))
+    share = [counts.get(y, 0) / max(1.0, (toxic == y).sum()) for y in (0, 1)]
+    model.curve = calibrate(votes, toxic, np.where(toxic == 1, share[1], share[0]))
+    return model
+
+
+def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each document: doc_id, score (probability of toxic), toxic (score at the threshold or above), evidence (ids of the nearest examples), similar (their cosines).
+
+    A text that is null, empty or without any term of the vocabulary has no neighbours: its evidence is
+    empty, and its score is that of no votes. So are all where the labels hold one class only. A null
+    doc_id stays null. Labels that are null or for unknown documents aren't used; a doc_id with two labels
+    is toxic if one of them says so. Repeated rows are rated each time. Ties go to the lesser id. Other columns are
+    ignored. An empty table gives no rows.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for i, j, w in words(batch.column(1)):
+                n = j - i
+                votes = np.zeros(n)
+                evidence: list[list[int]] = [[] for _ in range(n)]
+                similar: list[list[float]] = [[] for _ in range(n)]
+                if len(model.terms):
+                    at = np.minimum(np.searchsorted(model.terms, w.hash), len(model.terms) - 1)
+                    hit = np.flatnonzero(model.terms[at] == w.hash)
+                    doc = np.searchsorted(w.first, hit, side="right") - 1
+                    key, times = np.unique(doc * len(model.terms) + at[hit], return_counts=True)
+                    of, term = key // len(model.terms), model.terms[key % len(model.terms)]
+                    edges = np.searchsorted(of, np.arange(0, n + ROWS, ROWS))
+                    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                        rows, x = model.vectors(of[lo:hi], term[lo:hi], times[lo:hi])
+                        who, sims = model.index.nearest(x, K)
+                        votes[rows] = model.index.votes(who, sims)
+                        for r, ids, s in zip(rows.tolist(), who[:, :EVIDENCE].tolist(), sims[:, :EVIDENCE].tolist(), strict=True):
+                            evidence[r] = [int(model.index.ids[e]) for e in ids if e >= 0]
+                            similar[r] = [float(v) for e, v in zip(ids, s, strict=True) if e >= 0]
+                p = model.probability(votes)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, n), pa.array(p), pa.array(p >= threshold), pa.array(evidence, pa.list_(pa.int64())), pa.array(similar, pa.list_(pa.float64()))],
+                    names=["doc_id", "score", "toxic", "evidence", "similar"],
+                )
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(score, "doc_id long, score double, toxic boolean, evidence array<long>, similar array<double>")
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rate(docs, train(docs, table(spark, sf_dir, "labels")))
