@@ -7,8 +7,10 @@ pass at some n-gram meet at a hub (the least set of those that passed there), wh
 the overlap of the suffixes, and a pair is verified once, at the least hub that its two sets have in common.
 So a group of thousands of copies costs its members' postings, not its pairs, until it is verified.
 
-Rarity comes from a table of counts by hash bucket over all documents: it has one size whatever the
-input, and a wrong guess costs time only, as any order that is the same for all documents is right.
+Rarity comes from counts over all documents, by hash bucket, of words and of n-grams: an n-gram is as
+frequent as its words make one expect, or as its bucket is beyond the usual bucket (a passage that many
+documents share). The tables have one size whatever the input, and a wrong guess costs time only, as any
+order that is the same for all documents is right.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exchange, shared_dir, split, table, unpacked, written
+from .common import exchange, packed, shared_dir, split, table, unpacked, written
 from .textscan import Words, mix, rolling, spans_hash, words
 
 N = 3
@@ -29,56 +32,84 @@ SKETCH_BITS = 20
 SLICES = 16
 PART = 2_000_000  # prefix postings in a part
 NAMED = 4_000_000  # candidate sets that are named to the mappers, at most; with more, all sets are joined
+_TO_BUCKET = np.uint64(64 - SKETCH_BITS)
 _LOW = np.uint64((1 << 56) - 1)
 _LIST = 64  # postings of one n-gram up to which pairs are looked at one by one
-_BLOCK = 1 << 22
 
 
-def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of each n-gram; a text of fewer than n words, but some, has one n-gram of all of them."""
+def grams(w: Words, n: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(document, hash) of each n-gram, and with `weight` (of each word) the sum of its words' weights; a text of fewer than n words, but some, has one n-gram of all of them."""
     count = np.diff(w.first)
     doc = np.repeat(np.arange(w.n), count)
     g = rolling(w.hash, n)
-    inside = w.first[doc[: len(g)] + 1] - np.arange(len(g)) >= n
-    d, g = doc[: len(g)][inside], g[inside]
+    inside = np.flatnonzero(w.first[doc[: len(g)] + 1] - np.arange(len(g)) >= n)
+    d, g, lo, hi = doc[inside], g[inside], inside, inside + n
     short = np.flatnonzero((count > 0) & (count < n))
     if len(short):
+        lo, hi = np.concatenate((lo, w.first[short])), np.concatenate((hi, w.first[short + 1]))
         d, g = np.concatenate((d, short)), np.concatenate((g, spans_hash(w.hash, w.first[short], w.first[short + 1])))
-    return d, g
+    if weight is None:
+        return d, g
+    total = np.concatenate(([0], np.cumsum(weight, dtype=np.int64)))  # whole numbers: the sum doesn't depend on what is around
+    return d, g, total[hi] - total[lo]
 
 
-def sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """(rank of each bucket by its count, number of n-grams) over all documents."""
+class Rarity:
+    """Frequency of n-grams as a byte: weights of words and of n-grams' buckets, in sixteenths of a power of two."""
+
+    def __init__(self, words_in: np.ndarray, grams_in: np.ndarray):
+        self.total, self.grams = max(1, int(words_in.sum())), int(grams_in.sum())
+        self.word = np.round(16 * np.log2(np.maximum(1, words_in) / self.total)).astype(np.int16)
+        usual = grams_in.mean()
+        beyond = grams_in - usual - 4 * np.sqrt(usual) - 1
+        self.gram = np.where(beyond > 0, np.round(16 * np.log2(np.maximum(beyond, 1))), -(1 << 14)).astype(np.int16)
+        self.base = round(16 * float(np.log2(self.total)))
+
+    def named(self, w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(document, name) of each n-gram; names of rare ones are less."""
+        d, g, weight = grams(w, n, self.word[w.hash >> _TO_BUCKET])
+        level = np.maximum(weight + self.base, self.gram[g >> _TO_BUCKET])
+        byte = np.clip(((level + 768) * 3) >> 4, 0, 255).astype(np.uint64)
+        return d, (byte << np.uint64(56)) | (g & _LOW)
+
+
+def rarity(docs: DataFrame, n: int) -> Rarity:
+    """Counted over all documents."""
     size = 1 << SKETCH_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(2 * size, np.int64)
         for batch in batches:
             for _, _, w in words(batch.column(1)):
-                total += np.bincount(grams(w, n)[1] >> np.uint64(64 - SKETCH_BITS), minlength=size)
-        yield from split(np.arange(size) // (size // SLICES), SLICES, np.arange(size, dtype=np.uint32), np.minimum(total, (1 << 32) - 1).astype(np.uint32))
+                total[:size] += np.bincount(w.hash >> _TO_BUCKET, minlength=size)
+                total[size:] += np.bincount(grams(w, n)[1] >> _TO_BUCKET, minlength=size)
+        over = np.flatnonzero(total > 65535)  # the few that don't fit the narrow counts
+        width = 2 * size // SLICES
+        of_over = over // width
+        for k in range(SLICES):
+            here = over[of_over == k]
+            blob = packed(np.array([k])) + packed(np.minimum(total[k * width : (k + 1) * width], 65535).astype(np.uint16)) + packed(here - k * width, total[here] - 65535)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
     def add(blobs: Iterator[bytes]) -> pa.Table:
-        total = np.zeros(size, np.int64)
+        total, k = np.zeros(2 * size // SLICES, np.int64), 0
         for blob in blobs:
-            at, c = unpacked([blob], ("u4", "u4"))
-            total[at] += c
-            first = at[0]
-        part = total[first : first + size // SLICES]
-        rank = np.minimum(255, 4 * np.log2(1 + part)).astype(np.uint8)
-        return pa.table({"first": pa.array([int(first)], pa.int64()), "rank": [rank.tobytes()], "n": pa.array([int(part.sum())], pa.int64())})
+            part, c, at, more = unpacked([blob], ("i8",), ("u2",), ("i8", "i8"))
+            total += c
+            total[at] += more
+            k = int(part[0])
+        return pa.table({"slice": pa.array([k], pa.int32()), "counts": [total.tobytes()]})
 
-    rows = exchange(docs, count, add, "first long, rank binary, n long").collect()  # SLICES rows
-    rank = np.zeros(size, np.uint8)
-    for r in rows:
-        rank[r["first"] : r["first"] + size // SLICES] = np.frombuffer(r["rank"], np.uint8)
-    return rank, sum(r["n"] for r in rows)
+    total = np.zeros((SLICES, 2 * size // SLICES), np.int64)
+    for r in exchange(docs, count, add, "slice int, counts binary").toLocalIterator():  # SLICES rows
+        total[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    total = total.ravel()
+    return Rarity(total[:size], total[size:])
 
 
-def ordered_sets(w: Words, n: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def ordered_sets(w: Words, n: int, rank: Rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first index of each text's set, names of its n-grams, rare ones first, text of each, fingerprint of each set)."""
-    d, g = grams(w, n)
-    name = (rank[g >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (g & _LOW)
+    d, name = rank.named(w, n)
     order = np.argsort(name)
     order = order[np.argsort(d[order].astype(np.uint16) if w.n <= 1 << 16 else d[order], kind="stable")]
     name, d = name[order], d[order]
@@ -115,8 +146,11 @@ def _linked(blobs: Iterator[bytes], threshold: float) -> pa.Table:
     name, mark, n, rest = name[~again], mark[~again], n[~again], rest[~again]
     run = np.cumsum(np.concatenate(([0], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
     length = np.bincount(run)[run] if len(run) else run
-    passes = length > _LIST  # each set alone passes with a partner of the least length
-    small = np.flatnonzero((length > 1) & ~passes)
+    passes = np.zeros(len(name), bool)
+    for k in np.unique(run[length > _LIST]).tolist():
+        lo, hi = np.searchsorted(run, (k, k + 1))
+        passes[lo:hi] = _has_partner(n[lo:hi], rest[lo:hi], threshold)
+    small = np.flatnonzero((length > 1) & (length <= _LIST))
     size = n[small].astype(np.float64)
     size_up = np.where(size == 65535, np.inf, size)  # longer sets aren't filtered
     left = np.where(size == 65535, np.inf, rest[small] / 255 * size)
@@ -138,29 +172,99 @@ def _linked(blobs: Iterator[bytes], threshold: float) -> pa.Table:
     return pa.table({"mark": pa.array(both[:, 0].astype(np.int64), pa.int64()), "hub": pa.array(both[:, 1].astype(np.int64), pa.int64())})
 
 
-def _bitmaps(row: np.ndarray, name: np.ndarray, m: int, width: int) -> np.ndarray:
-    """A row of `width` parities for each set; sets whose bitmaps differ in k places differ in k n-grams at least."""
-    at = mix(name) % np.uint64(width)
-    return (np.bincount(row * width + at.astype(np.int64), minlength=m * width).reshape(m, width) & 1).astype(np.float32)
+def _has_partner(n: np.ndarray, rest: np.ndarray, threshold: float) -> np.ndarray:
+    """Which sets of a long list pass with some other set of it, by range maxima over the sets in order of size."""
+    order = np.argsort(n, kind="stable")
+    huge = n[order] == 65535
+    size = n[order].astype(np.float64)
+    left = np.where(huge, np.inf, rest[order] / 255 * size)
+    a = threshold / (1 + threshold)
+    spare = left - a * size  # a partner of size m needs spare >= a m of this one, and the other way round
+    table = [spare]
+    while 2 << len(table) - 1 <= len(size):
+        step = 1 << len(table) - 1
+        table.append(np.maximum(table[-1][:-step], table[-1][step:]))
+
+    def most(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        out = np.full(len(lo), -np.inf)
+        some = hi > lo
+        level = np.zeros(len(lo), np.int64)
+        level[some] = np.log2(hi[some] - lo[some]).astype(np.int64)
+        for k, row in enumerate(table):
+            at = some & (level == k)
+            out[at] = np.maximum(row[lo[at]], row[hi[at] - (1 << k)])
+        return out
+
+    low = np.searchsorted(size, threshold * size - 1e-6)
+    high = np.searchsorted(size, np.minimum(size / threshold, spare / a) + 1e-6, side="right")
+    high[huge] = len(size)
+    me = np.arange(len(size))
+    need = a * size - 1e-6
+    found = (most(low, np.minimum(me, high)) >= need) | (most(me + 1, np.maximum(high, me + 1)) >= need) | huge
+    out = np.zeros(len(n), bool)
+    out[order] = found | (bool(huge.any()) & (size >= threshold * 65535))
+    return out
+
+
+def bitmaps(first: np.ndarray, name: np.ndarray, d: np.ndarray) -> list[bytes]:
+    """Parities of each set's n-grams by hash, in twice as many bits as it has n-grams (a power of two): sets whose bits differ in k places differ in k n-grams at least."""
+    width = 1 << np.clip(np.ceil(np.log2(np.maximum(1, 2 * np.diff(first)))).astype(np.int64), 6, 16)
+    begin = np.concatenate(([0], np.cumsum(width)))
+    at = begin[d] + (mix(name) % width[d].astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(at, minlength=int(begin[-1])) & 1).astype(bool)).tobytes()
+    return [bits[lo // 8 : hi // 8] for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def _blocks(m: int, step: int = 1024) -> Iterator[tuple[int, int, int, int]]:
+    for i in range(0, m, step):
+        for j in range(i, m, step):
+            yield i, min(m, i + step), j, min(m, j + step)
+
+
+def _below(hubs: list[np.ndarray], hub: int) -> np.ndarray:
+    """A row for each set: which of the lesser hubs it goes to. Sets with one in common meet there, not here."""
+    lower = [h[h < hub] for h in hubs]
+    of = {h: k for k, h in enumerate(np.unique(np.concatenate(lower)).tolist())}
+    member = np.zeros((len(hubs), len(of)), np.float32)
+    for i, hs in enumerate(lower):
+        member[i, [of[h] for h in hs.tolist()]] = 1
+    return member
+
+
+def _sift(size: np.ndarray, hubs: list[np.ndarray], hub: int, bits: list[bytes], threshold: float) -> np.ndarray:
+    """Which sets of a hub have a partner there by length and by the bitmap filter, |x n y| = (|x| + |y| - |x ^ y|) / 2."""
+    member = _below(hubs, hub)
+    out = np.zeros(len(size), bool)
+    width = np.array([len(b) for b in bits])
+    for w in np.unique(width).tolist():  # partners have as many bits or twice as many, which are folded
+        own = np.flatnonzero((width == w) | (width == 2 * w))
+        rows = [np.frombuffer(bits[i], np.uint8) for i in own.tolist()]
+        matrix = np.unpackbits(np.stack([r if len(r) == w else r[:w] ^ r[w:] for r in rows]), axis=1).astype(np.float32)
+        total, n, who = matrix.sum(1), size[own], member[own]
+        narrow = width[own] == w
+        for i0, i1, j0, j1 in _blocks(len(own)):
+            ni, nj = n[i0:i1, None], n[None, j0:j1]
+            differ = total[i0:i1, None] + total[None, j0:j1] - 2 * (matrix[i0:i1] @ matrix[j0:j1].T)
+            good = (np.minimum(ni, nj) >= threshold * np.maximum(ni, nj) - 1e-6) & ((ni + nj - differ) / 2 >= threshold / (1 + threshold) * (ni + nj) - 1e-6)
+            good &= (np.arange(i0, i1)[:, None] < np.arange(j0, j1)[None]) & (narrow[i0:i1, None] | narrow[None, j0:j1])
+            if good.any() and member.shape[1]:
+                good &= (who[i0:i1] @ who[j0:j1].T) == 0
+            out[own[i0:i1][good.any(1)]] = True
+            out[own[j0:j1][good.any(0)]] = True
+    return out
 
 
 def _verify(ids: np.ndarray, hubs: list[np.ndarray], hub: int, sets: list[np.ndarray], threshold: float, forest: bool) -> tuple[list, list, list]:
     """Pairs of one hub: ids of either, and their similarity. forest: of the pairs only what connects them."""
     m = len(ids)
     size = np.array([len(s) for s in sets], np.int64)
-    lower = [h[h < hub] for h in hubs]
     value, back = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(m), size)
     shared = np.bincount(back)[back] > 1
     index = np.cumsum(np.bincount(back) > 1) - 1
     col, srow = index[back[shared]], row[shared]
     width = int(col.max()) + 1 if len(col) else 0
-    of_hub = {h: k for k, h in enumerate(np.unique(np.concatenate(lower)).tolist())} if any(map(len, lower)) else {}
-    member = np.zeros((m, len(of_hub)), np.float32)
-    for i, hs in enumerate(lower):
-        member[i, [of_hub[h] for h in hs.tolist()]] = 1
-    bits = 1 << int(np.clip(np.ceil(np.log2(2 * np.median(size) + 1)), 6, 12))
-    bitmap = _bitmaps(row, value[back], m, bits)
+    member = _below(hubs, hub)
     root = list(range(m))
 
     def find(i: int) -> int:
@@ -170,50 +274,41 @@ def _verify(ids: np.ndarray, hubs: list[np.ndarray], hub: int, sets: list[np.nda
         return i
 
     out: tuple[list, list, list] = ([], [], [])
-    step = 1024
     first = np.searchsorted(srow, np.arange(m + 1))
-    for i0 in range(0, m, step):
-        i1 = min(m, i0 + step)
-        for j0 in range(i0, m, step):
-            j1 = min(m, j0 + step)
-            ni, nj = size[i0:i1, None], size[None, j0:j1]
-            need = np.ceil(threshold / (1 + threshold) * (ni + nj) - 1e-6)
-            a, b = bitmap[i0:i1], bitmap[j0:j1]
-            differ = a.sum(1)[:, None] + b.sum(1)[None] - 2 * (a @ b.T)
-            # the filter of the suffixes: |x n y| = (|x| + |y| - |x ^ y|) / 2
-            todo = (np.minimum(ni, nj) >= threshold * np.maximum(ni, nj) - 1e-6) & ((ni + nj - differ) / 2 >= need)
-            todo &= np.arange(i0, i1)[:, None] < np.arange(j0, j1)[None]
-            if of_hub:
-                todo &= (member[i0:i1] @ member[j0:j1].T) == 0
-            if not todo.any():
-                continue
-            if todo.sum() < 64:
-                x, y = np.nonzero(todo)
-                common = np.array([len(np.intersect1d(sets[i0 + p], sets[j0 + q], assume_unique=True)) for p, q in zip(x.tolist(), y.tolist(), strict=True)], float)
-            else:
-                overlap = np.zeros((i1 - i0, j1 - j0), np.float32)
-                wide = max(256, _BLOCK // step)
-                si, sj = slice(first[i0], first[i1]), slice(first[j0], first[j1])
-                for c in range(0, width, wide):
-                    u, v = np.zeros((i1 - i0, wide), np.float32), np.zeros((j1 - j0, wide), np.float32)
-                    for mat, s, base in ((u, si, i0), (v, sj, j0)):
-                        here = (col[s] >= c) & (col[s] < c + wide)
-                        mat[srow[s][here] - base, col[s][here] - c] = 1
-                    overlap += u @ v.T
-                x, y = np.nonzero(todo)
-                common = overlap[x, y].astype(float)
-            p, q = x + i0, y + j0
-            similar = common / (size[p] + size[q] - common)
-            good = similar >= threshold - 1e-12
-            for i, j, s in zip(p[good].tolist(), q[good].tolist(), similar[good].tolist(), strict=True):
-                if forest:
-                    ri, rj = find(i), find(j)
-                    if ri == rj:
-                        continue
-                    root[max(ri, rj)] = min(ri, rj)
-                out[0].append(int(ids[i]))
-                out[1].append(int(ids[j]))
-                out[2].append(s)
+    wide = 4096
+    for i0, i1, j0, j1 in _blocks(m):
+        ni, nj = size[i0:i1, None], size[None, j0:j1]
+        todo = (np.minimum(ni, nj) >= threshold * np.maximum(ni, nj) - 1e-6) & (np.arange(i0, i1)[:, None] < np.arange(j0, j1)[None])
+        if member.shape[1]:
+            todo &= (member[i0:i1] @ member[j0:j1].T) == 0
+        if not todo.any():
+            continue
+        if todo.sum() < 64:
+            x, y = np.nonzero(todo)
+            common = np.array([len(np.intersect1d(sets[i0 + p], sets[j0 + q], assume_unique=True)) for p, q in zip(x.tolist(), y.tolist(), strict=True)], float)
+        else:
+            overlap = np.zeros((i1 - i0, j1 - j0), np.float32)
+            si, sj = slice(first[i0], first[i1]), slice(first[j0], first[j1])
+            for c in range(0, width, wide):
+                u, v = np.zeros((i1 - i0, wide), np.float32), np.zeros((j1 - j0, wide), np.float32)
+                for mat, s, base in ((u, si, i0), (v, sj, j0)):
+                    here = (col[s] >= c) & (col[s] < c + wide)
+                    mat[srow[s][here] - base, col[s][here] - c] = 1
+                overlap += u @ v.T
+            x, y = np.nonzero(todo)
+            common = overlap[x, y].astype(float)
+        p, q = x + i0, y + j0
+        similar = common / (size[p] + size[q] - common)
+        good = similar >= threshold - 1e-12
+        for i, j, s in zip(p[good].tolist(), q[good].tolist(), similar[good].tolist(), strict=True):
+            if forest:
+                ri, rj = find(i), find(j)
+                if ri == rj:
+                    continue
+                root[max(ri, rj)] = min(ri, rj)
+            out[0].append(int(ids[i]))
+            out[1].append(int(ids[j]))
+            out[2].append(s)
     return out
 
 
@@ -228,9 +323,9 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, for
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
-    rank, total = sketch(base, n)
-    ranks = spark.sparkContext.broadcast(rank)  # 1 MB
-    parts = max(1, -(-int(total * (1 - threshold)) // PART))
+    rank = rarity(base, n)
+    ranks = spark.sparkContext.broadcast(rank)  # 4 MB
+    parts = max(1, -(-int(rank.grams * (1 - threshold)) // PART))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,53 +343,95 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, for
                 name, *rest = [np.concatenate(c) for c in got]
                 yield from split((mix(name.copy()) % np.uint64(parts)).astype(np.int64), parts, name, *rest)
 
-    links = exchange(base, postings, lambda blobs: _linked(blobs, threshold), "mark long, hub long")
-    found = written(links.groupBy("mark").agg(F.array_sort(F.collect_set("hub")).alias("hubs")))
-    named = None
-    if found.count() <= NAMED:
-        named = spark.sparkContext.broadcast(np.sort(np.array(found.select("mark").toArrow().column(0).to_numpy(), dtype=np.uint64)))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links = written(exchange(base, postings, lambda blobs: _linked(blobs, threshold), "mark long, hub long").distinct())
+    # a hub is of use to two sets or more; a repeated set has itself for a hub, alone
+    met = links.join(links.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1"), "hub").groupBy("mark").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))
+    found = written(links.select("mark").distinct().join(met, "mark", "left"))
+
+    def named_to(df: DataFrame, *columns: str) -> Broadcast | None:
+        """The columns' values in order of marks, if they are few enough to name; else all sets go on to the join."""
+        if df.count() > NAMED:
+            return None
+        got = df.select("mark", *columns).toArrow()
+        mark = got.column("mark").to_numpy().astype(np.uint64)
+        order = np.argsort(mark)
+        return spark.sparkContext.broadcast((mark[order], *[got.column(c).to_numpy()[order] for c in columns]))
+
+    def chosen(mark: np.ndarray, names: Broadcast | None, ids: np.ndarray | None = None) -> np.ndarray:
+        if names is None:
+            return np.ones(len(mark), bool)
+        known = names.value[0]
+        if not len(known):
+            return np.zeros(len(mark), bool)
+        at = np.minimum(np.searchsorted(known, mark), len(known) - 1)
+        return (known[at] == mark) & (True if ids is None else names.value[1][at] == ids)
+
+    every = named_to(found)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
             for i, j, w in words(batch.column(1)):
-                first, name, _, mark = ordered_sets(w, n, ranks.value)
-                keep = np.diff(first) > 0
-                if named is not None:
-                    at = np.searchsorted(named.value, mark)
-                    keep &= (at < len(named.value)) & (named.value[np.minimum(at, len(named.value) - 1)] == mark) if len(named.value) else False
-                rows = np.flatnonzero(keep)
-                blobs = []
-                for k in rows.tolist():
-                    blobs.append(b"" if int(mark[k]) in seen else name[first[k] : first[k + 1]].tobytes())
-                    seen.add(int(mark[k]))
-                yield pa.RecordBatch.from_arrays([pa.array(mark[rows].astype(np.int64), pa.int64()), batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(blobs, pa.binary())], names=["mark", "doc_id", "grams"])
-
-    groups = written(
-        base.mapInArrow(sets, "mark long, doc_id long, grams binary").groupBy("mark").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"), F.max("grams").alias("grams")).join(found, "mark")
-    )
+                first, name, d, mark = ordered_sets(w, n, ranks.value)
+                rows = np.flatnonzero((np.diff(first) > 0) & chosen(mark, every))
+                bits = bitmaps(first, name, d)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mark[rows].astype(np.int64), pa.int64()), batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(np.diff(first)[rows], pa.int64()), pa.array([bits[k] for k in rows.tolist()], pa.binary())],
+                    names=["mark", "doc_id", "size", "bits"],
+                )
+
+    same = base.mapInArrow(members, "mark long, doc_id long, size long, bits binary").groupBy("mark").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"), F.max("size").alias("size"), F.max("bits").alias("bits"))
+    groups = written(same.join(found, "mark"))
     twins = groups.where(F.size("ids") > 1).select(F.col("ids")[0].alias("doc_a"), F.explode(F.slice("ids", 2, F.greatest(F.lit(1), F.size("ids") - 1))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    meet = groups.select(F.col("ids")[0].alias("doc_id"), "hubs", "grams", F.explode("hubs").alias("hub"))
+    rooms = F.pmod(F.xxhash64("hub"), F.lit(max(8, parts))).alias("room")
 
-    def verify(table: pa.Table) -> pa.Table:
+    def by_hub(table: pa.Table) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """(hub, rows, their hubs) of the hubs with two rows or more."""
         hub = table.column("hub").to_numpy()
         order = np.argsort(hub, kind="stable")
         edge = np.flatnonzero(np.concatenate(([True], np.diff(hub[order]) != 0, [True]))) if len(hub) else np.zeros(1, np.int64)
-        ids, hubs, grams_of = table.column("doc_id").to_numpy(), table.column("hubs"), table.column("grams")
-        a: list[int] = []
-        b: list[int] = []
-        s: list[float] = []
+        hubs = table.column("hubs")
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if hi - lo > 1:
-                rows = order[lo:hi]
-                x, y, z = _verify(ids[rows], [np.array(hubs[int(r)].as_py()) for r in rows], int(hub[rows[0]]), [np.frombuffer(grams_of[int(r)].as_py(), np.uint64) for r in rows], threshold, forest)
-                a += x
-                b += y
-                s += z
-        return pa.table({"doc_a": pa.array(np.minimum(a, b).astype(np.int64) if a else [], pa.int64()), "doc_b": pa.array(np.maximum(a, b).astype(np.int64) if a else [], pa.int64()), "jaccard": pa.array(s, pa.float64())})
-
-    rooms = F.pmod(F.xxhash64("hub"), F.lit(max(8, parts)))
-    near = meet.withColumn("room", rooms).groupBy("room").applyInArrow(verify, "doc_a long, doc_b long, jaccard double")
+                yield int(hub[order[lo]]), order[lo:hi], [np.array(hubs[r].as_py()) for r in order[lo:hi].tolist()]
+
+    def sift(table: pa.Table) -> pa.Table:
+        size, bits, mark = table.column("size").to_numpy(), table.column("bits"), table.column("mark").to_numpy()
+        marks, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for hub, rows, hubs in by_hub(table):
+            kept = rows[_sift(size[rows], hubs, hub, [bits[r].as_py() for r in rows.tolist()], threshold)]
+            marks.append(mark[kept])
+            at.append(np.full(len(kept), hub))
+        return pa.table({"mark": np.concatenate(marks), "hub": np.concatenate(at)})
+
+    meet = groups.where("hubs is not null").select("mark", "size", "bits", "hubs", F.explode("hubs").alias("hub"))
+    sifted = meet.select("*", rooms).groupBy("room").applyInArrow(sift, "mark long, hub long").groupBy("mark").agg(F.collect_list("hub").alias("at"))
+    # of equal sets the least document's is sent on
+    least = written(groups.join(sifted, "mark").select("mark", F.col("ids")[0].alias("doc_id"), "hubs", "at"))
+    senders = named_to(least, "doc_id")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, j, w in words(batch.column(1)):
+                first, name, _, mark = ordered_sets(w, n, ranks.value)
+                rows = np.flatnonzero((np.diff(first) > 0) & chosen(mark, senders, ids[i:j]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mark[rows].astype(np.int64), pa.int64()), pa.array(ids[i:j][rows], pa.int64()), pa.array([name[first[k] : first[k + 1]].tobytes() for k in rows.tolist()], pa.binary())],
+                    names=["mark", "doc_id", "grams"],
+                )
+
+    sent = base.mapInArrow(sets, "mark long, doc_id long, grams binary").dropDuplicates(["mark", "doc_id"]).join(least, ["mark", "doc_id"]).select("doc_id", "hubs", "grams", F.explode("at").alias("hub"))
+
+    def verify(table: pa.Table) -> pa.Table:
+        ids, grams_of = table.column("doc_id").to_numpy(), table.column("grams")
+        out: tuple[list[int], list[int], list[float]] = ([], [], [])
+        for hub, rows, hubs in by_hub(table):
+            for mine, more in zip(out, _verify(ids[rows], hubs, hub, [np.frombuffer(grams_of[r].as_py(), np.uint64) for r in rows.tolist()], threshold, forest), strict=True):
+                mine.extend(more)
+        a, b = np.array(out[0], np.int64), np.array(out[1], np.int64)
+        return pa.table({"doc_a": np.minimum(a, b), "doc_b": np.maximum(a, b), "jaccard": np.array(out[2], float)})
+
+    near = sent.select("*", rooms).groupBy("room").applyInArrow(verify, "doc_a long, doc_b long, jaccard double")
     return twins.unionByName(near)
 
 
