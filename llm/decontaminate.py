@@ -31,6 +31,7 @@ COMMON, COMMON_LEAST = 0.05, 100  # words in more than this share of passages (a
 LEAST_WORDS = 5  # shorter items aren't searched
 BITS = 20
 SLICES = 16
+DENSE = 6000  # columns up to which a task holds all products of two
 
 
 class Benchmark:
@@ -111,6 +112,23 @@ def latent_basis(docs: DataFrame, bench: Benchmark, idf: np.ndarray, other: floa
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, rank), np.float32)
+        dense = size <= DENSE
+        gram = np.zeros(size * size if dense else 0, np.float32)
+
+        def add_rows(c: np.ndarray, t: np.ndarray, x: np.ndarray) -> None:
+            """A'A of a run of passages: products of the few columns of each. With many columns, times omega at once."""
+            head = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+            n = np.diff(np.append(head, len(c)))
+            left, k = expand(np.repeat(n, n))
+            right = np.repeat(head, n)[left] + k
+            if dense:
+                np.add.at(gram, t[left] * size + t[right], x[left] * x[right])
+            else:
+                key, back = np.unique(t[left] * size + t[right], return_inverse=True)
+                sums = np.bincount(back, x[left] * x[right]).astype(np.float32)
+                first = np.flatnonzero(np.concatenate(([True], key[1:] // size != key[:-1] // size)))
+                total[key[first] // size] += np.add.reduceat(omega[key % size] * sums[:, None], first, axis=0)
+
         for batch in batches:
             for _, _, w in words(batch.column(0)):
                 cell, before = cells(w, WIDTH)
@@ -121,16 +139,9 @@ def latent_basis(docs: DataFrame, bench: Benchmark, idf: np.ndarray, other: floa
                     continue
                 norm = np.sqrt(np.bincount(cell, weight**2, minlength=int(before[-1])))
                 c, t, n = counts(cell[some], col[some].astype(np.int64), size)
-                x = (n * idf[t] / np.maximum(1e-9, norm[c])).astype(np.float32)
-                for lo in range(0, len(c), 1 << 15):  # runs of whole rows don't matter: products add up by column
-                    hi = min(len(c), lo + (1 << 15))
-                    head = np.flatnonzero(np.concatenate(([True], c[lo + 1 : hi] != c[lo : hi - 1])))
-                    y = np.add.reduceat(omega[t[lo:hi]] * x[lo:hi, None], head, axis=0)
-                    row = np.repeat(np.arange(len(head)), np.diff(np.append(head, hi - lo)))
-                    order = np.argsort(t[lo:hi], kind="stable")
-                    tt = t[lo:hi][order]
-                    first = np.flatnonzero(np.concatenate(([True], tt[1:] != tt[:-1])))
-                    total[tt[first]] += np.add.reduceat(y[row[order]] * x[lo:hi][order][:, None], first, axis=0)
+                add_rows(c, t, (n * idf[t] / np.maximum(1e-9, norm[c])).astype(np.float32))
+        if dense:
+            total = gram.reshape(size, size) @ omega
         at = np.arange(size)
         yield from split(at * SLICES // max(1, size), SLICES, at.astype(np.int64), total)
 
@@ -188,10 +199,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
     basis = latent_basis(only, bench, idf, other, rank)
     of_items = bench.matrix(idf) @ basis
     of_items /= np.maximum(1e-9, np.linalg.norm(of_items, axis=1, keepdims=True))
-    sent = spark.sparkContext.broadcast((bench, idf, basis, of_items))  # columns x rank: grows with the benchmark alone
+    # a word's part in the cosine with each item: the word goes into the latent space, and is multiplied with the item there
+    parts = (basis @ of_items.T).astype(np.float32)
+    sent = spark.sparkContext.broadcast((bench, idf, parts, np.maximum(0, parts.max(axis=1))))  # columns x items: grows with the benchmark alone
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench, idf, basis, of_items = sent.value
+        bench, idf, parts, most = sent.value
         for batch in batches:
             rows: list[tuple] = []
             for i, _, w in words(batch.column(0)):
@@ -222,13 +235,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
                 p, t, n = counts(owner[keep], col[at[keep]].astype(np.int64), bench.size)
                 x = (n * idf[t]).astype(np.float32)
                 norm = np.sqrt(np.bincount(p, x.astype(np.float64) ** 2, minlength=len(likely)) + outside[likely])
+                # the sum of each word's greatest part bounds the cosine with any item
+                able = np.bincount(p, x * most[t], minlength=len(likely)) >= cosine * norm - 1e-6
+                p, t, x = p[able[p]], t[able[p]], x[able[p]]
+                if not len(p):
+                    continue
                 head = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
                 for b in range(0, len(head), 4096):
                     e = min(len(head), b + 4096)
                     s0, s1 = head[b], head[e] if e < len(head) else len(p)
-                    latent = np.add.reduceat(basis[t[s0:s1]] * x[s0:s1, None], head[b:e] - s0, axis=0)
                     passage = p[head[b:e]]
-                    near = (latent @ of_items.T) / np.maximum(1e-9, norm[passage])[:, None]
+                    near = np.add.reduceat(parts[t[s0:s1]] * x[s0:s1, None], head[b:e] - s0, axis=0) / np.maximum(1e-9, norm[passage])[:, None]
                     for q, item in zip(*np.nonzero(near >= cosine), strict=True):
                         j = passage[q]
                         doc = int(text_of[likely[j]])
