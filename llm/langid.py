@@ -48,8 +48,8 @@ def vectors(texts: pa.Array, dimensions: int = DIMENSIONS) -> Iterator[tuple[int
         doc = np.repeat(np.arange(j - i), np.diff(lead[offs]))
         points = _letter_points(points)
         # one 0 before each text and after it; runs of 0 are one
-        at = np.concatenate((lead[offs[:-1]], lead[offs[1:]]))
-        points, doc = np.insert(points, at, 0), np.insert(doc, at, np.concatenate((np.arange(j - i), np.arange(j - i))))
+        at = np.column_stack((lead[offs[:-1]], lead[offs[1:]])).ravel()
+        points, doc = np.insert(points, at, 0), np.insert(doc, at, np.repeat(np.arange(j - i), 2))
         keep = np.ones(len(points), dtype=bool)
         keep[1:] = (points[1:] != 0) | (points[:-1] != 0) | (doc[1:] != doc[:-1])
         points, doc = points[keep], doc[keep]
