@@ -1,0 +1,141 @@
+"""URL filter: logistic regression on hashed character n-grams of host and path.
+
+Host and path are cut out in the JVM; their n-grams are hashed with different salts, so that a word counts
+by where it stands. The labelled table is small and is a parameter; SEEDS is made of common words of either kind.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table
+from .textscan import chunks, expand, mix
+
+BITS = 18
+GRAMS = (3, 4, 5)
+THRESHOLD = 0.5
+LABELLED_MOST = 100_000  # labelled rows that are fitted on, at most
+_SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+_BAD = "casino poker slots jackpot roulette betting bets win-big lottery pills pharmacy viagra cialis meds cheap adult xxx porn sex escort cams spam-farm linkfarm seo-spam clickbait ads adserver track tracker popads popunder banner warez crack keygen torrent payday loans forex-profit get-rich miracle-cure".split()
+_GOOD = "news times journal herald blog wiki library museum university college school science research health garden cooking travel maps weather history music film books art docs code forum support community city council sports theatre nature energy street river mountain station letters notes review".split()
+_EITHER = "win free top my best online daily shop world point club hub".split()
+_SYLLABLES = "an ba ce do er fi go ha in ju ka lo me ne or pa qui re st th un ve wo xa yo zu tion ing ly ou sh ch ble ea".split()
+
+
+def seeds() -> list[tuple[str, int]]:
+    """A small labelled table: 1 for unwanted."""
+    out = []
+
+    def address(k: int, name: str) -> str:
+        """The same subdomains, endings and paths for either kind: what tells them apart is names."""
+        path = ("", f"/{k}", f"/{('en', 'fr', 'de', 'es')[k // 3 % 4]}/{k * 37}", f"/page/{k}.html", f"/{('en', 'fr', 'de', 'es')[k // 5 % 4]}/{k * 13}/?ref=x")[k % 5]
+        return f"http{'s' * (k % 2)}://{('', 'www.', 'm.', 'blog.')[k // 2 % 4]}{name}.example.{('com', 'net', 'org')[k % 3]}{path}"
+
+    for label, names in ((1, _BAD), (0, _GOOD)):
+        for k, word in enumerate(names):
+            mate = names[(k * 7 + 3) % len(names)]
+            one, two = _EITHER[k % len(_EITHER)], _EITHER[(k * 3 + 5) % len(_EITHER)]
+            for t, name in enumerate((word, f"{word}-{mate}", f"{one}-{word}", f"{word}-{two}", f"{word}{one}", f"{word}{mate}", f"{mate}-{word}-{k}")):
+                out.append((address(k * 7 + t * 3 + k // 4, name), label))
+    for k in range(300):
+        out.append((address(k, "".join(_SYLLABLES[(k * (j + 3) + j * j * 11 + k // 7) % len(_SYLLABLES)] for j in range(2 + k % 3))), 0))
+    return out
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^@/?#]*@)?([^:/?#]*)", 1))
+
+
+def path_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.trim(url), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1))
+
+
+def features(column: pa.Array, salt: np.uint64) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, row, bucket) of the n-grams of runs of rows, with a mark at either end of each string."""
+    for i, j, offs, data in chunks(column):
+        size = np.diff(offs)
+        owner, k = expand(size + 2)
+        inner = (k > 0) & (k <= size[owner])
+        raw = np.full(len(owner), 1, np.uint64)
+        raw[inner] = data[offs[owner[inner]] + k[inner] - 1]
+        raw[k == 0] = 2
+        rows, buckets = [], []
+        for n in GRAMS:
+            m = max(0, len(raw) - n + 1)
+            code = np.zeros(m, np.uint64)
+            for t in range(n):
+                code = (code << np.uint64(8)) | raw[t : t + m]
+            same = owner[:m] == owner[n - 1 : n - 1 + m]
+            rows.append(owner[:m][same])
+            buckets.append((mix(code[same] ^ np.uint64(int(salt) * n % (1 << 64))) >> np.uint64(64 - BITS)).astype(np.int64))
+        yield i, j, np.concatenate(rows), np.concatenate(buckets)
+
+
+def design(host: pa.Array, path: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value): n-grams of host and path, each part scaled to its number."""
+    parts = []
+    for column, salt in zip((host, path), _SALTS, strict=True):
+        for i, j, row, bucket in features(column, salt):
+            parts.append((row + i, bucket, 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=j - i)))[row]))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def fit(host: pa.Array, path: pa.Array, label: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias, by AdaGrad on all labelled rows; the classes weigh alike."""
+    weights, bias = np.zeros(1 << BITS), 0.0
+    n = len(label)
+    if not n:
+        return weights.astype(np.float32), -20.0
+    row, bucket, value = design(host, path)
+    share = np.clip(label.mean(), 1e-3, 1 - 1e-3)
+    each = np.where(label == 1, 0.5 / share, 0.5 / (1 - share)) / n
+    seen, seen_bias = np.full(1 << BITS, 1e-6), 1e-6
+    for _ in range(rounds):
+        z = np.bincount(row, value * weights[bucket], minlength=n) + bias
+        error = each * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - label)
+        g = np.bincount(bucket, value * error[row], minlength=1 << BITS) + 1e-5 * weights
+        seen += g * g
+        seen_bias += error.sum() ** 2
+        weights -= 0.3 * g / np.sqrt(seen)
+        bias -= 0.3 * error.sum() / np.sqrt(seen_bias)
+    return weights.astype(np.float32), float(bias)
+
+
+def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label") -> tuple[np.ndarray, float]:
+    """Fitted on the labelled rows, at most LABELLED_MOST of them, in order of a hash; rows with a null in either column aren't used."""
+    rows = labelled.select(F.col(url_col).alias("url"), F.col(label_col).cast("int").alias("label")).where("url is not null and label in (0, 1)")
+    got = rows.select("url", "label", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).orderBy(F.xxhash64("url"), "url", "label").limit(LABELLED_MOST).toArrow()
+    return fit(got.column("host").combine_chunks(), got.column("path").combine_chunks(), got.column("label").to_numpy().astype(float))
+
+
+def rate(pages: DataFrame, model: tuple[np.ndarray, float], id_col: str = "page_id", url_col: str = "url", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each page: page_id, url, host, score (probability of unwanted), blocked (score at the threshold or above).
+
+    A null or blank URL has a null host and score and isn't blocked. A URL without scheme has no host, and is
+    rated by its path. Repeated rows are rated each time, a null page_id stays null. Other columns are ignored.
+    An empty table gives no rows, and labels of no rows block nothing.
+    """
+    sent = pages.sparkSession.sparkContext.broadcast(model)  # 1 MB
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = sent.value
+        for batch in batches:
+            row, bucket, value = design(batch.column(3), batch.column(4))
+            z = np.bincount(row, value * weights[bucket], minlength=batch.num_rows) + bias
+            p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(p), pa.array(p >= threshold)], names=["page_id", "url", "host", "score", "blocked"])
+
+    some = F.length(F.trim(F.col("url"))) > 0
+    cut = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")).select("page_id", "url", F.when(some, host_of(F.col("url"))).alias("shown"), F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"))
+    rated = cut.mapInArrow(score, "page_id long, url string, host string, score double, blocked boolean")
+    return rated.withColumns({"score": F.when(some, F.col("score")), "blocked": F.coalesce(some, F.lit(False)) & F.col("blocked")})
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate(table(spark, sf_dir, "pages"), train(spark.createDataFrame(seeds(), "url string, label int")))
