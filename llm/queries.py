@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, packing, quality, repeats, suffixes, toxicity, urlfilter
+from . import decontaminate, images, jaccard, langid, packing, quality, repeats, suffixes, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_image_copies": images.query,
     "op2_urlfilter": urlfilter.query,
     "op3_packing": packing.query,
     "op4_jaccard_join": jaccard.query,
