@@ -27,6 +27,7 @@ LENGTH = 50  # words of the shortest repeat
 K = 20
 PER_PART = 60_000  # anchors in a part, about
 BYTES_PER_WORD = 5
+FLUSH = 1_500_000  # stretches that a mapper holds
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -116,10 +117,16 @@ def spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_
     window = length - k + 1
     parts = max(1, int(size / BYTES_PER_WORD * 2 / (window + 1) / PER_PART) + 1)
 
+    def send(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in got]
+        part = (columns[2] % np.uint64(parts)).astype(np.int64)
+        yield from split(part, parts, *columns[:6], detail=(np.repeat(part, columns[5]), *columns[6:]))
+
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[list[np.ndarray]] = [[] for _ in range(8)]
+        held = 0
         for batch in batches:
             key, doc = (batch.column(c).to_numpy() for c in (0, 1))
-            got: list[list[np.ndarray]] = [[] for _ in range(8)]
             for i, _, w in words(batch.column(2)):
                 d, begin, at = anchors(w, length, k)
                 if not len(d):
@@ -130,10 +137,12 @@ def spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_
                 columns = (key[i + d], doc[i + d], mix(rolling(w.hash, k)[a] ^ _SALT), (a - w.first[d]).astype("u4"), (a - begin[lead]).astype("u1"), np.diff(np.append(lead, len(at))).astype("u1"), (whole >> np.uint64(32)).astype("u4"), (whole >> np.uint64(16)).astype("u2"))
                 for out, c in zip(got, columns, strict=True):
                     out.append(c)
-            if got[0]:
-                columns = [np.concatenate(c) for c in got]
-                part = (columns[2] % np.uint64(parts)).astype(np.int64)
-                yield from split(part, parts, *columns[:6], detail=(np.repeat(part, columns[5]), *columns[6:]))
+                held += len(begin)
+                if held >= FLUSH:
+                    yield from send(got)
+                    got, held = [[] for _ in range(8)], 0
+        if held:
+            yield from send(got)
 
     return exchange(base, seed, lambda blobs: _flags(blobs, length), "key long, doc_id long, start long, end long, later boolean")
 
