@@ -62,7 +62,7 @@ def search(df: DataFrame, query: str, doc_id: str, fields: Sequence[str], mode:
         df_w = stats[f"d{i}"]
         if not df_w:
             continue
-        tf = F.size(F.filter("__t", lambda x, w=w: x == w)).cast("double")
+        tf = times("__t", w)
         if mode == "bm25":
             idf = math.log(1 + (n - df_w + 0.5) / (df_w + 0.5))
             parts.append(F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("__t") / avgdl)))
@@ -71,6 +71,10 @@ def search(df: DataFrame, query: str, doc_id: str, fields: Sequence[str], mode:
     return hits.withColumn("score", reduce(lambda x, y: x + y, parts, F.lit(0.0))).drop("__t")
 
 
+def times(of: str, word: str) -> Column:
+    return F.size(F.filter(of, lambda x: x == word)).cast("double")
+
+
 def postings(df: DataFrame, doc_id: str, fields: Sequence[str]) -> DataFrame:
     """(term, doc_id, tf, dl): an inverted index, to be written sorted by term. tf stops at 65535."""
     base = df.select(F.col(doc_id).alias("doc_id"), terms(document(fields)).alias("t"))

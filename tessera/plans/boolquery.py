@@ -49,7 +49,7 @@ def parse(text: str) -> Node:
         if _outside(text, m.start()):
             return Op(re.sub(r"\s+", "", m[1]).upper(), parse(text[: m.start()]), parse(text[m.end() :]))
         at = m.start() + 1
-    if "(" in text or re.fullmatch(r"(?i)(and|or|not|andnot)\b.*", text):
+    if "(" in text:
         raise ValueError("malformed query")
     return Term(text.strip('"'))
 
