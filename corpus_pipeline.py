@@ -18,6 +18,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: the documents that the weak-label model rates good."""
+    shared_dir(spark)
     return quality.keep_good(docs)
 
 
@@ -35,6 +36,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: the documents that hold no benchmark item."""
+    shared_dir(spark)
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 

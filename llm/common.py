@@ -8,11 +8,21 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+
+BATCH_BYTES = 8 << 20
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts end at BATCH_BYTES, for as long as the session has Spark's own limit: a worker holds a few copies of a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).lower().rstrip("b") in ("64m", "67108864", "2147483647", "-1"):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    narrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, which the session names in spark.checkpoint.dir.
 
     Only where that is unset (a local session, as in tests) is a temporary folder made and set."""
+    narrow_batches(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not folder:
@@ -40,11 +51,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_hash(*columns: str) -> Column:
-    """A hash of the named columns; with the id it tells rows apart, so rows that agree in both are the same row repeated."""
-    return F.xxhash64(*[F.col(c) for c in columns])
-
-
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of one length as bytes: their count, then one after the other."""
     return b"".join([len(columns[0]).to_bytes(8, "little"), *[np.ascontiguousarray(c).tobytes() for c in columns]])
@@ -84,6 +90,7 @@ def exchange(df: DataFrame, mapper: Callable, reducer: Callable[[Iterator[bytes]
     A blob holds some ten thousand records, so the shuffle moves few rows and no task works record by record."""
 
     def reduce(table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         return reducer(x.as_py() for x in table.column("blob"))
 
     return df.mapInArrow(mapper, "part int, blob binary").groupBy("part").applyInArrow(reduce, schema)

@@ -30,7 +30,8 @@ N = 3
 THRESHOLD = 0.6
 SKETCH_BITS = 20
 SLICES = 16
-PART = 2_000_000  # prefix postings in a part
+PART = 1_000_000  # prefix postings in a part
+FLUSH = 1_000_000  # and those that a mapper holds
 NAMED = 4_000_000  # candidate sets that are named to the mappers, at most; with more, all sets are joined
 _TO_BUCKET = np.uint64(64 - SKETCH_BITS)
 _LOW = np.uint64((1 << 56) - 1)
@@ -327,9 +328,14 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, for
     ranks = spark.sparkContext.broadcast(rank)  # 4 MB
     parts = max(1, -(-int(rank.grams * (1 - threshold)) // PART))
 
+    def send(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        name, *rest = [np.concatenate(c) for c in got]
+        yield from split((mix(name.copy()) % np.uint64(parts)).astype(np.int64), parts, name, *rest)
+
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[list[np.ndarray]] = [[], [], [], []]
+        held = 0
         for batch in batches:
-            got: list[list[np.ndarray]] = [[], [], [], []]
             for _, _, w in words(batch.column(1)):
                 first, name, d, mark = ordered_sets(w, n, ranks.value)
                 size = np.diff(first)
@@ -339,9 +345,12 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, for
                 m = size[d]
                 for out, c in zip(got, (name[keep], mark[d], np.minimum(m, 65535).astype("u2"), np.ceil(255 * (m - place) / m).astype("u1")), strict=True):
                     out.append(c)
-            if got[0]:
-                name, *rest = [np.concatenate(c) for c in got]
-                yield from split((mix(name.copy()) % np.uint64(parts)).astype(np.int64), parts, name, *rest)
+                held += len(d)
+                if held >= FLUSH:
+                    yield from send(got)
+                    got, held = [[], [], [], []], 0
+        if held:
+            yield from send(got)
 
     links = written(exchange(base, postings, lambda blobs: _linked(blobs, threshold), "mark long, hub long").distinct())
     # a hub is of use to two sets or more; a repeated set has itself for a hub, alone
