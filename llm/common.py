@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .textscan import release
+
 
 BATCH_BYTES = 8 << 20
 
@@ -90,7 +92,7 @@ def exchange(df: DataFrame, mapper: Callable, reducer: Callable[[Iterator[bytes]
     A blob holds some ten thousand records, so the shuffle moves few rows and no task works record by record."""
 
     def reduce(table: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
+        release()
         return reducer(x.as_py() for x in table.column("blob"))
 
     return df.mapInArrow(mapper, "part int, blob binary").groupBy("part").applyInArrow(reduce, schema)

@@ -8,6 +8,7 @@ digits and of non-ASCII letters; general punctuation (U+2000..U+206F) and the La
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21  # texts are scanned in runs of about this many bytes; a longer text is a run of its own
+CHUNK_BYTES = 1 << 20  # texts are scanned in runs of about this many bytes; a longer text is a run of its own
 _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
@@ -126,8 +127,23 @@ def scan(offs: np.ndarray, data: np.ndarray) -> Words:
     return Words(data, n, start, end, np.searchsorted(start, offs), h)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not this C library
+    _trim = None
+
+
+def release() -> None:
+    """Freed memory goes back to the system: workers are reused, and what one task has freed another worker may need."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def words(column: pa.Array, fold: bool = True) -> Iterator[tuple[int, int, Words]]:
     """(from, to, words) of runs of whole texts of the column."""
+    if column.nbytes > CHUNK_BYTES:
+        release()
     if fold:
         column = pc.utf8_lower(column)
     for i, j, offs, data in chunks(column):
