@@ -24,6 +24,7 @@ from .textscan import Words, expand, hash_of, words
 
 WIDTH, STEP = 32, 16
 RANK = 256
+KEPT = 0.8  # an item of less of its length in the latent space is searched by all of its words
 COSINE = 0.35
 COVERAGE = 0.8  # share of an item's words, in order, that is a leak by itself
 PARAPHRASE, ANSWER = 0.55, 0.6  # or this share, with this share of the answer
@@ -197,10 +198,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
     only = base.select("text")
     idf, other = frequencies(only, bench)
     basis = latent_basis(only, bench, idf, other, rank)
-    of_items = bench.matrix(idf) @ basis
-    of_items /= np.maximum(1e-9, np.linalg.norm(of_items, axis=1, keepdims=True))
+    whole = bench.matrix(idf)
+    of_items = whole @ basis
+    length = np.linalg.norm(of_items, axis=1, keepdims=True)
+    of_items /= np.maximum(1e-9, length)
     # a word's part in the cosine with each item: the word goes into the latent space, and is multiplied with the item there
-    parts = (basis @ of_items.T).astype(np.float32)
+    parts = np.where(length[:, 0] >= KEPT, basis @ of_items.T, whole.T).astype(np.float32)  # with more items than rank, most lie outside of the space
     sent = spark.sparkContext.broadcast((bench, idf, parts, np.maximum(0, parts.max(axis=1))))  # columns x items: grows with the benchmark alone
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,6 +66,16 @@ def test_against_brute_force(spark):
         assert kept == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def test_more_items_than_the_rank(spark):
+    rng = random.Random(12)
+    # few words in common, as items of many subjects have
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(38))) for k in range(300)]
+    rows = [(i, " ".join([sentence(rng, 40), items[i][1], sentence(rng, 40)])) for i in range(100)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.leaks(docs_frame(spark, rows), bench, rank=32).collect()}
+    assert len(got & {(i, i) for i in range(100)}) >= 90
+
+
 def test_common_length():
     rng = random.Random(3)
     for _ in range(100):
