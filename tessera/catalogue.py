@@ -433,6 +433,13 @@ def vec_batch(spark, d):
     return vectors.batch_search(df, df.where("vec_id < 20"), 5, "cosine", "vec_id", "embedding").select("query_id", "id")
 
 
+@query()
+def vec_batch_all(spark, d):
+    """As vec_batch, for every row; tests hold it against brute force."""
+    df = table(spark, d, "embeddings")
+    return vectors.batch_search(df, df, 5, "cosine", "vec_id", "embedding").select("query_id", "id")
+
+
 def _ivf(spark: SparkSession, d: str, probe: int | None, n_sub: int = 0) -> DataFrame:
     df = table(spark, d, "embeddings")
     index = vectors.InvertedFile("cosine", 16, n_sub, 6).train(df, "vec_id", "embedding")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("cosine", "dot", "l2")
+BLOCK = 50_000  # queries that every task holds at once, about
+_SCORES = 4_000_000  # that a task holds
 TRAIN_MOST = 100_000  # rows that centroids are trained on, at most
 
 
@@ -42,10 +45,16 @@ def flat_search(df: DataFrame, query: Sequence[float], k: int, metric: str = "co
 
 
 def batch_search(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "vec") -> DataFrame:
-    """(query_id, id, score): the k nearest for many queries. Each Arrow batch of vectors is multiplied with all queries and keeps its k best, so a scan serves all and k rows a batch and query are shuffled."""
+    """(query_id, id, score): the k nearest for many queries. Each Arrow batch of vectors is multiplied with all queries and keeps its k best, so a scan serves a block of queries and k rows a batch and query are shuffled."""
+    blocks = -(-queries.count() // BLOCK)
+    if blocks > 1:
+        some = [queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b) for b in range(blocks)]
+        return reduce(DataFrame.unionAll, [_batch_search(df, x, k, metric, id_col, vector_col) for x in some])
+    return _batch_search(df, queries, k, metric, id_col, vector_col)
+
+
+def _batch_search(df: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vector_col: str) -> DataFrame:
     got = queries.select(F.col(id_col), F.col(vector_col)).toArrow()
-    if got.num_rows > 100_000:
-        raise ValueError("split the queries: they are held by every task")
     qid = got.column(0).to_numpy()
     q = np.stack(got.column(1).to_numpy(zero_copy_only=False)).astype(np.float32) if len(qid) else np.zeros((0, 1), np.float32)
 
@@ -62,11 +71,14 @@ def batch_search(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
                 continue
             ids = batch.column(0).to_numpy()
             x = unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float32))
-            s = q @ x.T
-            if metric == "l2":
-                s = 2 * s - (x * x).sum(1)[None] - (q * q).sum(1)[:, None]
-            top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, top.shape[1])), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel().astype(float))], names=["query_id", "id", "score"])
+            step = max(1, _SCORES // len(x))
+            for at in range(0, len(q), step):
+                some = q[at : at + step]
+                s = some @ x.T
+                if metric == "l2":
+                    s = 2 * s - (x * x).sum(1)[None] - (some * some).sum(1)[:, None]
+                top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[at : at + step], top.shape[1])), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel().astype(float))], names=["query_id", "id", "score"])
 
     near = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col)).mapInArrow(best, "query_id long, id long, score double")
     ordered = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k)
