@@ -313,12 +313,12 @@ def _verify(ids: np.ndarray, hubs: list[np.ndarray], hub: int, sets: list[np.nda
     return out
 
 
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """Pairs of documents whose sets of word n-grams have Jaccard similarity `threshold` or more: doc_a < doc_b, jaccard.
 
     Documents with equal sets are one set with several documents: each is paired with the least of them,
-    and that one stands for them in all other pairs. With `forest`, only pairs that connect each group are
-    given. Texts that are null, empty or without words have no n-grams and no pairs; a text of fewer than
+    and that one stands for them in all other pairs. With `every`, all pairs of documents are given, also of
+    and with the others. With `forest`, only pairs that connect each group are given. Texts that are null, empty or without words have no n-grams and no pairs; a text of fewer than
     n words is one n-gram. Rows without doc_id have no pairs. Repeated rows are one document. Other columns
     are ignored. An empty table gives no rows.
     """
@@ -390,7 +390,8 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, for
 
     same = base.mapInArrow(members, "mark long, doc_id long, size long, bits binary").groupBy("mark").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"), F.max("size").alias("size"), F.max("bits").alias("bits"))
     groups = written(same.join(found, "mark"))
-    twins = groups.where(F.size("ids") > 1).select(F.col("ids")[0].alias("doc_a"), F.explode(F.slice("ids", 2, F.greatest(F.lit(1), F.size("ids") - 1))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    alike = groups.where(F.size("ids") > 1)
+    twins = alike.select(F.col("ids")[0].alias("doc_a"), F.explode(F.slice("ids", 2, F.greatest(F.lit(1), F.size("ids") - 1))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
     rooms = F.pmod(F.xxhash64("hub"), F.lit(max(8, parts))).alias("room")
 
     def by_hub(table: pa.Table) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
@@ -429,19 +430,29 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, for
                     names=["mark", "doc_id", "grams"],
                 )
 
-    sent = base.mapInArrow(sets, "mark long, doc_id long, grams binary").dropDuplicates(["mark", "doc_id"]).join(least, ["mark", "doc_id"]).select("doc_id", "hubs", "grams", F.explode("at").alias("hub"))
+    sent = base.mapInArrow(sets, "mark long, doc_id long, grams binary").dropDuplicates(["mark", "doc_id"]).join(least, ["mark", "doc_id"]).select("mark", "doc_id", "hubs", "grams", F.explode("at").alias("hub"))
 
     def verify(table: pa.Table) -> pa.Table:
-        ids, grams_of = table.column("doc_id").to_numpy(), table.column("grams")
+        ids, mark, grams_of = table.column("doc_id").to_numpy(), table.column("mark").to_numpy(), table.column("grams")
         out: tuple[list[int], list[int], list[float]] = ([], [], [])
         for hub, rows, hubs in by_hub(table):
-            for mine, more in zip(out, _verify(ids[rows], hubs, hub, [np.frombuffer(grams_of[r].as_py(), np.uint64) for r in rows.tolist()], threshold, forest), strict=True):
+            for mine, more in zip(out, _verify(rows, hubs, hub, [np.frombuffer(grams_of[r].as_py(), np.uint64) for r in rows.tolist()], threshold, forest), strict=True):
                 mine.extend(more)
         a, b = np.array(out[0], np.int64), np.array(out[1], np.int64)
-        return pa.table({"doc_a": np.minimum(a, b), "doc_b": np.maximum(a, b), "jaccard": np.array(out[2], float)})
-
-    near = sent.select("*", rooms).groupBy("room").applyInArrow(verify, "doc_a long, doc_b long, jaccard double")
-    return twins.unionByName(near)
+        back = ids[a] > ids[b]
+        a, b = np.where(back, b, a), np.where(back, a, b)
+        return pa.table({"doc_a": ids[a], "doc_b": ids[b], "mark_a": mark[a], "mark_b": mark[b], "jaccard": np.array(out[2], float)})
+
+    near = sent.select("*", rooms).groupBy("room").applyInArrow(verify, "doc_a long, doc_b long, mark_a long, mark_b long, jaccard double")
+    if not every:
+        return twins.unionByName(near.drop("mark_a", "mark_b"))
+    twins = alike.select("ids", F.posexplode("ids").alias("k", "doc_a")).select("doc_a", F.explode(F.slice("ids", F.col("k") + 2, F.size("ids") - F.col("k") - 1)).alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    near = written(near)
+    for side in ("a", "b"):  # the documents of either set
+        near = near.join(alike.select(F.col("mark").alias(f"mark_{side}"), F.col("ids").alias(f"ids_{side}")), f"mark_{side}", "left")
+    one, two = (F.explode(F.coalesce(f"ids_{x}", F.array(f"doc_{x}"))).alias(x) for x in "ab")
+    pairs = near.select(one, "ids_b", "doc_b", "jaccard").select("a", two, "jaccard").where("a <> b")
+    return twins.unionByName(pairs.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard"))
 
 
 def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
@@ -471,4 +482,4 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
-    return similar_pairs(table(spark, sf_dir, "documents"))
+    return similar_pairs(table(spark, sf_dir, "documents"), every=True)
