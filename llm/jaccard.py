@@ -313,11 +313,11 @@ def _verify(ids: np.ndarray, hubs: list[np.ndarray], hub: int, sets: list[np.nda
     return out
 
 
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False, id_col: str = "doc_id", text_col: str = "text", expanded: bool = False) -> DataFrame:
     """Pairs of documents whose sets of word n-grams have Jaccard similarity `threshold` or more: doc_a < doc_b, jaccard.
 
     Documents with equal sets are one set with several documents: each is paired with the least of them,
-    and that one stands for them in all other pairs. With `every`, all pairs of documents are given, also of
+    and that one stands for them in all other pairs. With `expanded`, all pairs of documents are given, also of
     and with the others. With `forest`, only pairs that connect each group are given. Texts that are null, empty or without words have no n-grams and no pairs; a text of fewer than
     n words is one n-gram. Rows without doc_id have no pairs. Repeated rows are one document. Other columns
     are ignored. An empty table gives no rows.
@@ -444,7 +444,7 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, for
         return pa.table({"doc_a": ids[a], "doc_b": ids[b], "mark_a": mark[a], "mark_b": mark[b], "jaccard": np.array(out[2], float)})
 
     near = sent.select("*", rooms).groupBy("room").applyInArrow(verify, "doc_a long, doc_b long, mark_a long, mark_b long, jaccard double")
-    if not every:
+    if not expanded:
         return twins.unionByName(near.drop("mark_a", "mark_b"))
     twins = alike.select("ids", F.posexplode("ids").alias("k", "doc_a")).select("doc_a", F.explode(F.slice("ids", F.col("k") + 2, F.size("ids") - F.col("k") - 1)).alias("doc_b"), F.lit(1.0).alias("jaccard"))
     near = written(near)
@@ -482,4 +482,4 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
-    return similar_pairs(table(spark, sf_dir, "documents"), every=True)
+    return similar_pairs(table(spark, sf_dir, "documents"), expanded=True)

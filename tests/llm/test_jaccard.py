@@ -59,9 +59,10 @@ def test_every_pair_against_brute_force_over_documents(spark):
     rows += [(1000 + i, base if i % 8 else base + f" end{i}") for i in range(40)]  # 35 copies, 5 near ones
     sets = [(i, g) for i, text in rows if (g := set(gram_set(text, 3)))]
     want = {tuple(sorted((i, j))): len(g & h) / len(g | h) for k, (i, g) in enumerate(sets) for j, h in sets[k + 1 :] if i != j and len(g & h) / len(g | h) >= 0.6}
-    got = found(jaccard.similar_pairs(docs_frame(spark, rows), every=True))
+    got = found(jaccard.similar_pairs(docs_frame(spark, rows), expanded=True))
     assert got.keys() == want.keys() and len(want) >= 40 * 39 // 2
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert len(found(jaccard.similar_pairs(docs_frame(spark, rows)))) < len(want)  # the form of one_of_each
 
 
 def test_a_large_group_meets_once(spark):
