@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from llm import textscan
+from tessera.llm import textscan
 
 WORDS = "alpha beta gamma delta river stone cloud tree light house paper glass metal green brown small large open water fire wind earth north south".split()
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from llm import common, textscan
+from tessera.llm import common, textscan
 
 
 def test_blobs_round_trip():

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from llm import decontaminate as dc
+from tessera.llm import decontaminate as dc
 
 from .brute import docs_frame, sentence, word_hashes
 

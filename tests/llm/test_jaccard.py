@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from llm import jaccard
+from tessera.llm import jaccard
 
 from .brute import docs_frame, gram_set, sentence
 

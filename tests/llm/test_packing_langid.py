@@ -4,8 +4,8 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 
-from llm import langid, packing
-from llm.common import table
+from tessera.llm import langid, packing
+from tessera.llm.common import table
 
 from .brute import docs_frame
 

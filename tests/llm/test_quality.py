@@ -3,9 +3,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from llm import quality
-from llm.common import table
-from llm.textscan import chunks
+from tessera.llm import quality
+from tessera.llm.common import table
+from tessera.llm.textscan import chunks
 
 from .brute import docs_frame
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
-from llm import repeats
+from tessera.llm import repeats
 
 from .brute import docs_frame, sentence, word_hashes
 

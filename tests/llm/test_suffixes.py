@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from llm import suffixes
+from tessera.llm import suffixes
 
 from .brute import docs_frame, sentence
 from .test_repeats import brute, found, rows_of

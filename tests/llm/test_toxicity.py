@@ -2,8 +2,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from llm import toxicity as tx
-from llm.common import table
+from tessera.llm import toxicity as tx
+from tessera.llm.common import table
 
 from .brute import docs_frame
 

@@ -5,9 +5,9 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from llm import urlfilter as uf
-from llm.common import table
-from llm.textscan import mix
+from tessera.llm import urlfilter as uf
+from tessera.llm.common import table
+from tessera.llm.textscan import mix
 
 
 def grams(text, salt):
