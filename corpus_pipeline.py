@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import decontaminate, jaccard, packing, quality, repeats
-from llm.common import shared_dir, table, written
+from tessera.llm import decontaminate, jaccard, packing, quality, repeats
+from tessera.llm.common import shared_dir, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
