@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .textscan import release
+from .textscan import mix, release
 
 
 BATCH_BYTES = 8 << 20
@@ -45,12 +46,47 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scratch: list[str] = []  # folders of the tables that are written just now, the innermost last
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of df, written as Parquet in the shared folder and read again: cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table that written() made, once nothing needs it."""
+    _remove(df.sparkSession, df._tessera_path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within go at its end: what is computed from them must be written by then, elsewhere."""
+    _scratch.append(f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _remove(spark, _scratch.pop())
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """written(), outside of any scratch folder."""
+    held = _scratch[:]
+    _scratch.clear()
+    try:
+        return written(df)
+    finally:
+        _scratch[:] = held
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -96,3 +132,54 @@ def exchange(df: DataFrame, mapper: Callable, reducer: Callable[[Iterator[bytes]
         return reducer(x.as_py() for x in table.column("blob"))
 
     return df.mapInArrow(mapper, "part int, blob binary").groupBy("part").applyInArrow(reduce, schema)
+
+
+FILTER_MOST = 27  # bits of a filter, as a power of two: 16 MB
+_FILTER_PARTS = 5
+
+
+class KeyFilter:
+    """A Bloom filter of one hash, 16 bits for each key as far as FILTER_MOST goes. What isn't in it isn't among the keys;
+    beyond that size it only lets more through, so what it lets through is joined with the keys themselves."""
+
+    def __init__(self, bits: int, table: np.ndarray):
+        self.bits, self.table = bits, table
+
+    @staticmethod
+    def slots(columns: list[np.ndarray], bits: int) -> np.ndarray:
+        h = np.zeros(len(columns[0]), np.uint64)
+        for c in columns:
+            h = mix(h ^ c.astype(np.uint64))
+        return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+    def holds(self, *columns: np.ndarray) -> np.ndarray:
+        at = self.slots(list(columns), self.bits)
+        return (self.table[at >> 3] >> (at & 7)) & 1 > 0
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> KeyFilter:
+        """Of all rows of `keys`, whose columns are long; built in slices by tasks."""
+        bits = int(np.clip(np.ceil(np.log2(16 * max(1, keys.count()))), 12, FILTER_MOST))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    at = np.unique(cls.slots([c.to_numpy() for c in batch.columns], bits))
+                    yield from split(at >> (bits - _FILTER_PARTS), 1 << _FILTER_PARTS, at.astype("u4"))
+
+        return cls(bits, collected_bits(exchange(keys, place, lambda blobs: bit_slice(unpacked(blobs, ("u4",))[0], bits), "slice int, bits binary"), bits))
+
+
+def bit_slice(at: np.ndarray, bits: int) -> pa.Table:
+    """The slice of a table of 2^bits bits in which the bits `at` are set."""
+    width = 1 << (bits - _FILTER_PARTS)
+    flags = np.zeros(width, bool)
+    flags[at & (width - 1)] = True
+    return pa.table({"slice": pa.array([int(at[0]) // width] if len(at) else [0], pa.int32()), "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+
+def collected_bits(slices: DataFrame, bits: int) -> np.ndarray:
+    out = np.zeros((1 << _FILTER_PARTS, 1 << (bits - _FILTER_PARTS - 3)), np.uint8)
+    for r in slices.collect():  # 2^_FILTER_PARTS rows
+        out[r["slice"]] |= np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()

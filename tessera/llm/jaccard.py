@@ -5,7 +5,11 @@ similarity t or more share an n-gram in their prefixes of |x| - ceil(t |x|) + 1,
 prefix n-grams alone. At the first n-gram they share, length and position bound the similarity. Sets that
 pass at some n-gram meet at a hub (the least set of those that passed there), where a bitmap filter bounds
 the overlap of the suffixes, and a pair is verified once, at the least hub that its two sets have in common.
-So a group of thousands of copies costs its members' postings, not its pairs, until it is verified.
+So a group of thousands of copies costs its members' postings, not its pairs, until it is verified. Hubs of
+more than ROOM sets are cut in blocks, and each two blocks meet in a task of their own.
+
+The result is a class for each document, with the number of its links: copies aren't expanded into pairs, and
+no link between different texts is lost.
 
 Rarity comes from counts over all documents, by hash bucket, of words and of n-grams: an n-gram is as
 frequent as its words make one expect, or as its bucket is beyond the usual bucket (a passage that many
@@ -19,11 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exchange, packed, shared_dir, split, table, unpacked, written
+from .common import KeyFilter, discard, exchange, packed, shared_dir, split, table, unpacked, written
 from .textscan import Words, mix, rolling, spans_hash, words
 
 N = 3
@@ -32,7 +35,7 @@ SKETCH_BITS = 20
 SLICES = 16
 PART = 1_000_000  # prefix postings in a part
 FLUSH = 1_000_000  # and those that a mapper holds
-NAMED = 4_000_000  # candidate sets that are named to the mappers, at most; with more, all sets are joined
+ROOM = 2048  # sets of a hub that one task compares; larger hubs are cut in blocks
 _TO_BUCKET = np.uint64(64 - SKETCH_BITS)
 _LOW = np.uint64((1 << 56) - 1)
 _LIST = 64  # postings of one n-gram up to which pairs are looked at one by one
@@ -232,22 +235,39 @@ def _below(hubs: list[np.ndarray], hub: int) -> np.ndarray:
     return member
 
 
-def _sift(size: np.ndarray, hubs: list[np.ndarray], hub: int, bits: list[bytes], threshold: float) -> np.ndarray:
+def _blocked(todo: np.ndarray, i0: int, i1: int, j0: int, j1: int, block: np.ndarray) -> np.ndarray:
+    """todo, and where rows are of two blocks, of rows in either."""
+    return todo & (block[i0:i1, None] != block[None, j0:j1]) if block.min() < block.max() else todo
+
+
+def _folded(bits: bytes, width: int) -> np.ndarray:
+    """A bitmap with its halves laid over each other until it has `width` bytes: the parities of the narrower one."""
+    row = np.frombuffer(bits, np.uint8)
+    while len(row) > width:
+        half = len(row) // 2
+        row = row[:half] ^ row[half:]
+    return row
+
+
+def _sift(size: np.ndarray, hubs: list[np.ndarray], hub: int, bits: list[bytes], threshold: float, block: np.ndarray) -> np.ndarray:
     """Which sets of a hub have a partner there by length and by the bitmap filter, |x n y| = (|x| + |y| - |x ^ y|) / 2."""
     member = _below(hubs, hub)
     out = np.zeros(len(size), bool)
     width = np.array([len(b) for b in bits])
-    for w in np.unique(width).tolist():  # partners have as many bits or twice as many, which are folded
-        own = np.flatnonzero((width == w) | (width == 2 * w))
-        rows = [np.frombuffer(bits[i], np.uint8) for i in own.tolist()]
-        matrix = np.unpackbits(np.stack([r if len(r) == w else r[:w] ^ r[w:] for r in rows]), axis=1).astype(np.float32)
-        total, n, who = matrix.sum(1), size[own], member[own]
+    for w in np.unique(width).tolist():  # each pair is looked at in the width of its narrower one
+        own = np.flatnonzero((width >= w) & (width <= w * 4 / threshold))
+        matrix = np.unpackbits(np.stack([_folded(bits[i], w) for i in own.tolist()]), axis=1).astype(np.float32)
+        total, n, who, of = matrix.sum(1), size[own], member[own], block[own]
         narrow = width[own] == w
         for i0, i1, j0, j1 in _blocks(len(own)):
             ni, nj = n[i0:i1, None], n[None, j0:j1]
+            good = (np.minimum(ni, nj) >= threshold * np.maximum(ni, nj) - 1e-6) & (np.arange(i0, i1)[:, None] < np.arange(j0, j1)[None]) & (narrow[i0:i1, None] | narrow[None, j0:j1])
+            if block.min() < block.max():
+                good &= of[i0:i1, None] != of[None, j0:j1]
+            if not good.any():
+                continue
             differ = total[i0:i1, None] + total[None, j0:j1] - 2 * (matrix[i0:i1] @ matrix[j0:j1].T)
-            good = (np.minimum(ni, nj) >= threshold * np.maximum(ni, nj) - 1e-6) & ((ni + nj - differ) / 2 >= threshold / (1 + threshold) * (ni + nj) - 1e-6)
-            good &= (np.arange(i0, i1)[:, None] < np.arange(j0, j1)[None]) & (narrow[i0:i1, None] | narrow[None, j0:j1])
+            good &= (ni + nj - differ) / 2 >= threshold / (1 + threshold) * (ni + nj) - 1e-6
             if good.any() and member.shape[1]:
                 good &= (who[i0:i1] @ who[j0:j1].T) == 0
             out[own[i0:i1][good.any(1)]] = True
@@ -255,9 +275,9 @@ def _sift(size: np.ndarray, hubs: list[np.ndarray], hub: int, bits: list[bytes],
     return out
 
 
-def _verify(ids: np.ndarray, hubs: list[np.ndarray], hub: int, sets: list[np.ndarray], threshold: float, forest: bool) -> tuple[list, list, list]:
-    """Pairs of one hub: ids of either, and their similarity. forest: of the pairs only what connects them."""
-    m = len(ids)
+def _verify(hubs: list[np.ndarray], hub: int, sets: list[np.ndarray], threshold: float, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of one hub, as places among its sets, and their similarity."""
+    m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     value, back = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(m), size)
@@ -266,26 +286,19 @@ def _verify(ids: np.ndarray, hubs: list[np.ndarray], hub: int, sets: list[np.nda
     col, srow = index[back[shared]], row[shared]
     width = int(col.max()) + 1 if len(col) else 0
     member = _below(hubs, hub)
-    root = list(range(m))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out: tuple[list, list, list] = ([], [], [])
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
     first = np.searchsorted(srow, np.arange(m + 1))
     wide = 4096
     for i0, i1, j0, j1 in _blocks(m):
         ni, nj = size[i0:i1, None], size[None, j0:j1]
         todo = (np.minimum(ni, nj) >= threshold * np.maximum(ni, nj) - 1e-6) & (np.arange(i0, i1)[:, None] < np.arange(j0, j1)[None])
+        todo = _blocked(todo, i0, i1, j0, j1, block)
         if member.shape[1]:
             todo &= (member[i0:i1] @ member[j0:j1].T) == 0
         if not todo.any():
             continue
-        if todo.sum() < 64:
-            x, y = np.nonzero(todo)
+        x, y = np.nonzero(todo)
+        if len(x) < 64:
             common = np.array([len(np.intersect1d(sets[i0 + p], sets[j0 + q], assume_unique=True)) for p, q in zip(x.tolist(), y.tolist(), strict=True)], float)
         else:
             overlap = np.zeros((i1 - i0, j1 - j0), np.float32)
@@ -296,163 +309,221 @@ def _verify(ids: np.ndarray, hubs: list[np.ndarray], hub: int, sets: list[np.nda
                     here = (col[s] >= c) & (col[s] < c + wide)
                     mat[srow[s][here] - base, col[s][here] - c] = 1
                 overlap += u @ v.T
-            x, y = np.nonzero(todo)
             common = overlap[x, y].astype(float)
         p, q = x + i0, y + j0
         similar = common / (size[p] + size[q] - common)
         good = similar >= threshold - 1e-12
-        for i, j, s in zip(p[good].tolist(), q[good].tolist(), similar[good].tolist(), strict=True):
-            if forest:
-                ri, rj = find(i), find(j)
-                if ri == rj:
+        for o, c in zip(out, (p[good], q[good], similar[good]), strict=True):
+            o.append(c)
+    return tuple(np.concatenate(o) for o in out)
+
+
+def _roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place that each of m places is connected with."""
+    root = np.arange(m)
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        open_ = low != high
+        a, b, low, high = a[open_], b[open_], low[open_], high[open_]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _hubs(table: pa.Table) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(hub, rows, their hubs, their blocks) of the meetings of two rows or more."""
+    hub, i, j = (table.column(c).to_numpy() for c in ("hub", "i", "j"))
+    block = table.column("block").to_numpy()
+    order = np.lexsort((j, i, hub))
+    h, i, j = hub[order], i[order], j[order]
+    edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]))) if len(h) else np.zeros(1, np.int64)
+    hubs = table.column("hubs")
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        rows = order[lo:hi]
+        if hi - lo > 1 and not (i[lo] != j[lo] and block[rows].min() == block[rows].max()):
+            yield int(h[lo]), rows, [np.array([x["hub"] for x in hubs[r].as_py()]) for r in rows.tolist()], block[rows]
+
+
+def _sifted(table: pa.Table, threshold: float) -> pa.Table:
+    size, bits, mark, n = table.column("size").to_numpy(), table.column("bits"), table.column("mark").to_numpy(), table.column("n").to_numpy()
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+    for hub, rows, hubs, block in _hubs(table):
+        kept = rows[_sift(size[rows], hubs, hub, [bits[r].as_py() for r in rows.tolist()], threshold, block)]
+        for o, c in zip(out, (mark[kept], np.full(len(kept), hub), n[kept]), strict=True):
+            o.append(c)
+    return pa.table(dict(zip(("mark", "hub", "n"), map(np.concatenate, out), strict=True)))
+
+
+def _verified(table: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, places of the one and of the other of each pair, similarity) of each meeting."""
+    grams_of = table.column("grams")
+    for hub, rows, hubs, block in _hubs(table):
+        yield rows, *_verify(hubs, hub, [np.frombuffer(grams_of[r].as_py(), np.uint64) for r in rows.tolist()], threshold, block)
+
+
+class _Join:
+    """The candidates of a join: groups of documents with equal sets (mark, ids, hubs), and sets that meet at hubs."""
+
+    def __init__(self, docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str):
+        if not 0 < threshold <= 1:
+            raise ValueError("threshold must be above 0, and 1 at most")
+        self.threshold = threshold
+        spark = docs.sparkSession
+        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
+        rank = rarity(base, n)
+        ranks = spark.sparkContext.broadcast(rank)  # 4 MB
+        parts = max(1, -(-int(rank.grams * (1 - threshold)) // PART))
+
+        def send(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            name, *rest = [np.concatenate(c) for c in got]
+            yield from split((mix(name.copy()) % np.uint64(parts)).astype(np.int64), parts, name, *rest)
+
+        def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got: list[list[np.ndarray]] = [[], [], [], []]
+            held = 0
+            for batch in batches:
+                for _, _, w in words(batch.column(1)):
+                    first, name, d, mark = ordered_sets(w, n, ranks.value)
+                    size = np.diff(first)
+                    place = np.arange(len(name)) - first[d]
+                    keep = place < prefix_length(size, threshold)[d]
+                    d, place = d[keep], place[keep]
+                    m = size[d]
+                    for out, c in zip(got, (name[keep], mark[d], np.minimum(m, 65535).astype("u2"), np.ceil(255 * (m - place) / m).astype("u1")), strict=True):
+                        out.append(c)
+                    held += len(d)
+                    if held >= FLUSH:
+                        yield from send(got)
+                        got, held = [[], [], [], []], 0
+            if held:
+                yield from send(got)
+
+        links = written(exchange(base, postings, lambda blobs: _linked(blobs, threshold), "mark long, hub long").distinct())
+        # a hub is of use to two sets or more; a repeated set has itself for a hub, alone
+        sizes = links.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
+        met = links.join(sizes, "hub").groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("hub", "n"))).alias("hubs"))
+        found = written(links.select("mark").distinct().join(met, "mark", "left"))
+        every = spark.sparkContext.broadcast(KeyFilter.of(found.select("mark")))
+
+        def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, j, w in words(batch.column(1)):
+                    first, name, d, mark = ordered_sets(w, n, ranks.value)
+                    rows = np.flatnonzero((np.diff(first) > 0) & every.value.holds(mark))
+                    bits = bitmaps(first, name, d)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(mark[rows].astype(np.int64), pa.int64()), batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(np.diff(first)[rows], pa.int64()), pa.array([bits[k] for k in rows.tolist()], pa.binary())],
+                        names=["mark", "doc_id", "size", "bits"],
+                    )
+
+        # a row for each set and document, then for each set: equal sets may be a third of all, so they are counted before they move
+        same = base.mapInArrow(members, "mark long, doc_id long, size long, bits binary")
+        self.documents = written(same.dropDuplicates(["mark", "doc_id"]).join(found.select("mark"), "mark", "left_semi"))
+        sets = self.documents.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+        self.sets = written(sets.join(found, "mark"))
+        met_sets = self.sets.where("hubs is not null")
+        sifted = self._meet(met_sets.select("mark", "size", "bits", "hubs", F.explode("hubs").alias("at")), parts).applyInArrow(lambda t: _sifted(t, threshold), "mark long, hub long, n long")
+        at = sifted.distinct().groupBy("mark").agg(F.collect_list(F.struct("hub", "n")).alias("at"))
+        # of equal sets the least document's is sent on
+        least = written(met_sets.join(at, "mark").select("mark", "doc_id", "copies", "hubs", "at"))
+        senders = spark.sparkContext.broadcast(KeyFilter.of(least.select("mark", "doc_id")))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                for i, j, w in words(batch.column(1)):
+                    first, name, _, mark = ordered_sets(w, n, ranks.value)
+                    rows = np.flatnonzero((np.diff(first) > 0) & senders.value.holds(mark, ids[i:j]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(mark[rows].astype(np.int64), pa.int64()), pa.array(ids[i:j][rows], pa.int64()), pa.array([name[first[k] : first[k + 1]].tobytes() for k in rows.tolist()], pa.binary())],
+                        names=["mark", "doc_id", "grams"],
+                    )
+
+        sent = base.mapInArrow(whole, "mark long, doc_id long, grams binary").dropDuplicates(["mark", "doc_id"]).join(least, ["mark", "doc_id"])
+        self.meeting = self._meet(sent.select("mark", "doc_id", "copies", "hubs", "grams", F.explode("at").alias("at")), parts)
+
+    def _meet(self, sets: DataFrame, parts: int):
+        """Sets by room: (hub, i, j) is where blocks i and j of a hub meet, and a small hub has one block."""
+        blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("at.n") / ROOM))
+        cut = sets.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("mark", F.lit(5)), blocks)})
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
+        met = cut.withColumn("pair", F.explode(pairs)).withColumns({"hub": F.col("at.hub"), "n": F.col("at.n"), "i": F.col("pair.i"), "j": F.col("pair.j")}).drop("at", "pair", "blocks")
+        return met.withColumn("room", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(max(8, parts)))).groupBy("room")
+
+    def pairs(self) -> DataFrame:
+        """(doc_a, doc_b, jaccard) of different sets, each by its least document."""
+        threshold = self.threshold
+
+        def verify(table: pa.Table) -> pa.Table:
+            ids = table.column("doc_id").to_numpy()
+            a, b, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for rows, p, q, similar in _verified(table, threshold):
+                a.append(np.minimum(ids[rows[p]], ids[rows[q]]))
+                b.append(np.maximum(ids[rows[p]], ids[rows[q]]))
+                s.append(similar)
+            return pa.table({"doc_a": np.concatenate(a), "doc_b": np.concatenate(b), "jaccard": np.concatenate(s)})
+
+        return self.meeting.applyInArrow(verify, "doc_a long, doc_b long, jaccard double")
+
+    def stars(self) -> DataFrame:
+        """(mark, doc_id, links, root) of each meeting: documents with which the set has links there, and the least document that these connect it with."""
+        threshold = self.threshold
+
+        def verify(table: pa.Table) -> pa.Table:
+            ids, mark, copies = (table.column(c).to_numpy() for c in ("doc_id", "mark", "copies"))
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+            for rows, p, q, _ in _verified(table, threshold):
+                if not len(p):
                     continue
-                root[max(ri, rj)] = min(ri, rj)
-            out[0].append(int(ids[i]))
-            out[1].append(int(ids[j]))
-            out[2].append(s)
-    return out
-
-
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False, id_col: str = "doc_id", text_col: str = "text", expanded: bool = False) -> DataFrame:
+                order = np.argsort(ids[rows], kind="stable")
+                place = np.empty(len(rows), np.int64)
+                place[order] = np.arange(len(rows))
+                root = ids[rows[order]][_roots(len(rows), place[p], place[q])][place]
+                links = np.zeros(len(rows), np.int64)
+                np.add.at(links, p, copies[rows[q]])
+                np.add.at(links, q, copies[rows[p]])
+                some = links > 0
+                for o, c in zip(out, (mark[rows], ids[rows], links, root), strict=True):
+                    o.append(c[some])
+            return pa.table(dict(zip(("mark", "doc_id", "links", "root"), map(np.concatenate, out), strict=True)))
+
+        return self.meeting.applyInArrow(verify, "mark long, doc_id long, links long, root long")
+
+
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs of documents whose sets of word n-grams have Jaccard similarity `threshold` or more: doc_a < doc_b, jaccard.
 
     Documents with equal sets are one set with several documents: each is paired with the least of them,
-    and that one stands for them in all other pairs. With `expanded`, all pairs of documents are given, also of
-    and with the others. With `forest`, only pairs that connect each group are given. Texts that are null, empty or without words have no n-grams and no pairs; a text of fewer than
-    n words is one n-gram. Rows without doc_id have no pairs. Repeated rows are one document. Other columns
-    are ignored. An empty table gives no rows.
+    and that one stands for them in all other pairs. So no link between different sets is lost; their number
+    may grow as the square of a group, so `classes` gives them by document. Texts that are null, empty or
+    without words have no n-grams and no pairs; a text of fewer than n words is one n-gram. Very long texts
+    are sets like any other. Rows without doc_id have no pairs. Repeated rows are one document; documents
+    with one doc_id and different texts are not paired with each other. Other columns are ignored, whatever
+    their names. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
-    rank = rarity(base, n)
-    ranks = spark.sparkContext.broadcast(rank)  # 4 MB
-    parts = max(1, -(-int(rank.grams * (1 - threshold)) // PART))
-
-    def send(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        name, *rest = [np.concatenate(c) for c in got]
-        yield from split((mix(name.copy()) % np.uint64(parts)).astype(np.int64), parts, name, *rest)
-
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[], [], [], []]
-        held = 0
-        for batch in batches:
-            for _, _, w in words(batch.column(1)):
-                first, name, d, mark = ordered_sets(w, n, ranks.value)
-                size = np.diff(first)
-                place = np.arange(len(name)) - first[d]
-                keep = place < prefix_length(size, threshold)[d]
-                d, place = d[keep], place[keep]
-                m = size[d]
-                for out, c in zip(got, (name[keep], mark[d], np.minimum(m, 65535).astype("u2"), np.ceil(255 * (m - place) / m).astype("u1")), strict=True):
-                    out.append(c)
-                held += len(d)
-                if held >= FLUSH:
-                    yield from send(got)
-                    got, held = [[], [], [], []], 0
-        if held:
-            yield from send(got)
-
-    links = written(exchange(base, postings, lambda blobs: _linked(blobs, threshold), "mark long, hub long").distinct())
-    # a hub is of use to two sets or more; a repeated set has itself for a hub, alone
-    met = links.join(links.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1"), "hub").groupBy("mark").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))
-    found = written(links.select("mark").distinct().join(met, "mark", "left"))
-
-    def named_to(df: DataFrame, *columns: str) -> Broadcast | None:
-        """The columns' values in order of marks, if they are few enough to name; else all sets go on to the join."""
-        if df.count() > NAMED:
-            return None
-        got = df.select("mark", *columns).toArrow()
-        mark = got.column("mark").to_numpy().astype(np.uint64)
-        order = np.argsort(mark)
-        return spark.sparkContext.broadcast((mark[order], *[got.column(c).to_numpy()[order] for c in columns]))
-
-    def chosen(mark: np.ndarray, names: Broadcast | None, ids: np.ndarray | None = None) -> np.ndarray:
-        if names is None:
-            return np.ones(len(mark), bool)
-        known = names.value[0]
-        if not len(known):
-            return np.zeros(len(mark), bool)
-        at = np.minimum(np.searchsorted(known, mark), len(known) - 1)
-        return (known[at] == mark) & (True if ids is None else names.value[1][at] == ids)
-
-    every = named_to(found)
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, w in words(batch.column(1)):
-                first, name, d, mark = ordered_sets(w, n, ranks.value)
-                rows = np.flatnonzero((np.diff(first) > 0) & chosen(mark, every))
-                bits = bitmaps(first, name, d)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mark[rows].astype(np.int64), pa.int64()), batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(np.diff(first)[rows], pa.int64()), pa.array([bits[k] for k in rows.tolist()], pa.binary())],
-                    names=["mark", "doc_id", "size", "bits"],
-                )
-
-    same = base.mapInArrow(members, "mark long, doc_id long, size long, bits binary").groupBy("mark").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"), F.max("size").alias("size"), F.max("bits").alias("bits"))
-    groups = written(same.join(found, "mark"))
-    alike = groups.where(F.size("ids") > 1)
-    twins = alike.select(F.col("ids")[0].alias("doc_a"), F.explode(F.slice("ids", 2, F.greatest(F.lit(1), F.size("ids") - 1))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    rooms = F.pmod(F.xxhash64("hub"), F.lit(max(8, parts))).alias("room")
-
-    def by_hub(table: pa.Table) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-        """(hub, rows, their hubs) of the hubs with two rows or more."""
-        hub = table.column("hub").to_numpy()
-        order = np.argsort(hub, kind="stable")
-        edge = np.flatnonzero(np.concatenate(([True], np.diff(hub[order]) != 0, [True]))) if len(hub) else np.zeros(1, np.int64)
-        hubs = table.column("hubs")
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if hi - lo > 1:
-                yield int(hub[order[lo]]), order[lo:hi], [np.array(hubs[r].as_py()) for r in order[lo:hi].tolist()]
-
-    def sift(table: pa.Table) -> pa.Table:
-        size, bits, mark = table.column("size").to_numpy(), table.column("bits"), table.column("mark").to_numpy()
-        marks, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for hub, rows, hubs in by_hub(table):
-            kept = rows[_sift(size[rows], hubs, hub, [bits[r].as_py() for r in rows.tolist()], threshold)]
-            marks.append(mark[kept])
-            at.append(np.full(len(kept), hub))
-        return pa.table({"mark": np.concatenate(marks), "hub": np.concatenate(at)})
-
-    meet = groups.where("hubs is not null").select("mark", "size", "bits", "hubs", F.explode("hubs").alias("hub"))
-    sifted = meet.select("*", rooms).groupBy("room").applyInArrow(sift, "mark long, hub long").groupBy("mark").agg(F.collect_list("hub").alias("at"))
-    # of equal sets the least document's is sent on
-    least = written(groups.join(sifted, "mark").select("mark", F.col("ids")[0].alias("doc_id"), "hubs", "at"))
-    senders = named_to(least, "doc_id")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for i, j, w in words(batch.column(1)):
-                first, name, _, mark = ordered_sets(w, n, ranks.value)
-                rows = np.flatnonzero((np.diff(first) > 0) & chosen(mark, senders, ids[i:j]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mark[rows].astype(np.int64), pa.int64()), pa.array(ids[i:j][rows], pa.int64()), pa.array([name[first[k] : first[k + 1]].tobytes() for k in rows.tolist()], pa.binary())],
-                    names=["mark", "doc_id", "grams"],
-                )
-
-    sent = base.mapInArrow(sets, "mark long, doc_id long, grams binary").dropDuplicates(["mark", "doc_id"]).join(least, ["mark", "doc_id"]).select("mark", "doc_id", "hubs", "grams", F.explode("at").alias("hub"))
-
-    def verify(table: pa.Table) -> pa.Table:
-        ids, mark, grams_of = table.column("doc_id").to_numpy(), table.column("mark").to_numpy(), table.column("grams")
-        out: tuple[list[int], list[int], list[float]] = ([], [], [])
-        for hub, rows, hubs in by_hub(table):
-            for mine, more in zip(out, _verify(rows, hubs, hub, [np.frombuffer(grams_of[r].as_py(), np.uint64) for r in rows.tolist()], threshold, forest), strict=True):
-                mine.extend(more)
-        a, b = np.array(out[0], np.int64), np.array(out[1], np.int64)
-        back = ids[a] > ids[b]
-        a, b = np.where(back, b, a), np.where(back, a, b)
-        return pa.table({"doc_a": ids[a], "doc_b": ids[b], "mark_a": mark[a], "mark_b": mark[b], "jaccard": np.array(out[2], float)})
-
-    near = sent.select("*", rooms).groupBy("room").applyInArrow(verify, "doc_a long, doc_b long, mark_a long, mark_b long, jaccard double")
-    if not expanded:
-        return twins.unionByName(near.drop("mark_a", "mark_b"))
-    twins = alike.select("ids", F.posexplode("ids").alias("k", "doc_a")).select("doc_a", F.explode(F.slice("ids", F.col("k") + 2, F.size("ids") - F.col("k") - 1)).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    near = written(near)
-    for side in ("a", "b"):  # the documents of either set
-        near = near.join(alike.select(F.col("mark").alias(f"mark_{side}"), F.col("ids").alias(f"ids_{side}")), f"mark_{side}", "left")
-    one, two = (F.explode(F.coalesce(f"ids_{x}", F.array(f"doc_{x}"))).alias(x) for x in "ab")
-    pairs = near.select(one, "ids_b", "doc_b", "jaccard").select("a", two, "jaccard").where("a <> b")
-    return twins.unionByName(pairs.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard"))
+    join = _Join(docs, n, threshold, id_col, text_col)
+    least = join.sets.where("copies > 1").select("mark", F.col("doc_id").alias("doc_a"))
+    twins = join.documents.join(least, "mark").where("doc_id > doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return twins.unionByName(join.pairs().where("doc_a < doc_b"))
+
+
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document that has a near duplicate: doc_id, class_id (the least doc_id that it is connected with), links
+    (how many other documents have Jaccard similarity `threshold` or more with it, copies and all).
+
+    Documents that are not listed have no links, and are classes of their own. Edge cases are those of
+    similar_pairs; of documents with one doc_id and several texts, the links are summed.
+    """
+    join = _Join(docs, n, threshold, id_col, text_col)
+    stars = written(join.stars())
+    near = stars.groupBy("mark").agg(F.sum("links").alias("near"))
+    linked = join.sets.join(near, "mark", "left").select("mark", F.col("doc_id").alias("least"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links")).where("links > 0")
+    by_document = written(join.documents.join(linked, "mark").groupBy("doc_id").agg(F.min("least").alias("least"), F.sum("links").cast("long").alias("links"), F.collect_set("least").alias("all")))
+    # documents with one doc_id and several texts tie the classes of these
+    edges = stars.select(F.col("doc_id").alias("doc_a"), F.col("root").alias("doc_b")).union(by_document.where(F.size("all") > 1).select("least", F.explode("all")))
+    roots = components(edges).select(F.col("id").alias("least"), "root")
+    return by_document.join(roots, "least", "left").select("doc_id", F.coalesce("root", "least").alias("class_id"), "links")
 
 
 def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
@@ -467,7 +538,8 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
         # small star: a node and those below it are tied to the least below it
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small)
+        last, edges = edges, written(small)
+        discard(last)
         mark = tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
         if mark == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
@@ -475,11 +547,12 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near duplicates: of each connected group the least doc_id stays. Rows without doc_id stay; of rows with one doc_id, all stay or go."""
-    drop = components(similar_pairs(docs, n, threshold, True, id_col, text_col)).select(F.col("id").alias(id_col))
+    """The documents without near duplicates: of each class the least doc_id stays. Rows without doc_id stay, and those whose
+    text is null, empty or without words; of rows with one doc_id, all stay or go. All columns stay as they are, whatever their names."""
+    drop = classes(docs, n, threshold, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias(id_col))
     return docs.join(drop, id_col, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
-    return similar_pairs(table(spark, sf_dir, "documents"), expanded=True)
+    return classes(table(spark, sf_dir, "documents"))

@@ -52,17 +52,64 @@ def test_against_brute_force(spark):
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_every_pair_against_brute_force_over_documents(spark):
+def brute_classes(rows, n=3, t=0.6):
+    """{doc_id: (class, links)} over all pairs of documents."""
+    sets = [(i, frozenset(gram_set(text, n))) for i, text in dict.fromkeys(rows) if i is not None]
+    sets = [(i, g) for i, g in sets if g]
+    near = {i: set() for i, _ in sets}
+    for k, (i, g) in enumerate(sets):
+        for j, h in sets[k + 1 :]:
+            if i != j and len(g & h) / len(g | h) >= t - 1e-12:
+                near[i].add(j)
+                near[j].add(i)
+    out = {}
+    for i in near:
+        seen, todo = {i}, [i]
+        while todo:
+            for y in near[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        if near[i]:
+            out[i] = (min(seen), len(near[i]))
+    return out
+
+
+def found_classes(df):
+    rows = df.collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows)
+    return {r["doc_id"]: (r["class_id"], r["links"]) for r in rows}
+
+
+def test_classes_against_brute_force_over_documents(spark):
     rng = random.Random(11)
     rows = rows_of(4, 12)
     base = sentence(rng, 40)
     rows += [(1000 + i, base if i % 8 else base + f" end{i}") for i in range(40)]  # 35 copies, 5 near ones
-    sets = [(i, g) for i, text in rows if (g := set(gram_set(text, 3)))]
-    want = {tuple(sorted((i, j))): len(g & h) / len(g | h) for k, (i, g) in enumerate(sets) for j, h in sets[k + 1 :] if i != j and len(g & h) / len(g | h) >= 0.6}
-    got = found(jaccard.similar_pairs(docs_frame(spark, rows), expanded=True))
-    assert got.keys() == want.keys() and len(want) >= 40 * 39 // 2
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    assert len(found(jaccard.similar_pairs(docs_frame(spark, rows)))) < len(want)  # the form of one_of_each
+    want = brute_classes(rows)
+    assert found_classes(jaccard.classes(docs_frame(spark, rows))) == want and want[1000][1] == 39
+    kept = {r["doc_id"] for r in jaccard.one_of_each(docs_frame(spark, rows)).collect()}
+    assert kept == {i for i, _ in rows} - {i for i, (c, _) in want.items() if i != c}
+
+
+def test_blocks_of_a_hub(spark, monkeypatch):
+    """A hub that is cut in many blocks gives the links of one that isn't."""
+    rng = random.Random(5)
+    base = sentence(rng, 60).split()
+    rows = [(i, " ".join(w if rng.random() > 0.04 else "x%d" % rng.randrange(10**6) for w in base)) for i in range(120)] + rows_of(9, 8)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    monkeypatch.setattr(jaccard, "ROOM", 7)
+    assert found_classes(jaccard.classes(docs_frame(spark, rows))) == brute_classes(rows)
+    want, got = brute(rows, 3, 0.6), found(jaccard.similar_pairs(docs_frame(spark, rows)))
+    assert got.keys() == want.keys()
+
+
+def test_thresholds_below_a_half(spark):
+    """Partners of very different lengths, whose bitmaps have different widths."""
+    words = [f"w{i}" for i in range(160)]
+    rows = [(1, " ".join(words[:62])), (2, " ".join(words[:147])), (3, " ".join(words[:30])), (4, " ".join(words[100:160]))]
+    for t in (0.4, 0.2, 0.1):
+        want, got = brute(rows, 3, t), found(jaccard.similar_pairs(docs_frame(spark, rows), 3, t))
+        assert got.keys() == want.keys() and want
 
 
 def test_a_large_group_meets_once(spark):
@@ -71,8 +118,7 @@ def test_a_large_group_meets_once(spark):
     rows = [(i, " ".join(w if rng.random() > 0.03 else "x%d" % rng.randrange(10**6) for w in base)) for i in range(150)]
     want, got = brute(rows, 3, 0.6), found(jaccard.similar_pairs(docs_frame(spark, rows)))
     assert got.keys() == want.keys()
-    roots = {r["id"]: r["root"] for r in jaccard.components(jaccard.similar_pairs(docs_frame(spark, rows), forest=True)).collect()}
-    assert roots.keys() == {x for p in want for x in p if x != min(y for q in want for y in q)}
+    assert found_classes(jaccard.classes(docs_frame(spark, rows))) == brute_classes(rows)
 
 
 def test_edges(spark):
@@ -81,7 +127,8 @@ def test_edges(spark):
     assert found(jaccard.similar_pairs(docs_frame(spark, rows, extra=True))).keys() == {(4, 5), (6, 7), (8, 9), (10, 11)}
     kept = jaccard.one_of_each(docs_frame(spark, rows, extra=True))
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 6, 8, 10]
-    assert jaccard.similar_pairs(docs_frame(spark, [])).count() == 0
+    assert found_classes(jaccard.classes(docs_frame(spark, rows, extra=True))) == {4: (4, 1), 5: (4, 1), 6: (6, 1), 7: (6, 1), 8: (8, 1), 9: (8, 1), 10: (10, 1), 11: (10, 1)}
+    assert jaccard.similar_pairs(docs_frame(spark, [])).count() == 0 and jaccard.classes(docs_frame(spark, [])).count() == 0
     assert jaccard.one_of_each(docs_frame(spark, [])).count() == 0
 
 
