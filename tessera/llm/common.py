@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from .textscan import mix, release
 
@@ -108,9 +108,9 @@ def unpacked(blobs: Iterable[bytes], *tables: tuple[str, ...]) -> list[np.ndarra
     return [np.concatenate(p) for columns in parts for p in columns]
 
 
-def split(part: np.ndarray, parts: int, *columns: np.ndarray, detail: tuple[np.ndarray, ...] | None = None) -> Iterator[pa.RecordBatch]:
-    """The columns' rows as one row (part, blob) for each part that has any. detail: the part of each row of a second table, and its columns."""
-    tables = [(part, columns)] + ([(detail[0], detail[1:])] if detail else [])
+def split(part: np.ndarray, parts: int, *columns: np.ndarray, detail: tuple[np.ndarray, ...] | None = None, more: tuple[np.ndarray, ...] | None = None) -> Iterator[pa.RecordBatch]:
+    """The columns' rows as one row (part, blob) for each part that has any. detail, more: the part of each row of a second and third table, and its columns."""
+    tables = [(part, columns)] + [(t[0], t[1:]) for t in (detail, more) if t]
     sorted_tables = []
     for of, cols in tables:
         order = np.argsort(of.astype(np.uint16) if parts <= 1 << 16 else of, kind="stable")
@@ -135,7 +135,7 @@ def exchange(df: DataFrame, mapper: Callable, reducer: Callable[[Iterator[bytes]
 
 
 FILTER_MOST = 27  # bits of a filter, as a power of two: 16 MB
-_FILTER_PARTS = 5
+_FILTER_PARTS = 5  # of its slices, as a power of two
 
 
 class KeyFilter:
@@ -167,19 +167,32 @@ class KeyFilter:
                     at = np.unique(cls.slots([c.to_numpy() for c in batch.columns], bits))
                     yield from split(at >> (bits - _FILTER_PARTS), 1 << _FILTER_PARTS, at.astype("u4"))
 
-        return cls(bits, collected_bits(exchange(keys, place, lambda blobs: bit_slice(unpacked(blobs, ("u4",))[0], bits), "slice int, bits binary"), bits))
+        return cls(bits, collected_bits(exchange(keys, place, lambda blobs: bit_slice(unpacked(blobs, ("u4",))[0], bits), "slice int, bits binary").collect(), bits))
 
 
-def bit_slice(at: np.ndarray, bits: int) -> pa.Table:
-    """The slice of a table of 2^bits bits in which the bits `at` are set."""
-    width = 1 << (bits - _FILTER_PARTS)
+def bit_slice(at: np.ndarray, bits: int, parts: int = _FILTER_PARTS) -> pa.Table:
+    """The slice of a table of 2^bits bits in which the bits `at` are set; it has 2^parts slices."""
+    width = 1 << (bits - parts)
     flags = np.zeros(width, bool)
     flags[at & (width - 1)] = True
     return pa.table({"slice": pa.array([int(at[0]) // width] if len(at) else [0], pa.int32()), "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 
 
-def collected_bits(slices: DataFrame, bits: int) -> np.ndarray:
-    out = np.zeros((1 << _FILTER_PARTS, 1 << (bits - _FILTER_PARTS - 3)), np.uint8)
-    for r in slices.collect():  # 2^_FILTER_PARTS rows
+def collected_bits(slices: Iterable[Row], bits: int, parts: int = _FILTER_PARTS) -> np.ndarray:
+    """The table of 2^bits bits; a slice without any may be missing, or have the number 0 and no bits."""
+    out = np.zeros((1 << parts, 1 << (bits - parts - 3)), np.uint8)
+    for r in slices:
         out[r["slice"]] |= np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where df has such a column in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -2,17 +2,22 @@
 
 A rolling hash of TRIGGER words that is 0 modulo MODULUS ends a phrase and begins the next one, so phrases
 depend on the words about them alone, and equal passages are parsed alike wherever they occur. The distinct
-phrases are the dictionary; documents are sequences of phrases, the parse.
-
-A suffix of the corpus is the tail of a phrase and then a suffix of the parse, so the corpus order of
-suffixes comes from two arrays: the parse's suffixes in order of their first phrase (a phrase goes to one
-task, which ranks its part of the dictionary), and, for each, the tails before it, by their length and
-contents and by what follows. Suffixes are told apart to the depth of LENGTH words: this is all that dedup needs, and
-contents below a phrase are ordered by fingerprint. Where neighbours in that order agree to the depth,
-their longest common prefix is LENGTH or more, and both are repeats. Phrases that occur once are dropped
-before anything is sorted: of highly repetitive text each task sorts small arrays.
-
-Stretches of LENGTH words without a whole phrase are filed by the one trigger in them, or by all of their words.
+phrases are the dictionary; documents are sequences of phrases, the parse. No phrase's suffix that is longer
+than a trigger is a prefix of another's.
+
+A suffix of the corpus is the suffix of a phrase and then a suffix of the parse. So corpus order is had from
+two arrays, without comparing suffixes of the corpus: the dictionary's suffixes in order, and the parse's
+suffixes in order with the longest common prefix of neighbours; where several occurrences have one suffix of
+a phrase, their order is that of the parse. Neighbours in corpus order share the suffix of a phrase and the
+least of the common prefixes between them in the parse, and where that is LENGTH words or more, both are repeats.
+
+Stretches of LENGTH words are filed by the first whole phrase in them, and those without a whole phrase by the
+one trigger in them, or by all of their words. Phrases that occur once are dropped first, by a table of bits.
+A phrase goes to one task with its dictionary, the distinct phrases before it, and with its part of the parse,
+what follows it to the depth of LENGTH words: that is all that dedup needs, and deeper suffixes are ties. What
+a mapper meets again is sent once, so highly repetitive text moves little. Each task has its suffixes in corpus
+order; there is no need to bring tasks into one order. Phrases of more than HOT occurrences are joined by
+fingerprints of their stretches, as in `repeats`.
 """
 
 from __future__ import annotations
@@ -22,16 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import exchange, shared_dir, split, table, unpacked
-from .repeats import BYTES_PER_WORD, _spans, joined, merge
-from .textscan import Words, expand, mix, rolling, spans_hash, words
+from .common import shared_dir, table
+from .repeats import Occurrences, Seeds, _spans, merge, repeats_of, seeded_spans
+from .textscan import Words, expand, mix, rolling, spans_hash
 
 LENGTH = 50
-TRIGGER, MODULUS = 4, 8
-PER_PART = 150_000  # phrases in a part, about
-FLUSH = 1_500_000  # stretches that a mapper holds
+TRIGGER, MODULUS = 4, 16
 _SALTS = (np.uint64(0x51), np.uint64(0x52), np.uint64(0x53))
 
 
@@ -63,96 +65,131 @@ def filed(w: Words, length: int, trigger: int, modulus: int) -> tuple[np.ndarray
     return begin, text, name, np.where(has_one, one, begin)
 
 
-def _ordered(blobs: Iterator[bytes], length: int) -> pa.Table:
+def phrase_seeds(w: Words, length: int, trigger: int, modulus: int) -> Seeds:
+    begin, text, name, at = filed(w, length, trigger, modulus)
+    if not len(begin):
+        return text, begin, at, name, begin
+    lead = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (name[1:] != name[:-1]) | (text[1:] != text[:-1]))))
+    return text[lead], begin[lead], at[lead], name[lead], np.diff(np.append(lead, len(begin)))
+
+
+def _joint(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Ranks of pairs of ranks, in order."""
+    return np.unique((one.astype(np.uint64) << np.uint64(32)) | two.astype(np.uint64), return_inverse=True)[1]
+
+
+def sorted_rows(rows: np.ndarray) -> np.ndarray:
+    """The rank of each row among the distinct rows in order, by ranks of halves that are joined."""
+    columns = [rows[:, k] for k in range(rows.shape[1])]
+    while len(columns) > 1:
+        columns = [_joint(columns[k], columns[k + 1]) if k + 1 < len(columns) else columns[k] for k in range(0, len(columns), 2)]
+    return np.unique(columns[0], return_inverse=True)[1]
+
+
+def suffix_ranks(text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The rank of each suffix of each string (first[i] : first[i + 1] of `text`), equal ones alike, by prefix doubling; a string's end comes before any word."""
+    n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
+    end = np.repeat(first[1:], np.diff(first))
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
+    step, longest = 1, int(np.diff(first).max())
+    while step < longest:
+        then = np.arange(n) + step
+        rank = _joint(rank, np.where(then < end, rank[np.minimum(then, n - 1)], 0)) + 1
+        step *= 2
+    return rank
+
+
+class CorpusOrder:
+    """Suffixes of a part in corpus order: seed of[i], tail[i] words before its phrase begins, and common[i], the longest common prefix with the one before, to the depth of `length`."""
+
+    def __init__(self, o: Occurrences, length: int, trigger: int):
+        m = len(o.name)
+        at = o.first + o.left
+        # the parse: what follows, in order; places beyond a context are 0
+        follows = (length - (o.left - o.n + 1))[:, None] > np.arange(length)
+        rows = np.where(follows, o.words[np.minimum(at[:, None] + np.arange(length), len(o.words) - 1)].astype(np.int64) + 1, 0)
+        rank = sorted_rows(rows)
+        order = np.argsort(rank, kind="stable")
+        place = np.empty(m, np.int64)
+        place[order] = np.arange(m)
+        differ = rows[order][1:] != rows[order][:-1]
+        common = np.where(differ.any(1), differ.argmax(1), length)
+        self._levels = [common.astype(np.int16)]
+        while 2 << len(self._levels) - 1 <= len(common):
+            step = 1 << len(self._levels) - 1
+            self._levels.append(np.minimum(self._levels[-1][:-step], self._levels[-1][step:]))
+        # the dictionary: the phrase before, with the trigger that ends it
+        size = o.left + trigger
+        owner, k = expand(size)
+        text = o.words[np.minimum(o.first[owner] + k, len(o.words) - 1)].astype(np.int64) + 1
+        first = np.concatenate(([0], np.cumsum(size)))
+        mark = mix(spans_hash(text.astype(np.uint64), first[:-1], first[1:]))
+        _, lead, back = np.unique(mark, return_index=True, return_inverse=True)
+        words_of, j = expand(size[lead])
+        d_first = np.concatenate(([0], np.cumsum(size[lead])))
+        suffix = suffix_ranks(text[first[lead][words_of] + j], d_first)
+        # all suffixes: those of stretches that are filed by the seed
+        of, k = expand(o.n)
+        tail = o.left[of] - k
+        by_phrase = suffix[d_first[back[of]] + k]
+        order = np.lexsort((place[of], by_phrase))
+        self.of, self.tail = of[order], tail[order]
+        here = by_phrase[order]
+        low, high = place[self.of][:-1], place[self.of][1:]
+        same = (here[1:] == here[:-1]) & (self.tail[1:] == self.tail[:-1])
+        self.common = np.zeros(len(order), np.int64)
+        self.common[1:][same] = self.tail[1:][same] + self._least(low[same], high[same])
+        self.common = np.minimum(self.common, length)
+
+    def _least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Common prefix of the parse's suffixes at places low and high: the least between neighbours from the one to the other."""
+        out = np.empty(len(low), np.int64)
+        level = np.log2(high - low).astype(np.int64)
+        for k in np.unique(level).tolist():
+            at = level == k
+            out[at] = np.minimum(self._levels[k][low[at]], self._levels[k][high[at] - (1 << k)])
+        return out
+
+
+def _ordered(blobs: Iterator[bytes], length: int, trigger: int) -> pa.Table:
     """Spans of repeats among the suffixes that are filed in this part."""
-    key, doc, phrase, pos, before, n, high, low = unpacked(blobs, ("i8", "i8", "u8", "u4", "u1", "u1"), ("u4", "u2"))
-    # the dictionary of this part, less what occurs once
-    dictionary, rank, times = np.unique(phrase, return_inverse=True, return_counts=True)
-    first = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[:-1]
-    row = np.flatnonzero(times[rank] > 1)
-    # occurrences in order of document; a repeated row is one document
-    row = row[np.lexsort((before[row], pos[row], key[row], doc[row]))]
-    same = np.zeros(len(row), bool)
-    if len(row):
-        a, b = row[1:], row[:-1]
-        same[1:] = (doc[a] == doc[b]) & (key[a] == key[b]) & (pos[a] == pos[b]) & (phrase[a] == phrase[b]) & (before[a] == before[b])
-    row = row[~same]
-    suffix, k = expand(n[row].astype(np.int64))
-    of = row[suffix]
+    o = Occurrences(blobs, length)
+    none = np.zeros(0, np.int64)
+    if not len(o.name):
+        return _spans(none, none, none, none, none.astype(bool))
+    s = CorpusOrder(o, length, trigger)
+    head = s.common < length  # a run of suffixes that agree to the depth begins
+    run = np.cumsum(head) - 1
+    repeated = np.bincount(run)[run] > 1
+    earliest = np.minimum.reduceat(s.of, np.flatnonzero(head))[run]  # occurrences are in order of document
+    of, e, tail = s.of[repeated], earliest[repeated], s.tail[repeated]
     if not len(of):
-        return _spans(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-    tail = before[of].astype(np.int64) - k  # words of the phrase before
-    at = first[of] + k
-    place = rank[of].astype(np.uint64) << np.uint64(16) | tail.astype(np.uint64)
-    content = (high[at].astype(np.uint64) << np.uint64(16)) | low[at]
-    order = np.lexsort((np.arange(len(of)), content, place))  # corpus order
-    agree = (place[order][1:] == place[order][:-1]) & (content[order][1:] == content[order][:-1])  # to the depth of `length`
-    head = np.concatenate(([True], ~agree))
-    repeated = np.zeros(len(of), bool)
-    repeated[order[1:][agree]] = True
-    repeated[order[:-1][agree]] = True
-    earliest = np.empty(len(of), np.int64)
-    earliest[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
-    start = pos[of].astype(np.int64) - tail
-    o, e = of[repeated], of[earliest[repeated]]
-    elsewhere = (doc[o] != doc[e]) | (key[o] != key[e])
-    late = (earliest[repeated] != np.flatnonzero(repeated)) & (elsewhere | (start[repeated] - start[earliest[repeated]] >= length))
-    if not len(o):
-        return _spans(key[:0], doc[:0], start[:0], start[:0], late)
-    return _spans(*merge(key[o], doc[o], start[repeated], start[repeated] + length, late))
+        return _spans(none, none, none, none, none.astype(bool))
+    elsewhere = (o.doc[of] != o.doc[e]) | (o.key[of] != o.key[e])
+    late = (of != e) & (elsewhere | (o.pos[of] - o.pos[e] >= length))
+    start = o.pos[of] - tail
+    return _spans(*merge(o.key[of], o.doc[of], start, start + length, late))
 
 
 def spans(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, modulus: int = MODULUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, doc_id, start, end, later), as in the seed-and-extend operator, whose repeats these are too."""
     if not 0 < trigger <= length < 256:
         raise ValueError("length must be from trigger to 255")
-    base = docs.select(F.xxhash64(text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
-    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, int(size / BYTES_PER_WORD / modulus / PER_PART) + 1)
-
-    def send(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate(c) for c in got]
-        part = (columns[2] % np.uint64(parts)).astype(np.int64)
-        yield from split(part, parts, *columns[:6], detail=(np.repeat(part, columns[5]), *columns[6:]))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[] for _ in range(8)]
-        held = 0
-        for batch in batches:
-            key, doc = (batch.column(c).to_numpy() for c in (0, 1))
-            for i, _, w in words(batch.column(2)):
-                begin, text, name, at = filed(w, length, trigger, modulus)
-                if not len(begin):
-                    continue
-                whole = rolling(w.hash, length)[begin]
-                lead = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (name[1:] != name[:-1]) | (text[1:] != text[:-1]))))
-                d, a = text[lead], at[lead]
-                columns = (key[i + d], doc[i + d], name[lead], (a - w.first[d]).astype("u4"), (a - begin[lead]).astype("u1"), np.diff(np.append(lead, len(begin))).astype("u1"), (whole >> np.uint64(32)).astype("u4"), (whole >> np.uint64(16)).astype("u2"))
-                for out, c in zip(got, columns, strict=True):
-                    out.append(c)
-                held += len(begin)
-                if held >= FLUSH:
-                    yield from send(got)
-                    got, held = [[] for _ in range(8)], 0
-        if held:
-            yield from send(got)
-
-    return exchange(base, cut, lambda blobs: _ordered(blobs, length), "key long, doc_id long, start long, end long, later boolean")
+    return seeded_spans(docs, length, lambda w: phrase_seeds(w, length, trigger, modulus), modulus, lambda blobs: _ordered(blobs, length, trigger), id_col, text_col)
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, modulus: int = MODULUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Maximal repeats of `length` words or more: doc_id, start, length (in words), later (how many of its words lie in stretches that came before).
 
     Every stretch of `length` words in it occurs once more at least. Words are compared without case or
-    punctuation. Null, empty and shorter texts have none; rows without doc_id take no part. Repeated rows
-    are one document; rows with one doc_id and different texts are different documents. Other columns are
-    ignored. An empty table gives no rows.
+    punctuation, by 32 bits of their hash each. Null, empty and shorter texts have none; very long texts are searched
+    whole; rows without doc_id take no part. Repeated rows are one document; rows with one doc_id and different texts
+    are different documents. Of equal stretches the first is that of the least doc_id, then of the text's hash, then of
+    the place. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
-    rows = joined(spans(docs, length, trigger, modulus, id_col, text_col))
-    each = rows.select("doc_id", "later", F.explode("repeats").alias("r"))
-    zero = F.lit(0).cast("long")
-    inside = F.aggregate("later", zero, lambda a, x: a + F.greatest(zero, F.least(x["end"], F.col("r.end")) - F.greatest(x["start"], F.col("r.start"))))
-    return each.select("doc_id", F.col("r.start").alias("start"), (F.col("r.end") - F.col("r.start")).alias("length"), inside.alias("later"))
+    return repeats_of(spans(docs, length, trigger, modulus, id_col, text_col))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

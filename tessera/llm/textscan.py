@@ -42,9 +42,12 @@ class _Powers:
 
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers up to the nth, of which CHUNK_BYTES and a few are kept: hashes don't depend on where a run begins, so work is cut in runs."""
+        most = CHUNK_BYTES + 1024
+        if n > most:  # one word or span that is longer
+            return _powers(_P, n), _powers(_P_INVERSE, n)
         if len(cls.up) < n:
-            size = max(n, CHUNK_BYTES + 1024)
-            cls.up, cls.down = _powers(_P, size), _powers(_P_INVERSE, size)
+            cls.up, cls.down = _powers(_P, most), _powers(_P_INVERSE, most)
         return cls.up, cls.down
 
 
@@ -120,11 +123,22 @@ def scan(offs: np.ndarray, data: np.ndarray) -> Words:
     starts_mask[joined] = True
     ends_mask[joined - 1] = True
     start, end = np.flatnonzero(starts_mask), np.flatnonzero(ends_mask) + 1
-    up, down = _Powers.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start])
-    return Words(data, n, start, end, np.searchsorted(start, offs), h)
+    return Words(data, n, start, end, np.searchsorted(start, offs), _hashes(data, start, end))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word, in runs of words: a very long text takes no more memory here than a run."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + CHUNK_BYTES)))
+        lo, hi = int(start[i]), int(end[j - 1])
+        up, down = _Powers.get(hi - lo + 1)
+        total = np.zeros(hi - lo + 1, dtype=np.uint64)
+        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=total[1:])
+        out[i:j] = mix((total[end[i:j] - lo] - total[start[i:j] - lo]) * down[start[i:j] - lo])
+        i = j
+    return out
 
 
 try:
@@ -163,18 +177,30 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _Powers.get(len(h) + 1)
-    total = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[n:] - total[:m]) * down[:m])
+    out = np.empty(m, np.uint64)
+    for lo in range(0, m, CHUNK_BYTES):
+        hi = min(m, lo + CHUNK_BYTES)
+        part = h[lo : hi + n - 1]
+        up, down = _Powers.get(len(part) + 1)
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * up[: len(part)], out=total[1:])
+        out[lo:hi] = mix((total[n:] - total[: hi - lo]) * down[: hi - lo])
+    return out
 
 
 def spans_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Hash of h[lo[i] : hi[i]] for each i."""
-    up, down = _Powers.get(len(h) + 1)
-    total = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+    out = np.empty(len(lo), np.uint64)
+    block = lo // CHUNK_BYTES
+    for b in np.unique(block).tolist():
+        of = np.flatnonzero(block == b)
+        base = b * CHUNK_BYTES
+        part = h[base : int(hi[of].max())]
+        up, down = _Powers.get(max(len(part), CHUNK_BYTES) + 1)
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * up[: len(part)], out=total[1:])
+        out[of] = mix((total[hi[of] - base] - total[lo[of] - base]) * down[lo[of] - base] + (hi[of] - lo[of]).astype(np.uint64))
+    return out
 
 
 def expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
