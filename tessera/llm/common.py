@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -108,8 +109,8 @@ def unpacked(blobs: Iterable[bytes], *tables: tuple[str, ...]) -> list[np.ndarra
     return [np.concatenate(p) for columns in parts for p in columns]
 
 
-def split(part: np.ndarray, parts: int, *columns: np.ndarray, detail: tuple[np.ndarray, ...] | None = None, more: tuple[np.ndarray, ...] | None = None) -> Iterator[pa.RecordBatch]:
-    """The columns' rows as one row (part, blob) for each part that has any. detail, more: the part of each row of a second and third table, and its columns."""
+def split(part: np.ndarray, parts: int, *columns: np.ndarray, detail: tuple[np.ndarray, ...] | None = None, more: tuple[np.ndarray, ...] | None = None, squeezed: bool = False) -> Iterator[pa.RecordBatch]:
+    """The columns' rows as one row (part, blob) for each part that has any. detail, more: the part of each row of a second and third table, and its columns. squeezed: blobs are compressed by zlib, column after column, better than the shuffle does."""
     tables = [(part, columns)] + [(t[0], t[1:]) for t in (detail, more) if t]
     sorted_tables = []
     for of, cols in tables:
@@ -118,7 +119,8 @@ def split(part: np.ndarray, parts: int, *columns: np.ndarray, detail: tuple[np.n
     keys, blobs = [], []
     for k in np.flatnonzero(np.bincount(part, minlength=parts)).tolist():
         keys.append(k)
-        blobs.append(b"".join(packed(*[c[ends[k] : ends[k + 1]] for c in cols]) for ends, cols in sorted_tables))
+        blob = b"".join(packed(*[c[ends[k] : ends[k + 1]] for c in cols]) for ends, cols in sorted_tables)
+        blobs.append(zlib.compress(blob, 1) if squeezed else blob)
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 
