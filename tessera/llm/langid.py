@@ -89,14 +89,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def prototypes(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Unit prototype of each language, from at most `per_language` labelled documents of each, drawn by a hash of id and text."""
-    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("u")).where("lang is not null")
+    """Unit prototype of each language, from at most `per_language` labelled documents of each, drawn by a hash of id and text. Repeated rows are drawn together or not at all, and count once."""
+    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)).alias("u")).where("lang is not null")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return {}
     # a draw with some to spare, then exactly per_language of them
     limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 1.5 * per_language / n + 20 / n) * (1 << 30)))])
-    drawn = known.where("text is not null").where(F.col("u") < F.element_at(limit, F.col("lang")))
+    drawn = known.where("text is not null").where(F.col("u") < F.element_at(limit, F.col("lang"))).distinct()
     first = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u", F.xxhash64("text")))).where(F.col("k") <= per_language)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +116,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray] | None = None, dim
     """One row for each document: doc_id, language, cosine, margin (to the second language; null where there is one).
 
     A text that is null, empty or without letters, and every text where no document is labelled, has null
-    in all three. Ties go to the first language by name. A null doc_id stays null. Repeated rows are rated
-    each time. Other columns are ignored. An empty table gives no rows.
+    in all three. Very long texts are bundled whole. Ties go to the first language by name. A null doc_id stays null.
+    Repeated rows are rated each time. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     profiles = profiles if profiles is not None else prototypes(docs, dimensions=dimensions, id_col=id_col, text_col=text_col, lang_col=lang_col)
     names = sorted(profiles)

@@ -265,8 +265,9 @@ def classify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     """One row for each document: doc_id, weak (posterior of the labellers' votes), score (of the scorer), keep.
 
     Null and empty texts have no words: every labeller abstains, and they are rated by the scorer like
-    any other text. A null doc_id stays null. Repeated rows are rated each time. Other columns are
-    ignored. An empty table gives no rows.
+    any other text. Very long texts are measured whole. A null doc_id stays null. Repeated rows are rated each time and
+    alike; a score that ties with the threshold is kept. Other columns are ignored, whatever their names. An empty table
+    gives no rows.
     """
     model = model or train(docs, id_col=id_col, text_col=text_col)
 
@@ -279,7 +280,7 @@ def classify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
 
 def keep_good(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that the scorer rates at the threshold or above, with all their columns."""
+    """The documents that the scorer rates at the threshold or above, with all their columns, whatever their names. Edge cases are those of `classify`."""
     model = model or train(docs, id_col=id_col, text_col=text_col)
     at = docs.columns.index(text_col)
 

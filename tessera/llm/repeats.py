@@ -107,6 +107,33 @@ def repeated_names(base: DataFrame, seeds: Callable[[Words], Seeds], total: int)
     return bits, collected_bits(rows, bits, by), np.sort(hot)
 
 
+def contexts(w: Words, seeds: Seeds, key: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(name, key, doc, place of the name, words to its left, stretches, mark of the context) of each seed, and the words of the contexts."""
+    d, begin, at, name, n = seeds
+    counts = n - 1 + length
+    owner, k = expand(counts)
+    short = (w.hash >> np.uint64(32)).astype(np.uint32)
+    mark = mix(spans_hash(w.hash, begin, begin + counts) ^ (name + ((at - begin).astype(np.uint64) << np.uint64(8)) + n.astype(np.uint64)))
+    return name, key, doc, (at - w.first[d]).astype("u4"), (at - begin).astype("u1"), n.astype("u1"), mark, short[begin[owner] + k]
+
+
+def sent_once(got: list[list[np.ndarray]], parts: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Occurrences by name; a context that is here again is sent once."""
+    name, key, doc, pos, left, n, mark, word = (np.concatenate(c) for c in got)
+    part = (name % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((mark, part))  # contexts in order of part, as split() has them
+    new = np.concatenate(([True], (mark[order][1:] != mark[order][:-1]) | (part[order][1:] != part[order][:-1])))
+    lead = order[new]
+    number = np.empty(len(name), np.int64)
+    number[order] = np.cumsum(new) - 1
+    before = np.concatenate(([0], np.cumsum(np.bincount(part[lead], minlength=parts))))
+    of = (number - before[part]).astype("u4")
+    counts = n.astype(np.int64) - 1 + length
+    begin = np.concatenate(([0], np.cumsum(counts)))[:-1]
+    owner, k = expand(counts[lead])
+    yield from split(part, parts, name, key, doc, pos, of, detail=(part[lead], left[lead], n[lead]), more=(part[lead][owner], word[begin[lead][owner] + k]))
+
+
 class Occurrences:
     """What a part has: seeds in order of (name, doc, key, pos), each once, and the context of each: the words of all its stretches.
 
@@ -229,22 +256,6 @@ def seeded_spans(docs: DataFrame, length: int, seeds: Callable[[Words], Seeds],
         found = tuple(c[again] for c in found)
         return found, np.isin(found[3], hot)
 
-    def send(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        """Occurrences by name; a context that is here again is sent once."""
-        name, key, doc, pos, left, n, mark, word = (np.concatenate(c) for c in got)
-        part = (name % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((mark, part))  # contexts in order of part, as split() has them
-        new = np.concatenate(([True], (mark[order][1:] != mark[order][:-1]) | (part[order][1:] != part[order][:-1])))
-        lead = order[new]
-        number = np.empty(len(name), np.int64)
-        number[order] = np.cumsum(new) - 1
-        before = np.concatenate(([0], np.cumsum(np.bincount(part[lead], minlength=parts))))
-        of = (number - before[part]).astype("u4")
-        counts = n.astype(np.int64) - 1 + length
-        begin = np.concatenate(([0], np.cumsum(counts)))[:-1]
-        owner, k = expand(counts[lead])
-        yield from split(part, parts, name, key, doc, pos, of, detail=(part[lead], left[lead], n[lead]), more=(part[lead][owner], word[begin[lead][owner] + k]))
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[list[np.ndarray]] = [[] for _ in range(8)]
         held = 0
@@ -252,22 +263,17 @@ def seeded_spans(docs: DataFrame, length: int, seeds: Callable[[Words], Seeds],
             key, doc = (batch.column(c).to_numpy() for c in (0, 1))
             for i, _, w in words(batch.column(2)):
                 found, hot = live(w)
-                d, begin, at, name, n = (c[~hot] for c in found)
-                if not len(d):
+                some = tuple(c[~hot] for c in found)
+                if not len(some[0]):
                     continue
-                counts = n - 1 + length
-                owner, k = expand(counts)
-                short = (w.hash >> np.uint64(32)).astype(np.uint32)
-                mark = mix(spans_hash(w.hash, begin, begin + counts) ^ (name + ((at - begin).astype(np.uint64) << np.uint64(8)) + n.astype(np.uint64)))
-                columns = (name, key[i + d], doc[i + d], (at - w.first[d]).astype("u4"), (at - begin).astype("u1"), n.astype("u1"), mark, short[begin[owner] + k])
-                for out, c in zip(got, columns, strict=True):
+                for out, c in zip(got, contexts(w, some, key[i + some[0]], doc[i + some[0]], length), strict=True):
                     out.append(c)
-                held += int(n.sum())
+                held += int(some[4].sum())
                 if held >= FLUSH:
-                    yield from send(got)
+                    yield from sent_once(got, parts, length)
                     got, held = [[] for _ in range(8)], 0
         if held:
-            yield from send(got)
+            yield from sent_once(got, parts, length)
 
     schema = "key long, doc_id long, start long, end long, later boolean"
     spans = exchange(base, cut, reduce, schema)

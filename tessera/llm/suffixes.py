@@ -62,7 +62,8 @@ def filed(w: Words, length: int, trigger: int, modulus: int) -> tuple[np.ndarray
     single = has_one & ~has_two
     name[single] = mix(spans_hash(w.hash, one[single], one[single] + trigger) ^ _SALTS[1])
     name[~has_one] = mix(spans_hash(w.hash, begin[~has_one], last[~has_one]) ^ _SALTS[2])
-    return begin, text, name, np.where(has_one, one, begin)
+    # a stretch without a trigger is a phrase of its own, and its last words stand for the trigger
+    return begin, text, name, np.where(has_one, one, last - trigger)
 
 
 def phrase_seeds(w: Words, length: int, trigger: int, modulus: int) -> Seeds:

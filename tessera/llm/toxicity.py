@@ -1,14 +1,14 @@
 """Toxicity by the nearest labelled examples: exact tf-idf cosine over a block-max inverted index.
 
-1. At most EXAMPLES labelled documents of either class are drawn by a hash. Terms that are spread over the
-   classes otherwise than by chance (chi squared) are the vocabulary; their document frequencies are
-   counted over all documents.
-2. Examples are laid in blocks of BLOCK by their heaviest term. A block has the inverted lists of its terms,
-   and each term's greatest weight in it, which bounds the cosine of any of its examples.
-3. Every document is a query. Its best-bounded blocks are scored first; then every block whose bound is
-   not below the K-th best cosine so far: the K nearest examples are exact.
+1. At most EXAMPLES labelled documents of either class are drawn by a hash. Every term of theirs is in the
+   vocabulary; document frequencies are counted over all documents.
+2. Examples are laid in blocks of BLOCK by their heaviest term. Rare terms have inverted lists. Terms that more
+   than one in DENSE examples has are kept as columns of the blocks, with each block's greatest weight of them.
+3. Every document is a query. The lists of its rare terms give a lower bound of the cosine with every example,
+   and, with the block's greatest weights, an upper bound for every block. Blocks whose bound is below the K-th
+   best lower bound are passed over, the others are scored: the K nearest examples are exact.
 4. Cosine-weighted votes of the K nearest, made a probability by a logistic curve that is fitted on the
-   examples themselves (each without itself, weighted to the classes' shares among the labels).
+   examples themselves (each without itself and its repeats, weighted to the classes' shares among the labels).
 """
 
 from __future__ import annotations
@@ -21,14 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import packed, table, unpacked
-from .textscan import Words, words
+from .textscan import Words, expand, words
 
 EXAMPLES = 6000  # of either class, at most: the bound of the labelled sample
 K = 15
-TERMS = 4096
-LEAST_EXAMPLES, CHI_SQUARED = 4, 15.0
 BLOCK = 128
-ROWS = 2048  # queries that are dense at once
+DENSE = 16
+ROWS = 256  # queries that are scored at once
 EVIDENCE = 3  # nearest examples that are named
 SMOOTH = 0.5
 THRESHOLD = 0.5
@@ -43,70 +42,79 @@ def term_counts(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return d[head], h[head], np.diff(np.append(head, len(d)))
 
 
-def vocabulary(terms: list[np.ndarray], toxic: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """Terms (in order) that tell the classes apart, by chi squared of their presence."""
-    if not len(terms) or toxic.all() or not toxic.any():
-        return np.zeros(0, np.uint64)
-    of = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    value, back = np.unique(np.concatenate(terms), return_inverse=True)
-    bad = np.bincount(back, toxic[of], minlength=len(value))
-    all_of = np.bincount(back, minlength=len(value)).astype(float)
-    n, n_bad = len(terms), toxic.sum()
-    a, b, c, d = bad, all_of - bad, n_bad - bad, (n - n_bad) - (all_of - bad)
-    chi = n * (a * d - b * c) ** 2 / np.maximum(1e-9, (a + b) * (c + d) * (a + c) * (b + d))
-    good = np.flatnonzero((all_of >= LEAST_EXAMPLES) & (chi >= CHI_SQUARED))
-    good = good[np.lexsort((value[good], -chi[good]))][:most]
-    return np.sort(value[good])
-
-
 class Index:
-    """Blocks of unit vectors: of each its terms, their weights for each example, and their greatest weights."""
-
-    def __init__(self, vectors: np.ndarray, labels: np.ndarray, ids: np.ndarray):
-        some = np.flatnonzero(vectors.any(axis=1))
-        top = vectors[some].argmax(axis=1) if vectors.shape[1] else np.zeros(0, int)
-        some = some[np.lexsort((ids[some], top))]
-        self.labels, self.ids, self.n = labels[some].astype(np.float32), ids[some], len(some)
-        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
-        self.bound = np.zeros((vectors.shape[1], -(-len(some) // BLOCK)), np.float32)
-        for b in range(self.bound.shape[1]):
-            x = vectors[some[b * BLOCK : (b + 1) * BLOCK]]
-            terms = np.flatnonzero(x.any(axis=0))
-            self.blocks.append((terms, np.ascontiguousarray(x[:, terms].T)))
-            self.bound[:, b] = x.max(axis=0)
+    """Examples as unit vectors, (example, term, weight) in order of example: inverted lists of rare terms, and blocks of frequent ones."""
+
+    def __init__(self, of: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, labels: np.ndarray, ids: np.ndarray, group: np.ndarray | None = None):
+        n = len(labels)
+        some = np.zeros(n, bool)
+        some[of] = True
+        heaviest = np.full(n, terms)
+        order = np.lexsort((term, -weight, of))
+        lead = np.flatnonzero(np.concatenate(([True], of[order][1:] != of[order][:-1]))) if len(of) else order
+        heaviest[of[order][lead]] = term[order][lead]
+        place = np.flatnonzero(some)
+        place = place[np.lexsort((ids[place], heaviest[place]))]
+        new = np.full(n, -1)
+        new[place] = np.arange(len(place))
+        of = new[of]
+        self.n, self.blocks = len(place), -(-len(place) // BLOCK)
+        self.labels, self.ids = labels[place].astype(np.float32), ids[place]
+        self.group = np.arange(self.n) if group is None else group[place]
+        self.rank = np.empty(self.n, np.int64)
+        self.rank[np.lexsort((np.arange(self.n), self.ids))] = np.arange(self.n)
+        length = np.bincount(term, minlength=terms)
+        frequent = np.flatnonzero(length > self.n / DENSE)
+        self.column = np.full(terms, -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        dense = self.column[term] >= 0
+        self.wide = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
+        self.wide[self.column[term[dense]], of[dense]] = weight[dense]
+        self.most = self.wide.reshape(len(frequent), self.blocks, BLOCK).max(axis=2) if self.blocks else np.zeros((len(frequent), 0), np.float32)
+        order = np.argsort(term[~dense], kind="stable")
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(term[~dense], minlength=terms))))
+        self.list, self.weight = of[~dense][order].astype(np.int32), weight[~dense][order].astype(np.float32)
         self.scored = 0  # (query, block) pairs looked into
 
-    def nearest(self, queries: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest of each query (a row of unit length), best first, ties by id; own: an example that is left out."""
-        n, k = len(queries), min(k, self.n)
-        best, who = np.full((n, k), -1.0, np.float32), np.full((n, k), -1, np.int64)
-        if not k or not n:
+    def nearest(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest of n queries, (query, term, weight) in order of query, best first, ties by id; -1 for none. own: of each query, a group of examples that is left out."""
+        k = min(k, self.n)
+        who, best = np.full((n, k), -1, np.int64), np.zeros((n, k), np.float32)
+        if not k:
             return who, best
-        bound = queries @ self.bound
-        first = bound.argmax(axis=1)
-        rank = np.empty(self.n, np.int64)
-        rank[np.lexsort((np.arange(self.n), self.ids))] = np.arange(self.n)
-
-        def score(rows: np.ndarray, b: int) -> None:
-            terms, lists = self.blocks[b]
-            sims = queries[np.ix_(rows, terms)] @ lists
-            at = np.broadcast_to(np.arange(b * BLOCK, b * BLOCK + lists.shape[1]), sims.shape)
-            if own is not None:
-                sims = np.where(at == own[rows][:, None], -1, sims)
-            both, ids = np.concatenate((best[rows], sims), axis=1), np.concatenate((who[rows], at), axis=1)
-            # cosines that differ by rounding alone are ties
-            order = np.lexsort((np.where(ids >= 0, rank[ids], self.n), -np.round(both, 6)), axis=1)[:, :k]
-            best[rows], who[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+        edge = np.searchsorted(query, np.arange(0, n + ROWS, ROWS))
+        for b, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+            at = slice(b * ROWS, min(n, (b + 1) * ROWS))
+            if hi > lo:
+                who[at], best[at] = self._nearest(query[lo:hi] - b * ROWS, term[lo:hi], weight[lo:hi], at.stop - at.start, k, None if own is None else own[at])
+        return who, best
+
+    def _nearest(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        width = self.blocks * BLOCK
+        owner, j = expand(self.first[term + 1] - self.first[term])
+        at = self.first[term][owner] + j
+        score = np.bincount(query[owner] * width + self.list[at], weight[owner] * self.weight[at], minlength=n * width).reshape(n, width)
+        if own is not None:
+            score[:, : self.n][self.group[None] == own[:, None]] = -4
+        dense = self.column[term] >= 0
+        q = np.zeros((n, len(self.most)), np.float32)
+        q[query[dense], self.column[term[dense]]] = weight[dense]
+        least = np.partition(score[:, : self.n], self.n - k, axis=1)[:, self.n - k]
+        bound = score.reshape(n, self.blocks, BLOCK).max(axis=2) + q @ self.most
+        look = (bound >= least[:, None] - 2e-6) & (bound > 0)
+        total = np.full((n, width), -4.0)
+        for b in np.flatnonzero(look.any(axis=0)).tolist():
+            rows, block = np.flatnonzero(look[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+            total[rows, block] = score[rows, block] + q[rows] @ self.wide[:, block]
             self.scored += len(rows)
-
-        for b in np.unique(first).tolist():
-            score(np.flatnonzero(first == b), b)
-        for b in range(len(self.blocks)):
-            rows = np.flatnonzero((first != b) & (bound[:, b] > 0) & (bound[:, b] >= best[:, -1] - 2e-6))
-            if len(rows):
-                score(rows, b)
-        who[best <= 0] = -1
-        return who, np.maximum(best, 0)
+        total = total[:, : self.n]
+        # cosines that differ by rounding alone are ties, and go to the lesser id
+        key = np.round(total, 6) - self.rank * 1e-11
+        top = np.argpartition(-key, k - 1, axis=1)[:, :k] if k < self.n else np.broadcast_to(np.arange(self.n), (n, self.n))
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(key, top, 1), axis=1, kind="stable"), 1)
+        cosine = np.take_along_axis(total, top, 1)
+        found = cosine > 1e-9
+        return np.where(found, top, -1), np.where(found, cosine, 0).astype(np.float32)
 
     def votes(self, who: np.ndarray, sims: np.ndarray) -> np.ndarray:
         if not who.shape[1]:
@@ -135,19 +143,18 @@ def calibrate(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray, rounds:
 class Model:
     """Vocabulary, idf, index of examples, and the calibration."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, index: Index, curve: tuple[float, float]):
-        self.terms, self.idf, self.index, self.curve = terms, idf, index, curve
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, other: float, index: Index, curve: tuple[float, float]):
+        self.terms, self.idf, self.other, self.index, self.curve = terms, idf, other, index, curve
 
-    def vectors(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(texts with any term of the vocabulary, their unit tf-idf rows)."""
+    def vectors(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place in the vocabulary, weight) of unit tf-idf rows; terms that no example has count in the length alone, with the greatest idf."""
         if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros((0, 0), np.float32)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
         hit = self.terms[at] == term
-        rows, back = np.unique(doc[hit], return_inverse=True)
-        x = np.zeros((len(rows), len(self.terms)), np.float32)
-        x[back, at[hit]] = (1 + np.log(times[hit])) * self.idf[at[hit]]
-        return rows, x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+        x = (1 + np.log(times)) * np.where(hit, self.idf[at], self.other)
+        x /= np.maximum(1e-9, np.sqrt(np.bincount(doc, x * x)))[doc]
+        return doc[hit], at[hit], x[hit].astype(np.float32)
 
     def probability(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * votes + self.curve[1], -40, 40)))
@@ -157,10 +164,12 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col:
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     u = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
-    rate = F.create_map(*[F.lit(x) for y in (0, 1) for x in (y, int(min(1.0, examples / max(1, counts.get(y, 0))) * (1 << 30)))])
-    drawn = known.where(u < F.element_at(rate, F.col("y")))  # about `examples` of either class, so small enough to broadcast
+    # a few more than are wanted, of which the first by u stay
+    rate = F.create_map(*[F.lit(x) for y in (0, 1) for x in (y, int(min(1.0, (1.1 * examples + 50) / max(1, counts.get(y, 0))) * (1 << 30)))])
+    drawn = known.withColumn("u", u).where(F.col("u") < F.element_at(rate, F.col("y")))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chosen = base.join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text")
+    # repeated rows are one example
+    chosen = base.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "text"]).select("doc_id", "y", "text", "u")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,14 +177,19 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col:
                 d, h, n = term_counts(w)
                 first = np.searchsorted(d, np.arange(j - i + 1))
                 blobs = [packed(h[lo:hi], n[lo:hi].astype("i4")) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(blobs, pa.binary())], names=["doc_id", "y", "terms"])
-
-    got = chosen.mapInArrow(scan, "doc_id long, y int, terms binary").toArrow()  # the bounded sample, on the driver
-    columns = [unpacked([b], ("u8", "i4")) for b in got.column("terms").to_pylist()]
-    ids, toxic = got.column("doc_id").to_numpy(), got.column("y").to_numpy().astype(float)
-    order = sorted(range(len(columns)), key=lambda i: (ids[i], columns[i][0].tobytes()))
-    columns, ids, toxic = [columns[i] for i in order], ids[order], toxic[order]
-    terms = vocabulary([c[0] for c in columns], toxic)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in (0, 1, 3)], pa.array(blobs, pa.binary())], names=["doc_id", "y", "u", "terms"])
+
+    got = chosen.mapInArrow(scan, "doc_id long, y int, u long, terms binary").toArrow()  # the bounded sample, on the driver
+    blobs, ids, toxic, u = got.column("terms").to_pylist(), got.column("doc_id").to_numpy(), got.column("y").to_numpy(), got.column("u").to_numpy()
+    order = sorted(range(len(blobs)), key=lambda i: (u[i], ids[i], blobs[i]))
+    order = [i for y in (0, 1) for i in [i for i in order if toxic[i] == y][:examples]]
+    columns = [unpacked([blobs[i]], ("u8", "i4")) for i in order]
+    # repeats of an example, by id or by text, are of its group
+    group = _groups(ids[order], [hash(blobs[i]) for i in order])
+    ids, toxic = ids[order], toxic[order].astype(float)
+    if len(set(toxic.tolist())) < 2:
+        columns, ids, toxic, group = [], ids[:0], toxic[:0], group[:0]
+    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *[c[0] for c in columns]]))
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(terms), np.int64), 0
@@ -186,39 +200,46 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col:
                 hit = np.flatnonzero(terms[at] == w.hash)
                 doc = np.searchsorted(w.first, hit, side="right") - 1
                 df += np.bincount(np.unique(doc * len(terms) + at[hit]) % len(terms), minlength=len(terms))
-        yield pa.RecordBatch.from_pydict({"term": pa.array(range(-1, len(terms)), pa.int32()), "n": pa.array([n, *df.tolist()], pa.int64())})
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(some, -1), pa.int32()), "n": pa.array(np.append(df[some], n), pa.int64())})
 
     df = np.zeros(len(terms) + 1)
     if len(terms):
-        for r in base.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term
-            df[r["term"]] = r["n"]
-    idf = np.log((df[-1] + 1) / (df[:-1] + 0.5)).clip(min=0.05).astype(np.float32)
-    model = Model(terms, idf, Index(np.zeros((0, len(terms)), np.float32), toxic[:0], ids[:0]), (1.0, -20.0))
+        counted = base.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the examples
+        df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    idf = np.log((df[-1] + 1) / (df[:-1] + 0.5)).clip(min=0).astype(np.float32)
+    model = Model(terms, idf, float(np.log(df[-1] + 1)), None, (1.0, -20.0))
+    doc = np.repeat(np.arange(len(columns)), [len(c[0]) for c in columns])
+    x = model.vectors(doc, *[np.concatenate([np.zeros(0, k), *[c[j] for c in columns]]) for j, k in ((0, np.uint64), (1, np.int32))])
+    model.index = Index(*x, len(terms), toxic, ids, group)
     if not len(terms):
         return model
-    doc = np.repeat(np.arange(len(columns)), [len(c[0]) for c in columns])
-    rows, x = model.vectors(doc, np.concatenate([c[0] for c in columns]), np.concatenate([c[1] for c in columns]))
-    every = np.zeros((len(columns), len(terms)), np.float32)
-    every[rows] = x
-    model.index = Index(every, toxic, ids)
-    place = {int(i): k for k, i in enumerate(model.index.ids.tolist())}
-    own = np.array([place.get(int(i), -1) for i in ids])
-    votes = model.index.votes(*model.index.nearest(every, K, own))
+    votes = model.index.votes(*model.index.nearest(*x, len(columns), K, group))
     share = [counts.get(y, 0) / max(1.0, (toxic == y).sum()) for y in (0, 1)]
     model.curve = calibrate(votes, toxic, np.where(toxic == 1, share[1], share[0]))
     return model
 
 
+def _groups(ids: np.ndarray, marks: list[int]) -> np.ndarray:
+    """The first row that each row shares its id or its mark with, or a row that does so with it."""
+    group = np.arange(len(ids))
+    for keys in (ids.tolist(), marks) * 2:
+        first: dict = {}
+        for i, k in enumerate(keys):
+            group[i] = first.setdefault(k, group[i])
+    return group
+
+
 def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, score (probability of toxic), toxic (score at the threshold or above), evidence (ids of the nearest examples), similar (their cosines).
 
-    A text that is null, empty or without any term of the vocabulary has no neighbours: its evidence is
+    A text that is null, empty or without any term of the examples has no neighbours: its evidence is
     empty, and its score is that of no votes. So are all where the labels hold one class only. A null
     doc_id stays null. Labels that are null or for unknown documents aren't used; a doc_id with two labels
-    is toxic if one of them says so. Repeated rows are rated each time. Ties go to the lesser id. Other columns are
-    ignored. An empty table gives no rows.
+    is toxic if one of them says so. Very long texts are compared whole. Repeated rows are rated each time and alike.
+    Ties go to the lesser id. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -229,19 +250,11 @@ def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 evidence: list[list[int]] = [[] for _ in range(n)]
                 similar: list[list[float]] = [[] for _ in range(n)]
                 if len(model.terms):
-                    at = np.minimum(np.searchsorted(model.terms, w.hash), len(model.terms) - 1)
-                    hit = np.flatnonzero(model.terms[at] == w.hash)
-                    doc = np.searchsorted(w.first, hit, side="right") - 1
-                    key, times = np.unique(doc * len(model.terms) + at[hit], return_counts=True)
-                    of, term = key // len(model.terms), model.terms[key % len(model.terms)]
-                    edges = np.searchsorted(of, np.arange(0, n + ROWS, ROWS))
-                    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                        rows, x = model.vectors(of[lo:hi], term[lo:hi], times[lo:hi])
-                        who, sims = model.index.nearest(x, K)
-                        votes[rows] = model.index.votes(who, sims)
-                        for r, ids, s in zip(rows.tolist(), who[:, :EVIDENCE].tolist(), sims[:, :EVIDENCE].tolist(), strict=True):
-                            evidence[r] = [int(model.index.ids[e]) for e in ids if e >= 0]
-                            similar[r] = [float(v) for e, v in zip(ids, s, strict=True) if e >= 0]
+                    who, sims = model.index.nearest(*model.vectors(*term_counts(w)), n, K)
+                    votes = model.index.votes(who, sims)
+                    for r, (ids, s) in enumerate(zip(who[:, :EVIDENCE].tolist(), sims[:, :EVIDENCE].tolist(), strict=True)):
+                        evidence[r] = [int(model.index.ids[e]) for e in ids if e >= 0]
+                        similar[r] = [float(v) for e, v in zip(ids, s, strict=True) if e >= 0]
                 p = model.probability(votes)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, n), pa.array(p), pa.array(p >= threshold), pa.array(evidence, pa.list_(pa.int64())), pa.array(similar, pa.list_(pa.float64()))],

@@ -1,7 +1,8 @@
 """URL filter: logistic regression on hashed character n-grams of host and path.
 
 Host and path are cut out in the JVM; their n-grams are hashed with different salts, so that a word counts
-by where it stands. The labelled table is small and is a parameter; SEEDS is made of common words of either kind.
+by where it stands. The labelled table is small and is a parameter of the query's function; where none is given,
+seeds() makes one of words of many kinds of sites. Unwanted sites weigh PRIOR in the fit: what is known of no site is let through.
 """
 
 from __future__ import annotations
@@ -19,32 +20,58 @@ from .textscan import chunks, expand, mix
 BITS = 18
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.5
+PRIOR = 0.2  # of unwanted sites
 LABELLED_MOST = 100_000  # labelled rows that are fitted on, at most
 _SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
-_BAD = "casino poker slots jackpot roulette betting bets win-big lottery pills pharmacy viagra cialis meds cheap adult xxx porn sex escort cams spam-farm linkfarm seo-spam clickbait ads adserver track tracker popads popunder banner warez crack keygen torrent payday loans forex-profit get-rich miracle-cure".split()
-_GOOD = "news times journal herald blog wiki library museum university college school science research health garden cooking travel maps weather history music film books art docs code forum support community city council sports theatre nature energy street river mountain station letters notes review".split()
-_EITHER = "win free top my best online daily shop world point club hub".split()
-_SYLLABLES = "an ba ce do er fi go ha in ju ka lo me ne or pa qui re st th un ve wo xa yo zu tion ing ly ou sh ch ble ea".split()
-
-
-def seeds() -> list[tuple[str, int]]:
-    """A small labelled table: 1 for unwanted."""
+# Words of addresses by what sites are about. They are common knowledge; none is taken from a table that is rated.
+_BAD = """
+casino casinos poker slot slots jackpot roulette blackjack baccarat craps bet bets betting bookmaker sportsbook gamble gambling lottery lotto bingo wager
+porn porno xxx sex sexy adult adults nude nudes escort escorts camgirl cams webcam fetish erotic hookup hentai milf naked hotgirls singles
+pill pills pharmacy viagra cialis levitra meds steroid steroids xanax tramadol valium ambien opioid weightloss slimming diet keto detox miracle cure
+spam scam phishing linkfarm backlink backlinks seo traffic clickbait doorway autosurf paidtoclick popup popunder popads adserver adclick ads adtrack track tracker tracking
+banner banners affiliate sponsor redirect cloak spy spyware malware trojan virus keylogger botnet exploit ransomware
+warez crack cracked cracks keygen serials nulled torrent torrents pirate piratebay rip leaked bypass activator
+loan loans payday cash fastcash getrich richquick income forex binary trading profit profits doubler bitcoin crypto airdrop giveaway prize winner win freebies free freemoney
+replica replicas fake fakes counterfeit outlet knockoff cheap cheapest discount coupon wholesale rolex handbags
+""".split()
+_GOOD = """
+news times journal herald gazette chronicle tribune post daily press magazine review letters notes essays stories editorial
+university college school campus academy institute faculty library museum archive gallery theatre opera orchestra philharmonic
+science physics chemistry biology astronomy geology mathematics statistics research laboratory medicine nursing dental clinic hospital hospice therapist therapy physician
+government council city county parish police fire station court justice parliament embassy ministry treasury customs passport
+garden gardening cooking recipes kitchen bakery restaurant cafe brewery vineyard farm dairy orchard fishing sailing cycling hiking climbing skiing running football rugby cricket tennis golf
+travel hotel hostel airline railway train bus ferry maps weather climate ocean river mountain forest wildlife birds bees horses dogs cats veterinary
+history heritage genealogy archaeology philosophy language grammar dictionary encyclopedia wiki books poetry novel film cinema music guitar piano jazz folk
+code docs developer programming python java linux kernel compiler database network protocol standards forum support help tutorial manual reference
+bank insurance accounting tax law legal solicitor notary estate property housing architecture building plumbing electric carpentry furniture tools hardware
+community charity church temple mosque synagogue volunteer foundation union society association club scouts
+energy solar wind water recycling transport bridge harbour airport post parcel logistics
+essex sussex middlesex wessex sextant bisexuality analysis analytics analyst assess assessment assembly assistant class classic classroom passage bass grass compass cockpit cocktail
+peacock scunthorpe shiitake therapeutic title competition constitution institution document documents cumulus accumulate trace tracing trackwork betterment alphabet tibet abetting
+winter window wine wing twin darwin adulteducation freedom freestyle freelance slotcar pokerface spider shipping pillar pillow caterpillar spain camshaft cameras camera loanword crypt cryptography cracker crackling
+torrential warehouse advice adventure advent address adapt bannerman prizewinning scampi profitability rip ripple cheapside
+""".split()
+_ENDINGS = {1: "com net org info biz xyz top click online site club shop win bid loan".split(), 0: "com net org edu gov info io ac.uk co.uk org.uk de fr es it nl ca com.au co.jp eu int".split()}
+_BAD_PATHS = ("", "/", "/bonus", "/free-spins", "/signup?aff={k}", "/buy-cheap-{w}", "/click?id={k}", "/go.php?url={k}", "/win/{k}", "/{w}-online-{k}.html", "/download/{w}-crack", "/landing/{k}", "/best-{w}", "/promo/{w}", "/pop/{k}.js")
+_GOOD_PATHS = ("", "/", "/about", "/contact", "/news/20{y}/0{m}/{w}", "/wiki/{w}", "/docs/{w}/index.html", "/articles/{k}", "/research/{w}", "/blog/{w}-{v}", "/events/{k}", "/en/{w}", "/library/{w}.pdf", "/page/{k}", "/store/{w}?item={k}")
+
+
+def seeds(without: frozenset[str] = frozenset()) -> list[tuple[str, int]]:
+    """A small labelled table of addresses: 1 for unwanted. without: words that are left out, to measure what is learned of the others."""
+    rng = np.random.default_rng(3)
     out = []
-
-    def address(k: int, name: str) -> str:
-        """The same subdomains, endings and paths for either kind: what tells them apart is names."""
-        path = ("", f"/{k}", f"/{('en', 'fr', 'de', 'es')[k // 3 % 4]}/{k * 37}", f"/page/{k}.html", f"/{('en', 'fr', 'de', 'es')[k // 5 % 4]}/{k * 13}/?ref=x")[k % 5]
-        return f"http{'s' * (k % 2)}://{('', 'www.', 'm.', 'blog.')[k // 2 % 4]}{name}.example.{('com', 'net', 'org')[k % 3]}{path}"
-
-    for label, names in ((1, _BAD), (0, _GOOD)):
-        for k, word in enumerate(names):
-            mate = names[(k * 7 + 3) % len(names)]
-            one, two = _EITHER[k % len(_EITHER)], _EITHER[(k * 3 + 5) % len(_EITHER)]
-            for t, name in enumerate((word, f"{word}-{mate}", f"{one}-{word}", f"{word}-{two}", f"{word}{one}", f"{word}{mate}", f"{mate}-{word}-{k}")):
-                out.append((address(k * 7 + t * 3 + k // 4, name), label))
-    for k in range(300):
-        out.append((address(k, "".join(_SYLLABLES[(k * (j + 3) + j * j * 11 + k // 7) % len(_SYLLABLES)] for j in range(2 + k % 3))), 0))
+    for label, words in ((1, _BAD), (0, _GOOD)):
+        words = [w for w in dict.fromkeys(words) if w not in without]
+        ends, paths = _ENDINGS[label], (_BAD_PATHS, _GOOD_PATHS)[1 - label]
+        for k, word in enumerate(words):
+            for _ in range(12):
+                mate, third = (words[int(i)] for i in rng.integers(0, len(words), 2))
+                number = int(rng.integers(1, 999))
+                name = (word, f"{word}-{mate}", f"{word}{mate}", f"{mate}-{word}", f"{mate}{word}", f"{word}{number}", f"{word}-{mate}-{third}", f"{word}-{number}")[int(rng.integers(0, 8))]
+                sub = ("", "www.", "www.", "m.", "blog.", f"{mate}.", "en.", "shop.")[int(rng.integers(0, 8))]
+                path = paths[int(rng.integers(0, len(paths)))].format(k=number, w=third, v=mate, y=int(rng.integers(10, 26)), m=int(rng.integers(1, 10)))
+                out.append((f"http{'s' * int(rng.integers(0, 2))}://{sub}{name}.{ends[int(rng.integers(0, len(ends)))]}{path}", label))
     return out
 
 
@@ -87,14 +114,14 @@ def design(host: pa.Array, path: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def fit(host: pa.Array, path: pa.Array, label: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias, by AdaGrad on all labelled rows; the classes weigh alike."""
+    """Weights and bias, by AdaGrad on all labelled rows; unwanted ones weigh PRIOR in all."""
     weights, bias = np.zeros(1 << BITS), 0.0
     n = len(label)
     if not n:
         return weights.astype(np.float32), -20.0
     row, bucket, value = design(host, path)
     share = np.clip(label.mean(), 1e-3, 1 - 1e-3)
-    each = np.where(label == 1, 0.5 / share, 0.5 / (1 - share)) / n
+    each = np.where(label == 1, PRIOR / share, (1 - PRIOR) / (1 - share)) / n
     seen, seen_bias = np.full(1 << BITS, 1e-6), 1e-6
     for _ in range(rounds):
         z = np.bincount(row, value * weights[bucket], minlength=n) + bias
@@ -118,8 +145,8 @@ def rate(pages: DataFrame, model: tuple[np.ndarray, float], id_col: str = "page_
     """One row for each page: page_id, url, host, score (probability of unwanted), blocked (score at the threshold or above).
 
     A null or blank URL has a null host and score and isn't blocked. A URL without scheme has no host, and is
-    rated by its path. Repeated rows are rated each time, a null page_id stays null. Other columns are ignored.
-    An empty table gives no rows, and labels of no rows block nothing.
+    rated by its path. Very long URLs are rated whole. Repeated rows are rated each time and alike, a null page_id stays
+    null. Other columns are ignored, whatever their names. An empty table gives no rows, and labels of no rows block nothing.
     """
     sent = pages.sparkSession.sparkContext.broadcast(model)  # 1 MB
 
@@ -137,5 +164,5 @@ def rate(pages: DataFrame, model: tuple[np.ndarray, float], id_col: str = "page_
     return rated.withColumns({"score": F.when(some, F.col("score")), "blocked": F.coalesce(some, F.lit(False)) & F.col("blocked")})
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rate(table(spark, sf_dir, "pages"), train(spark.createDataFrame(seeds(), "url string, label int")))
+def query(spark: SparkSession, sf_dir: str, labelled: DataFrame | None = None) -> DataFrame:
+    return rate(table(spark, sf_dir, "pages"), train(labelled if labelled is not None else spark.createDataFrame(seeds(), "url string, label int")))

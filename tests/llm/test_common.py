@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tessera.llm import common, textscan
 
@@ -33,6 +34,50 @@ def test_exchange_and_written(spark):
     assert sorted(map(tuple, got.collect())) == sorted((len(r), sum(r)) for r in (range(k, 100, 3) for k in range(3)))
 
 
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    import os
+
+    with common.scratch(spark):
+        inner = common.written(spark.range(5))
+        out = common.kept(inner.withColumn("x", inner["id"] * 2))
+    assert out.count() == 5 and not os.path.exists(inner._tessera_path.removeprefix("file://"))
+    common.discard(out)
+    assert not os.path.exists(out._tessera_path.removeprefix("file://"))
+
+
+def test_key_filter(spark):
+    keys = spark.range(0, 3000, 3).select("id", (F.col("id") * 7).alias("b"))
+    got = common.KeyFilter.of(keys)
+    a = np.arange(3000)
+    held = got.holds(a, a * 7)
+    assert held[::3].all() and held.sum() < 1300
+    assert not common.KeyFilter.of(keys.limit(0)).holds(a, a).any()
+
+
+def test_unused_names(spark):
+    df = spark.range(1).select(F.lit(1).alias("Text_Key"), F.lit(2).alias("text_key_"))
+    assert common.unused(df, "text_key", "other", "other") == ["text_key__", "other", "other_"]
+
+
+def test_hashes_do_not_depend_on_runs(monkeypatch):
+    """Texts, words and spans that are longer than a run of bytes are hashed as in one run."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join("w" * int(n) + str(n) for n in rng.integers(1, 30, 400)), "x" * 5000, "a b"]
+    h = rng.integers(0, 1 << 60, 3000).astype("u8")
+    lo = np.sort(rng.integers(0, 2900, 50))
+    hi = lo + rng.integers(1, 100, 50)
+
+    def all_of():
+        words = [w.hash[w.first[t] : w.first[t + 1]].tolist() for _, _, w in textscan.words(pa.array(texts)) for t in range(w.n)]
+        return words, textscan.rolling(h, 20).tolist(), textscan.spans_hash(h, lo, hi).tolist()
+
+    whole = all_of()
+    monkeypatch.setattr(textscan, "CHUNK_BYTES", 256)
+    monkeypatch.setattr(textscan._Powers, "up", textscan._powers(textscan._P, 300))
+    monkeypatch.setattr(textscan._Powers, "down", textscan._powers(textscan._P_INVERSE, 300))
+    assert all_of() == whole
+
+
 def test_words_against_plain_python():
     texts = ["The  cat, the CAT; ünï – 12x", "", "a", "end.", "end"]
     hashes = [h for _, _, w in textscan.words(pa.array(texts)) for h in (w.hash[w.first[t] : w.first[t + 1]].tolist() for t in range(w.n))]

@@ -83,23 +83,62 @@ def test_common_length():
         assert dc.common_length(np.array(a, np.uint64), np.array(b, np.uint64)) == common(a, b)
 
 
-def test_basis_holds_the_items_and_the_leading_space(spark):
+def test_latent_space_against_a_dense_svd(spark):
+    """The leading singular values and vectors of passages and items, against numpy's SVD of the whole matrix."""
     rows, items = case(4)
     bench = dc.Benchmark(items)
     only = docs_frame(spark, rows).select("text")
-    idf, other = dc.frequencies(only, bench)
-    q = dc.latent_basis(only, bench, idf, other, 64)
-    assert np.allclose(q.T @ q, np.eye(q.shape[1]), atol=1e-4)
-    m = bench.matrix(idf)
-    assert np.linalg.norm(m @ q, axis=1).min() > 0.9
-    # the idf of every column, counted in plain Python
+    idf = dc.frequencies(only, bench)
+    rank = 12
+    v, sigma = dc.latent_space(only, bench, idf, rank)
+    assert np.allclose(v.T @ v, np.eye(rank), atol=1e-4)
     cells = [h[j : j + dc.WIDTH] for _, t in rows for h in [word_hashes(t)] for j in range(0, len(h), dc.WIDTH)]
+
+    def dense(lists):
+        out = np.zeros((len(lists), bench.width))
+        for i, c in enumerate(lists):
+            np.add.at(out[i], bench.columns(np.array(c, np.uint64)), 1)
+        out *= idf
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+    m = np.concatenate((dense(cells) / np.sqrt(len(cells)), dense([w.tolist() for w in bench.words]) / np.sqrt(len(items))))
+    u, s, vt = np.linalg.svd(m, full_matrices=False)
+    assert np.allclose(sigma[:6], s[:6], rtol=0.05) and (sigma <= s[:rank] * 1.0001).all()
+    # what the space holds of the matrix is near the best that any of its rank can hold
+    assert (np.linalg.norm(m @ v) ** 2) >= 0.93 * (s[:rank] ** 2).sum()
+    # the idf of every word of the benchmark, counted in plain Python
     want = np.zeros(bench.size)
     for c in cells:
-        for k in {int(bench.columns(np.array([x], np.uint64))[0]) for x in c} - {-1}:
+        for k in {int(x) for x in bench.columns(np.array(c, np.uint64)) if x < bench.size}:
             want[k] += 1
-    want = np.where(want > max(dc.COMMON_LEAST, dc.COMMON * len(cells)), 0, np.log((len(cells) + 1) / (want + 0.5)))
-    assert np.allclose(idf, np.maximum(want, 0), atol=1e-5)
+    assert np.allclose(idf[: bench.size], np.maximum(0, np.log((len(cells) + 1) / (want + 0.5))), atol=1e-5)
+
+
+def test_an_item_that_repeats_a_word(spark):
+    """A word that an item and a leak hold eight times, and the corpus else hardly."""
+    rng = random.Random(5)
+    rows = [(i, " ".join([f"q{i}x{rng.randrange(10**6)}" for _ in range(63)] + (["ww"] if i < 75 else []))) for i in range(200)]
+    around = [" ".join(f"r{k}x{rng.randrange(10**6)}" for _ in range(36)) for k in range(2)]
+    rows.append((500, f"{around[0]} {'ww ' * 8} {around[1]}"))
+    bench = spark.createDataFrame([(1, "ww " * 8 + "zed")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in dc.leaks(docs_frame(spark, rows), bench).collect()] == [(500, 1)]
+
+
+def test_common_words_and_blocks_of_items(spark, monkeypatch):
+    """Items of words that most passages hold are found, and so they are where items are searched in blocks."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(30)]
+    items = [(k, " ".join(rng.choice(common) for _ in range(40))) for k in range(9)]
+    rows = [(i, " ".join(rng.choice(common) for _ in range(150))) for i in range(60)]
+    rows += [(100 + k, " ".join([sentence(rng, 20), items[k][1], sentence(rng, 20)])) for k in range(9)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(rows, items)
+    assert {(100 + k, k) for k in range(9)} <= want
+    got = {(r["doc_id"], r["item_id"]) for r in dc.leaks(docs_frame(spark, rows), bench).collect()}
+    assert len(got & want) >= 0.9 * len(want) and {(100 + k, k) for k in range(9)} <= got
+    monkeypatch.setattr(dc, "ITEMS", 4)
+    again = {(r["doc_id"], r["item_id"]) for r in dc.leaks(docs_frame(spark, rows), bench).collect()}
+    assert {(100 + k, k) for k in range(9)} <= again
 
 
 def test_edges(spark):
@@ -110,6 +149,11 @@ def test_edges(spark):
     got = sorted(((r["doc_id"] or -1), r["item_id"]) for r in dc.leaks(docs_frame(spark, rows, extra=True), bench).collect())
     assert got == [(-1, 1), (4, 1), (4, 1), (5, 1)]
     assert sorted(r["doc_id"] for r in dc.without_leaks(docs_frame(spark, rows, extra=True), bench).collect()) == [1, 2, 3, 6]
+    rows.append((7, "here it is: Too SHORT, indeed"))  # an item of two words
+    short = sorted(((r["doc_id"] or -1), r["item_id"]) for r in dc.leaks(docs_frame(spark, rows), bench).collect())
+    assert short == sorted(got + [(7, 4)])
+    clash = docs_frame(spark, rows[:6]).withColumns({"text_key": dc.F.lit("keep"), "text_id": dc.F.lit("too")})
+    assert {(r["text_key"], r["text_id"]) for r in dc.without_leaks(clash, bench).collect()} == {("keep", "too")}
     assert dc.leaks(docs_frame(spark, []), bench).count() == 0
     assert dc.leaks(docs_frame(spark, rows), bench.where("item_id = 9")).count() == 0
     assert dc.without_leaks(docs_frame(spark, rows), bench.where("item_id = 9")).count() == len(rows)

@@ -67,6 +67,40 @@ def test_edges(spark):
     assert repeats.maximal_repeats(docs_frame(spark, [])).count() == 0 and repeats.without_repeats(docs_frame(spark, [])).count() == 0
 
 
+def test_hot_seeds_and_full_tables(spark, monkeypatch):
+    """Seeds beyond HOT go by fingerprints of their stretches, and a table of names that is full lets all through: the repeats are the same."""
+    rng = random.Random(21)
+    p = sentence(rng, 70)
+    rows = rows_of(5) + [(100 + i, f"{sentence(rng, 12)} {p} {sentence(rng, 9)}") for i in range(30)] + [(140, p), (140, p)]
+    want = brute(rows, 30)
+    assert found(repeats.maximal_repeats(docs_frame(spark, rows), 30, 10)) == want
+    monkeypatch.setattr(repeats, "BITS_MOST", 17)
+    monkeypatch.setattr(repeats, "HOT", 20)
+    assert found(repeats.maximal_repeats(docs_frame(spark, rows), 30, 10)) == want
+    monkeypatch.setattr(repeats, "HOT", 1)
+    assert found(repeats.maximal_repeats(docs_frame(spark, rows), 30, 10)) == want
+
+
+def test_copies_are_sent_once():
+    """What a mapper sends of a text and its copies is little more than the text: words go once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import suffixes, textscan
+
+    text = sentence(random.Random(22), 3000)
+
+    def sent(n, seeds):
+        (_, _, w), *_ = textscan.words(pa.array([text] * n))
+        found = seeds(w)
+        got = repeats.contexts(w, found, found[0].astype("i8"), found[0].astype("i8"), 50)
+        return sum(len(b) for r in repeats.sent_once([[c] for c in got], 4, 50) for b in r.column(1).to_pylist()), len(np.unique(found[3]))
+
+    for seeds in (lambda w: suffixes.phrase_seeds(w, 50, 4, 16), lambda w: repeats.anchor_seeds(w, 50, 20)):
+        (one, names), (many, again) = sent(1, seeds), sent(30, seeds)
+        assert names == again and many < 5 * one
+
+
 def test_cut_keeps_the_first_occurrence(spark):
     rows = rows_of(11)
     out = {r["doc_id"]: r["text"] for r in repeats.without_repeats(docs_frame(spark, rows), 12, 5).collect()}

@@ -1,29 +1,75 @@
 from __future__ import annotations
 
+import math
+import random
+from collections import Counter
+
 import numpy as np
 
 from tessera.llm import toxicity as tx
 from tessera.llm.common import table
 
-from .brute import docs_frame
+from .brute import docs_frame, sentence, word_hashes
+
+
+def sparse(x):
+    q, t = np.nonzero(x)
+    return q, t, x[q, t].astype(np.float32)
 
 
 def test_nearest_is_exact():
     rng = np.random.default_rng(1)
-    x = np.where(rng.random((1500, 60)) < 0.06, rng.random((1500, 60)), 0).astype(np.float32)
+    x = np.where(rng.random((1500, 400)) < 0.4 / (1 + np.arange(400) / 4), rng.random((1500, 400)), 0).astype(np.float32)
+    x[:, 40:] *= 6  # rare terms are heavy
     x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+    x[700:720] = x[700]  # ties
     labels, ids = (rng.random(1500) < 0.4).astype(float), rng.permutation(5000)[:1500]
-    index = tx.Index(x, labels, ids)
-    q = x[:200]
-    who, sims = index.nearest(q, 15)
-    assert index.scored < 200 * len(index.blocks)  # some blocks are passed over
+    index = tx.Index(*sparse(x), 400, labels, ids, np.arange(1500) // 2)
+    assert 0 < len(index.most) < 400
+    q = x[600:800]
     full = q @ x.T
-    for i in range(200):
-        order = sorted(range(1500), key=lambda j: (-round(float(full[i, j]), 6), ids[j]))[:15]
-        got = [(int(index.ids[e]), round(float(s), 4)) for e, s in zip(who[i], sims[i], strict=True) if e >= 0]
-        want = [(int(ids[j]), round(float(full[i, j]), 4)) for j in order if full[i, j] > 0]
-        assert [s for _, s in got] == [s for _, s in want]
-        assert sum(a == b for a, b in zip(got, want, strict=True)) >= len(want) - 1
+    for own in (None, np.arange(600, 800) // 2):
+        index.scored = 0
+        who, sims = index.nearest(*sparse(q), 200, 15, own)
+        assert index.scored < 200 * index.blocks  # some blocks are passed over
+        for i in range(200):
+            left = [j for j in range(1500) if own is None or j // 2 != own[i]]
+            order = sorted(left, key=lambda j: (-round(float(full[i, j]), 6), ids[j]))[:15]
+            got = [(int(index.ids[e]), round(float(s), 4)) for e, s in zip(who[i], sims[i], strict=True) if e >= 0]
+            want = [(int(ids[j]), round(float(full[i, j]), 4)) for j in order if full[i, j] > 1e-6]
+            assert [s for _, s in got] == [s for _, s in want]
+            assert sum(a == b for a, b in zip(got, want, strict=True)) >= len(want) - 1
+
+
+def test_the_query_against_a_brute_force_version(spark, tmp_path):
+    """Draw, frequencies, cosines over all words, votes and evidence in plain Python, but for the curve, which is the model's."""
+    rng = random.Random(4)
+    rows = [(i, " ".join([sentence(rng, rng.randrange(5, 40))] + ["vile nasty filth"[: 5 * (1 + i % 3)]] * (i % 4 == 0))) for i in range(120)]
+    labels = [(i, int(i % 4 == 0)) for i in range(60)]
+    docs_frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    label_frame = spark.createDataFrame(labels, "doc_id long, toxic int")
+    label_frame.write.parquet(str(tmp_path / "labels.parquet"))
+    tokens = {i: Counter(word_hashes(t)) for i, t in rows}
+    df = Counter(w for c in tokens.values() for w in c)
+    known = {w for i, _ in labels for w in tokens[i]}
+
+    def vector(c):
+        x = {w: (1 + math.log(n)) * (max(0.0, math.log(121 / (df[w] + 0.5))) if w in known else math.log(121)) for w, n in c.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {w: v / size for w, v in x.items()}
+
+    examples = {i: vector(tokens[i]) for i, _ in labels}
+    model = tx.train(docs_frame(spark, rows), label_frame)
+    got = {r["doc_id"]: r for r in tx.query(spark, str(tmp_path)).collect()}
+    assert len(got) == 120
+    for i, _ in rows:
+        v = vector(tokens[i])
+        near = sorted(((round(sum(x * e.get(w, 0) for w, x in v.items()), 6), j) for j, e in examples.items()), key=lambda p: (-p[0], p[1]))[: tx.K]
+        near = [(s, j) for s, j in near if s > 1e-9]
+        vote = sum(s for s, j in near if j % 4 == 0) / (sum(s for s, _ in near) + tx.SMOOTH)
+        score = 1 / (1 + math.exp(-(model.curve[0] * vote + model.curve[1])))
+        assert abs(got[i]["score"] - score) < 1e-3 and got[i]["evidence"][0] == near[0][1]
+        assert np.allclose(got[i]["similar"], [s for s, _ in near[: tx.EVIDENCE]], atol=1e-4)
 
 
 def test_held_out_accuracy(spark):
