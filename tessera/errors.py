@@ -39,3 +39,15 @@ class CounterOverflow(StoreError, OverflowError):
 
 class NestingNotSupported(StoreError, TypeError):
     """That structure can't be nested in this one."""
+
+
+class WrongOwner(StoreError, ValueError):
+    """A handle or an address of another structure."""
+
+
+class Deleted(NotFound):
+    """The record has been deleted."""
+
+
+class HasHoles(StoreError, ValueError):
+    """Deleted rows lie between."""

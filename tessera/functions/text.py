@@ -21,5 +21,4 @@ def folded(text: Column, case: bool = True, accent: bool = True) -> Column:
 
 def terms(text: Column, case: bool = True, accent: bool = True) -> Column:
     """Words, without underscores; a quotation mark is a term."""
-    found = F.regexp_extract_all(folded(F.coalesce(text, F.lit("")), case, accent), F.lit(WORD), F.lit(1))
-    return F.filter(F.transform(found, lambda x: F.replace(x, F.lit("_"), F.lit(""))), lambda x: x != "")
+    return F.regexp_extract_all(F.replace(folded(F.coalesce(text, F.lit("")), case, accent), F.lit("_"), F.lit("")), F.lit(WORD), F.lit(1))

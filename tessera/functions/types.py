@@ -30,7 +30,7 @@ def data_type(name: str) -> T.DataType:
     if (m := re.fullmatch(r"(\w+)\[(\d+(?:,\d+)*)\]", name)) and m[1] in _PLAIN and m[1] not in ("text", "json", "blob", "datetime"):
         out = _PLAIN[m[1]]
         for _ in m[2].split(","):
-            out = T.ArrayType(out, False)
+            out = T.ArrayType(out)
         return out
     raise SchemaError(f"unknown field type {name}")
 

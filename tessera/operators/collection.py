@@ -6,7 +6,7 @@ may be asked and in what order the answer comes. Catalyst pushes the filters and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import SchemaError, UniqueViolation
+from ..errors import NotFound, SchemaError, UniqueViolation
 from ..functions.types import descending
+from ..session import last_of
 from . import fulltext, vectors
+from .dataset import Ref
+from .structures import _column, _row
 
 
 @dataclass(frozen=True)
@@ -92,6 +95,8 @@ class Collection:
     def _literal(self, field: str, value: Any) -> Column:
         """A literal of the field's kind; a float for a whole-number field is cut."""
         kind = self._kind(field)
+        if isinstance(value, str) and not isinstance(kind, T.StringType):
+            return F.lit(value).try_cast(kind)
         return F.lit(int(value)).cast(kind) if isinstance(kind, T.IntegralType) and isinstance(value, float) else F.lit(value).cast(kind)
 
     @property
@@ -106,7 +111,36 @@ class Collection:
     # reads
 
     def get_primary(self, key: Any) -> DataFrame:
-        return self.df.where(self._tie == str(key))
+        return self.df.where(F.col(self.primary) == self._literal(self.primary, key))
+
+    def record(self, key: Any) -> dict[str, Any]:
+        got = self.get_primary(key).limit(1).collect()
+        if not got:
+            raise NotFound(key)
+        return got[0].asDict(True)
+
+    def ref(self, key: Any) -> Ref:
+        return Ref(self, key)
+
+    def __contains__(self, key: Any) -> bool:
+        return not self.get_primary(key).isEmpty()
+
+    def __len__(self) -> int:
+        return self.df.count()
+
+    def __iter__(self) -> Iterator[dict[str, Any]]:
+        """Records, not keys."""
+        return (r.asDict(True) for r in self.df.toLocalIterator())
+
+    def keys(self) -> DataFrame:
+        return self.df.select(self.primary)
+
+    def values(self) -> DataFrame:
+        return self.df
+
+    def items(self) -> DataFrame:
+        """(key, record)."""
+        return self.df.select(F.col(self.primary).alias("key"), F.struct(*self.df.columns).alias("record"))
 
     def get(self, name: str, value: Any, fields: Sequence[str] | None = None) -> DataFrame:
         ix = self._index(name, Unique)
@@ -196,19 +230,38 @@ class Collection:
         df = self.df.where(self.predicate(where))
         return df.select(*fields) if fields else df
 
-    def search(self, name: str, query: str, where: Where = None, mode: str | None = None, limit: int | None = None, with_scores: bool = False) -> DataFrame:
-        """Full text: ranked over all records first, then filtered, then cut."""
+    def search(self, name: str, query: str, where: Where = None, mode: str | None = None, limit: int | None = None, with_scores: bool = False, index: fulltext.SearchIndex | None = None) -> DataFrame:
+        """Full text: ranked over all records first, then filtered, then cut. With a stored index only the query's terms are read, and the records that hold them."""
         ix = self._index(name, Search)
         mode = mode or ix.scoring
         if with_scores and mode == "boolean":
             raise SchemaError("a boolean search has no scores")
-        hits = fulltext.search(self.df, query, self.primary, ix.fields, mode, ix.k1, ix.b)
+        if index is None:
+            hits = fulltext.search(self.df, query, self.primary, ix.fields, mode, ix.k1, ix.b)
+        else:
+            found = index.search(query, mode, ix.k1, ix.b)
+            hits = self.df.join(found.withColumnRenamed("doc_id", self.primary), self.primary)
         hits = hits.where(self.predicate(where))
         order = [F.col("score").desc(), F.col(self.primary)] if mode != "boolean" else [F.col(self.primary)]
         hits = hits.orderBy(*order)
         hits = hits if limit is None else hits.limit(limit)
         return hits if with_scores else hits.drop("score")
 
+    def candidates(self, where: Where) -> tuple[int, str]:
+        """How a vector search narrows its candidates, for people: the rank and the index. 3: a group and bounds of its sort field, 2: a unique field or a group, 1: a range, 0: a scan. Catalyst pushes the filter down in any case."""
+        fields = where if isinstance(where, dict) else {}
+        best = (0, "scan")
+        for name, ix in self.indexes.items():
+            v = fields.get(getattr(ix, "field", None))
+            equal = v is not None and not isinstance(v, tuple)
+            if isinstance(ix, Many) and equal:
+                best = max(best, (3 if ix.sort and isinstance(fields.get(ix.sort), tuple) else 2, name))
+            elif isinstance(ix, Unique) and equal:
+                best = max(best, (2, name))
+            elif isinstance(ix, Range) and v is not None:
+                best = max(best, (1, name))
+        return best
+
     def nearest(self, name: str, query: Sequence[float], k: int = 10, where: Where = None, fields: Sequence[str] | None = None) -> DataFrame:
         """Exact nearest records after the filter; score is a distance for l2, else a similarity."""
         ix = self._index(name, Vector)
@@ -221,35 +274,54 @@ class Collection:
     def _with(self, df: DataFrame) -> Collection:
         return replace(self, df=df)
 
+    def insert(self, **fields: Any) -> Collection:
+        """One record, over that of the same key; fields that aren't given are null."""
+        if fields.get(self.primary) is None:
+            raise SchemaError(f"no {self.primary}")
+        return self.insert_many(_row(self.df, fields))
+
     def insert_many(self, records: DataFrame, order: str | None = None, check: bool = True) -> Collection:
-        """Records put in or put over those of the same key; of records with one key the last by `order` wins. Unique fields are checked before anything is taken over."""
-        new = records
-        if order:
-            last = Window.partitionBy(F.col(self.primary).cast("string")).orderBy(F.col(order).desc())
-            new = records.withColumn("__last", F.row_number().over(last)).where("__last = 1").drop("__last", order)
-        kept = self.df.join(new.select(self._tie.alias("__key")).distinct(), self._tie == F.col("__key"), "left_anti")
-        out = self._with(kept.unionByName(new.select(*self.df.columns)))
+        """Records put in or put over those of the same key; of records with one key the last by `order`, or else by place, wins. Unique fields are checked before anything is taken over."""
+        new = last_of(records, [self.primary], order).select(*self.df.columns)
+        kept = self.df.join(new.select(F.col(self.primary).alias("__key")), F.col(self.primary) == F.col("__key"), "left_anti")
+        out = self._with(kept.unionByName(new))
         if check and any(isinstance(ix, Unique) for ix in self.indexes.values()) and (bad := out.violations().limit(1).collect()):
             raise UniqueViolation(f"{bad[0]['field']} = {bad[0]['value']}")
         return out
 
-    def update(self, keys: Sequence[Any], **changes: Any) -> Collection:
-        """Fields set where the key is one of `keys`; values may be Columns."""
+    def _hit(self, keys: Sequence[Any], missing: str) -> Column:
+        """Whether a record's key is one of `keys`; one that no record has is an error, unless missing is 'ignore'."""
+        if missing == "raise":
+            self._refuse(_column(self.df, self.primary, list(keys)))
+        return F.col(self.primary).isin([self._literal(self.primary, k) for k in keys])
+
+    def _refuse(self, keys: DataFrame) -> None:
+        if bad := keys.join(self.df, self.primary, "left_anti").limit(1).collect():
+            raise NotFound(bad[0][0])
+
+    def update(self, keys: Sequence[Any], missing: str = "raise", **changes: Any) -> Collection:
+        """Fields set where the key is one of `keys`; values may be Columns. A key that isn't there is an error, unless missing is 'ignore'."""
         if self.primary in changes:
             raise SchemaError("the key can't change")
         if unknown := set(changes) - set(self.df.columns):
             raise SchemaError(f"unknown fields {sorted(unknown)}")
-        hit = self._tie.isin([str(k) for k in keys])
+        hit = self._hit(keys, missing)
         return self._with(self.df.withColumns({f: F.when(hit, (v if isinstance(v, Column) else F.lit(v)).cast(self._kind(f))).otherwise(F.col(f)) for f, v in changes.items()}))
 
-    def increment(self, keys: Sequence[Any], field: str, amount: int | float = 1) -> Collection:
-        return self.update(keys, **{field: F.col(field) + F.lit(amount)})
+    def set_fields(self, key: Any, **changes: Any) -> Collection:
+        return self.update([key], **changes)
+
+    def increment(self, keys: Sequence[Any], field: str, amount: int | float = 1, missing: str = "raise") -> Collection:
+        return self.update(keys, missing, **{field: F.col(field) + F.lit(amount)})
 
-    def delete(self, keys: DataFrame | Sequence[Any]) -> Collection:
-        """Without the keys: a list, or a DataFrame with the key field."""
+    def delete(self, keys: DataFrame | Sequence[Any], missing: str = "raise") -> Collection:
+        """Without the keys: a list, or a DataFrame with the key field. A key that isn't there is an error, unless missing is 'ignore'."""
         if isinstance(keys, DataFrame):
-            return self._with(self.df.join(keys.select(F.col(self.primary).cast("string").alias("__key")).distinct(), self._tie == F.col("__key"), "left_anti"))
-        return self._with(self.df.where(~self._tie.isin([str(k) for k in keys])))
+            gone = _column(self.df, self.primary, keys.select(self.primary))
+            if missing == "raise":
+                self._refuse(gone)
+            return self._with(self.df.join(gone, self.primary, "left_anti").select(*self.df.columns))
+        return self._with(self.df.where(~self._hit(keys, missing)))
 
     def violations(self) -> DataFrame:
         """(field, value, n) of unique fields' values that more than one record has."""

@@ -3,14 +3,18 @@ ranked one two, without a shuffle of postings. `postings` and the functions on i
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import NotFound
 from ..functions.text import folded, terms
 from ..plans.boolquery import Node, Op, Term, parse, positive
 
@@ -48,7 +52,7 @@ def search(df: DataFrame, query: str, doc_id: str, fields: Sequence[str], mode:
     if mode not in ("boolean", "bm25", "tfidf"):
         raise ValueError(f"no mode {mode}")
     tree = parse(query)
-    work = df.withColumn("__t", terms(document(fields)))
+    work = df.select("*", F.explode(F.array(terms(document(fields)))).alias("__t"))  # a generator, so that texts are cut once
     hits = work.where(holds(tree, F.col("__t")))
     if deleted is not None:
         hits = hits.join(deleted, doc_id, "left_anti")
@@ -77,7 +81,7 @@ def times(of: str, word: str) -> Column:
 
 def postings(df: DataFrame, doc_id: str, fields: Sequence[str]) -> DataFrame:
     """(term, doc_id, tf, dl): an inverted index, to be written sorted by term. tf stops at 65535."""
-    base = df.select(F.col(doc_id).alias("doc_id"), terms(document(fields)).alias("t"))
+    base = df.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(terms(document(fields)))).alias("t"))
     each = base.select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
     return each.groupBy("term", "doc_id").agg(F.least(F.lit(65535).cast("long"), F.count("*")).alias("tf"), F.first("dl").alias("dl"))
 
@@ -94,12 +98,147 @@ def matching(index: DataFrame, everything: Node | str) -> DataFrame:
         if node.kind == "OR":
             return left.union(right).distinct()
         return left.join(right, "doc_id", "left_semi" if node.kind == "AND" else "left_anti")
-    stem = _fold(node.text)
+    return index.where(_of_leaf(node.text)).select("doc_id").distinct()
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """A stored inverted index: postings in order of term, lengths of documents, and tombstones, in folders of their own.
+
+    Each add writes new folders and nothing else, and a delete writes ids. A search reads the postings of its
+    terms alone: files are sorted by term, so a scan passes over the others by their statistics. Frequencies and
+    lengths count deleted documents until `merged`. The manifest is written last and anew; one writer at a time.
+    """
+
+    spark: SparkSession
+    folder: str
+    fields: tuple[str, ...]
+    segments: tuple[str, ...] = ()
+    tombstones: tuple[str, ...] = ()
+    n: int = 0
+    total: int = 0
+    case: bool = True
+    accent: bool = True
+
+    _POSTINGS, _DOCS = "term string, doc_id long, tf long, dl long", "doc_id long, dl long"
+
+    @classmethod
+    def create(cls, spark: SparkSession, folder: str, fields: Sequence[str], case: bool = True, accent: bool = True) -> SearchIndex:
+        return cls(spark, folder.rstrip("/"), tuple(fields), case=case, accent=accent)._published()
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> SearchIndex:
+        got = json.loads(spark.read.text(f"{folder.rstrip('/')}/index.json", wholetext=True).first()[0])
+        return cls(spark, folder.rstrip("/"), **{k: tuple(v) if isinstance(v, list) else v for k, v in got.items()})
+
+    def _published(self) -> SearchIndex:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/index.json")
+        out = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(json.dumps({k: getattr(self, k) for k in ("fields", "segments", "tombstones", "n", "total", "case", "accent")}).encode()))
+        out.close()
+        return self
+
+    def add_many(self, df: DataFrame, doc_id: str) -> SearchIndex:
+        """Documents, whose ids must be new to the index; the texts are read once."""
+        name = f"{self.folder}/{uuid.uuid4().hex}"
+        text = F.explode(F.array(terms(document(self.fields), self.case, self.accent))).alias("t")
+        base = df.select(F.col(doc_id).cast("long").alias("doc_id"), text).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("term"))
+        each = base.groupBy("term", "doc_id").agg(F.least(F.lit(65535).cast("long"), F.count("*")).alias("tf"), F.first("dl").alias("dl"))
+        each.repartitionByRange("term").sortWithinPartitions("term", "doc_id").select("term", "doc_id", "tf", "dl").write.parquet(f"{name}/postings")
+        self.spark.read.parquet(f"{name}/postings").select("doc_id", "dl").distinct().write.parquet(f"{name}/documents")
+        n, total = self.spark.read.parquet(f"{name}/documents").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        return replace(self, segments=(*self.segments, name), n=self.n + n, total=self.total + total)._published()
+
+    def delete(self, ids: DataFrame | Sequence[int]) -> SearchIndex:
+        """Documents that no search finds from now on."""
+        if not isinstance(ids, DataFrame):
+            ids = self.spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        gone = ids.select(F.col(ids.columns[0]).cast("long").alias("doc_id")).distinct()
+        if bad := gone.join(self.documents(), "doc_id", "left_anti").limit(1).collect():
+            raise NotFound(bad[0][0])
+        name = f"{self.folder}/{uuid.uuid4().hex}"
+        gone.write.parquet(name)
+        return replace(self, tombstones=(*self.tombstones, name))._published()
+
+    def _read(self, part: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{s}/{part}" for s in self.segments]) if self.segments else self.spark.createDataFrame([], schema)
+
+    def postings(self) -> DataFrame:
+        return self._read("postings", self._POSTINGS).where("term is not null")
+
+    def _gone(self) -> DataFrame:
+        return self.spark.read.parquet(*self.tombstones) if self.tombstones else self.spark.createDataFrame([], "doc_id long")
+
+    def documents(self) -> DataFrame:
+        """(doc_id, dl) of what isn't deleted."""
+        return self._read("documents", self._DOCS).join(self._gone(), "doc_id", "left_anti")
+
+    def __len__(self) -> int:
+        return self.documents().count()
+
+    def __contains__(self, doc_id: int) -> bool:
+        return not self.documents().where(F.col("doc_id") == doc_id).isEmpty()
+
+    def get_document(self, doc_id: int, store: DataFrame, key: str) -> DataFrame:
+        """The document from the table it came from; deleted ones too."""
+        known = self._read("documents", self._DOCS).where(F.col("doc_id") == doc_id).select(F.col("doc_id").alias(key))
+        return store.join(known, key, "left_semi")
+
+    def merged(self) -> SearchIndex:
+        """One segment, without what is deleted; the old folders can be removed once nobody reads them."""
+        name = f"{self.folder}/{uuid.uuid4().hex}"
+        live = self._read("postings", self._POSTINGS).join(self._gone(), "doc_id", "left_anti")
+        live.repartitionByRange("term").sortWithinPartitions("term", "doc_id").select("term", "doc_id", "tf", "dl").write.parquet(f"{name}/postings")
+        self.documents().write.parquet(f"{name}/documents")
+        n, total = self.spark.read.parquet(f"{name}/documents").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        return replace(self, segments=(name,), tombstones=(), n=n, total=total)._published()
+
+    def search(self, query: str, mode: str = "boolean", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        """(doc_id, score) of the documents that satisfy the query; score is null for boolean."""
+        if mode not in ("boolean", "bm25", "tfidf"):
+            raise ValueError(f"no mode {mode}")
+        tree = parse(query)
+        leaves: dict[str, Column] = {}
+
+        def walk(node: Node) -> Column:
+            if isinstance(node, Op):
+                left, right = walk(node.left), walk(node.right)
+                return left & right if node.kind == "AND" else left | right if node.kind == "OR" else left & ~right
+            leaves[node.text] = _of_leaf(node.text)
+            return F.col(f"`l{list(leaves).index(node.text)}`")
+
+        holds_all = walk(tree)
+        read = self.postings().where(reduce(lambda x, y: x | y, leaves.values()))
+        wanted = sorted({_fold(t) for t in positive(tree) if "*" not in t and len(_fold(t).split()) == 1}) if mode != "boolean" else []
+        score = F.lit(None).cast("double")
+        if wanted:
+            df = {r["term"]: r["n"] for r in read.where(F.col("term").isin(wanted)).groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row for each term
+            average = (self.total / self.n if self.n else 0) or 1.0
+            parts = F.lit(0.0)
+            for w in (w for w in wanted if df.get(w)):
+                tf = F.col("tf").cast("double")
+                if mode == "bm25":
+                    weight = F.lit(math.log(1 + (self.n - df[w] + 0.5) / (df[w] + 0.5))) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / average))
+                else:
+                    weight = (1 + F.log(tf)) * math.log(self.n / df[w])
+                parts = F.when(F.col("term") == w, weight).otherwise(parts)
+            score = F.sum(parts)
+        elif mode != "boolean":
+            score = F.lit(0.0)
+        flags = [F.bool_or(test).alias(f"l{i}") for i, test in enumerate(leaves.values())]
+        found = read.groupBy("doc_id").agg(*flags, *([score.alias("score")] if wanted else [])).where(holds_all)
+        found = found.select("doc_id", F.col("score") if wanted else score.alias("score"))
+        return found.join(self._gone(), "doc_id", "left_anti") if self.tombstones else found
+
+
+def _of_leaf(text: str) -> Column:
+    """Whether a posting is of this leaf."""
+    stem = _fold(text)
     if "*" in stem:
-        test = F.col("term").startswith(stem[:-1]) if stem.endswith("*") and "*" not in stem[:-1] else F.col("term").rlike("^" + ".*".join(re.escape(p) for p in stem.split("*")))
-    else:
-        test = F.col("term") == stem if len(stem.split()) == 1 else F.lit(False)
-    return index.where(test).select("doc_id").distinct()
+        if stem.strip("*") == "":
+            raise ValueError("a lone wildcard")
+        return F.col("term").startswith(stem[:-1]) if stem.endswith("*") and "*" not in stem[:-1] else F.col("term").rlike("^" + ".*".join(re.escape(p) for p in stem.split("*")))
+    return F.col("term") == stem if len(stem.split()) == 1 else F.lit(False)
 
 
-__all__ = ["document", "document_frequency", "folded", "holds", "matching", "postings", "search", "Term"]
+__all__ = ["SearchIndex", "document", "document_frequency", "folded", "holds", "matching", "postings", "search", "Term"]

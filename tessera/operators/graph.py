@@ -3,6 +3,7 @@ length become a frontier that is joined with the edges, level by level."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pattern import EdgePart, NodePart, Query, Test, parse
-from ..session import cut
+from ..session import cut, last_of
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,24 @@ class Graph:
     def predecessors(self, i: object) -> DataFrame:
         return self._both().where(F.col("dst") == F.lit(i)).select(F.col("src").alias("id"))
 
+    def out_edges(self, i: object) -> DataFrame:
+        """(id, attributes) of the edges from a node."""
+        return self._both().where(F.col("src") == F.lit(i)).withColumnRenamed("dst", "id").drop("src")
+
+    def in_edges(self, i: object) -> DataFrame:
+        """(id, attributes) of the edges to a node."""
+        return self._both().where(F.col("dst") == F.lit(i)).withColumnRenamed("src", "id").drop("dst")
+
+    def declared_edges(self) -> DataFrame:
+        """Edges whose source is a declared node."""
+        return self._both().join(self.nodes.select(F.col("id").alias("src")), "src", "left_semi")
+
+    def has_node(self, i: object) -> bool:
+        return not self.node(i).isEmpty()
+
+    def has_edge(self, src: object, dst: object) -> bool:
+        return not self.edge(src, dst).isEmpty()
+
     def nodes_with_label(self, label: str) -> DataFrame:
         if not self.label_field:
             raise ValueError("the graph has no label field")
@@ -64,11 +83,22 @@ class Graph:
 
     # changes
 
-    def add_nodes(self, new: DataFrame) -> Graph:
-        return replace(self, nodes=self.nodes.join(new.select("id"), "id", "left_anti").unionByName(new.dropDuplicates(["id"]), allowMissingColumns=True))
-
-    def add_edges(self, new: DataFrame) -> Graph:
-        return replace(self, edges=self.edges.join(new.select("src", "dst"), ["src", "dst"], "left_anti").unionByName(new.dropDuplicates(["src", "dst"]), allowMissingColumns=True))
+    def add_nodes(self, new: DataFrame, order: str | None = None) -> Graph:
+        """Nodes put in or put over; of one id the last by `order`, or else by place, wins."""
+        rows = last_of(new, ["id"], order)
+        rows = rows.drop(order) if order and order not in self.nodes.columns else rows
+        return replace(self, nodes=self.nodes.join(rows.select("id"), "id", "left_anti").unionByName(rows, allowMissingColumns=True))
+
+    def add_edges(self, new: DataFrame, order: str | None = None) -> Graph:
+        """Edges put in or put over; of one pair of ends (in either direction where the graph is undirected) the last wins. Nodes aren't made."""
+        if not self.directed:
+            new = new.withColumns({"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")})
+        rows = last_of(new, ["src", "dst"], order)
+        rows = rows.drop(order) if order and order not in self.edges.columns else rows
+        gone = rows.select("src", "dst")
+        if not self.directed:
+            gone = gone.union(rows.select("dst", "src"))
+        return replace(self, edges=self.edges.join(gone, ["src", "dst"], "left_anti").unionByName(rows, allowMissingColumns=True))
 
     def remove_nodes(self, gone: DataFrame) -> Graph:
         """With the edges at them."""
@@ -148,6 +178,10 @@ class Graph:
         df = df.withColumn("__at", at).join(node, F.col("__at") == self._column(var, "id"), "inner" if fixed else "left")
         return df.withColumn(f"{var}.id", F.col("__at")).drop("__at")
 
+    def query_iter(self, text: str) -> Iterator[dict]:
+        """The query's rows one by one, a partition at a time."""
+        return (r.asDict(True) for r in self.query(text).toLocalIterator())
+
     def query(self, text: str) -> DataFrame:
         """Rows of the pattern's items, named as they are written."""
         q = parse(text, self.label_field)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..errors import CounterOverflow
 
+BITMAP = 1 << 18  # bits of a filter that is sent to all tasks, at most
+
 
 @dataclass(frozen=True)
 class Bloom:
@@ -36,7 +38,12 @@ class Bloom:
         return items.where(F.col(column).isNotNull()).select(F.explode(self.bits_of(F.col(column))).alias("bit")).distinct()
 
     def might_contain(self, bits: DataFrame, probes: DataFrame, column: str) -> DataFrame:
-        """The probes with `maybe`: all bits of the probe are set. A join on bits, which works at any size of filter."""
+        """The probes with `maybe`: all bits of the probe are set. Up to BITMAP bits the filter is a bitmap in the scan of the probes; a larger one is joined, by its bits."""
+        if self.m <= BITMAP:
+            set_ = {r["w"]: r["b"] for r in bits.groupBy(F.floor(F.col("bit") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("b")).collect()}
+            words = F.array(*[F.lit(set_.get(w, 0)).cast("long") for w in range(-(-self.m // 64))])
+            test = F.forall(self.bits_of(F.col(column)), lambda i: F.call_function("shiftright", F.get(words, F.floor(i / 64).cast("int")), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+            return probes.withColumn("maybe", F.coalesce(test, F.lit(False)))
         keyed = probes.select(F.col(column).alias("__p")).distinct().select("__p", F.explode(self.bits_of(F.col("__p"))).alias("bit"))
         hit = keyed.join(bits, "bit").groupBy("__p").agg((F.count_distinct("bit")).alias("n"))
         need = F.size(F.array_distinct(self.bits_of(F.col(column))))

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import NotFound
+from ..session import last_of
+
 METRICS = ("cosine", "dot", "l2")
 BLOCK = 50_000  # queries that every task holds at once, about
 _SCORES = 4_000_000  # that a task holds
-TRAIN_MOST = 100_000  # rows that centroids are trained on, at most
+TRAIN_MOST = 100_000  # rows that centroids are trained on, about
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -80,11 +84,59 @@ def _batch_search(df: DataFrame, queries: DataFrame, k: int, metric: str, id_col
                 top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[at : at + step], top.shape[1])), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel().astype(float))], names=["query_id", "id", "score"])
 
-    near = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col)).mapInArrow(best, "query_id long, id long, score double")
+    return _best_of(df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col)).mapInArrow(best, "query_id long, id long, score double"), k)
+
+
+def _best_of(near: DataFrame, k: int) -> DataFrame:
+    """The k best of each query."""
     ordered = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k)
     return near.groupBy("query_id").agg(ordered.alias("t")).select("query_id", F.explode("t").alias("x")).select("query_id", "x.id", (-F.col("x.s")).alias("score"))
 
 
+def _without(df: DataFrame, ids: Sequence[int]) -> DataFrame:
+    """df without the ids; one that isn't there is an error."""
+    asked = df.sparkSession.createDataFrame([(i,) for i in ids], "id long").distinct()
+    if bad := asked.join(df, "id", "left_anti").limit(1).collect():
+        raise NotFound(bad[0][0])
+    return df.join(asked, "id", "left_anti").select(*df.columns)
+
+
+@dataclass(frozen=True)
+class FlatIndex:
+    """(id, vec), searched exactly; for cosine vectors are brought to length 1 as they come in."""
+
+    df: DataFrame
+    dim: int
+    metric: str = "cosine"
+
+    def __post_init__(self) -> None:
+        if self.metric not in METRICS:
+            raise ValueError(self.metric)
+
+    @classmethod
+    def empty(cls, spark: SparkSession, dim: int, metric: str = "cosine") -> FlatIndex:
+        return cls(spark.createDataFrame([], "id long, vec array<double>"), dim, metric)
+
+    def add_many(self, df: DataFrame, id_col: str = "id", vector_col: str = "vec", order: str | None = None) -> FlatIndex:
+        """Vectors put in or put over; of one id the last by `order`, or else by place, wins."""
+        v = F.col(vector_col).cast("array<double>")
+        fits = F.when(F.size(v) == self.dim, v).otherwise(F.raise_error(F.lit(f"not {self.dim} numbers")).cast("array<double>"))
+        new = df.select(F.col(id_col).cast("long").alias("id"), fits.alias("vec"), *([F.col(order).alias("__order")] if order else []))
+        new = last_of(new, ["id"], "__order" if order else None)
+        if self.metric == "cosine":
+            new = new.withColumn("vec", F.transform("vec", lambda x: x / _norm(F.col("vec"))))
+        return replace(self, df=self.df.join(new.select("id"), "id", "left_anti").unionByName(new.select("id", "vec")))
+
+    def remove(self, ids: Sequence[int]) -> FlatIndex:
+        return replace(self, df=_without(self.df, ids))
+
+    def __len__(self) -> int:
+        return self.df.count()
+
+    def search(self, query: Sequence[float], k: int) -> DataFrame:
+        return flat_search(self.df, query, k, self.metric)
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 25, seed: int = 42) -> np.ndarray:
     """Lloyd's iterations from rows drawn at random; an empty cluster keeps its centre."""
     rng = np.random.default_rng(seed)
@@ -124,8 +176,11 @@ class InvertedFile:
         return x / np.where(n == 0, 1, n)
 
     def train(self, df: DataFrame, id_col: str = "id", vector_col: str = "vec") -> InvertedFile:
-        """On at most TRAIN_MOST rows, by a hash of the id."""
-        got = df.select(id_col, vector_col).orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_MOST).toArrow()
+        """On a sample of about TRAIN_MOST rows, drawn by a hash of the id and the vector; every row is indexed, whatever was drawn."""
+        some = df.where(F.col(vector_col).isNotNull())
+        rate = min(1.0, TRAIN_MOST / max(1, some.count()))
+        drawn = some.where(F.pmod(F.xxhash64(id_col, vector_col), F.lit(1 << 30)) < int(rate * (1 << 30)))
+        got = drawn.select(id_col, vector_col).toArrow().sort_by(id_col)
         x = self._prepared(np.stack(got.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
         self.centroids = kmeans(x, self.n_clusters)
         if self.n_sub:
@@ -156,6 +211,49 @@ class InvertedFile:
 
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vec")).mapInArrow(place, "id long, vec array<float>, cell int, codes array<int>")
 
+    def add(self, assigned: DataFrame, df: DataFrame, id_col: str = "id", vector_col: str = "vec") -> DataFrame:
+        """The assigned vectors and new ones; an id that is there already is there twice."""
+        return assigned.unionByName(self.assign(df, id_col, vector_col))
+
+    @staticmethod
+    def remove(assigned: DataFrame, ids: Sequence[int]) -> DataFrame:
+        return _without(assigned, ids)
+
+    def batch_search(self, assigned: DataFrame, queries: DataFrame, k: int, nprobe: int | None = None, id_col: str = "id", vector_col: str = "vec") -> DataFrame:
+        """(query_id, id, score) for many queries: each vector is held against the queries that probe its cell. Queries go in blocks."""
+        blocks = max(1, -(-queries.count() // BLOCK))
+        some = [queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b) for b in range(blocks)]
+        return reduce(DataFrame.unionAll, [self._batch(assigned, x, k, nprobe, id_col, vector_col) for x in some])
+
+    def _batch(self, assigned: DataFrame, queries: DataFrame, k: int, nprobe: int | None, id_col: str, vector_col: str) -> DataFrame:
+        got = queries.select(F.col(id_col), F.col(vector_col)).toArrow()
+        qid = got.column(0).to_numpy()
+        q = self._prepared(np.stack(got.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)) if len(qid) else np.zeros((0, self.centroids.shape[1]))
+        n = nprobe or max(1, int(np.sqrt(len(self.centroids))))
+        near = ((self.centroids**2).sum(1)[None] - 2 * q @ self.centroids.T).argsort(axis=1, kind="stable")[:, :n]
+        by_cell = {c: np.flatnonzero((near == c).any(1)) for c in np.unique(near).tolist()}
+        sent = assigned.sparkSession.sparkContext.broadcast((qid, q, by_cell))
+        metric, prepared = self.metric, self._prepared
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qid, q, by_cell = sent.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, cell = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                x = prepared(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
+                for c in np.unique(cell).tolist():
+                    own, who = np.flatnonzero(cell == c), by_cell.get(c, ())
+                    for at in range(0, len(who), max(1, _SCORES // len(own))):
+                        some = who[at : at + max(1, _SCORES // len(own))]
+                        s = q[some] @ x[own].T
+                        if metric == "l2":
+                            s = 2 * s - (x[own] ** 2).sum(1)[None] - (q[some] ** 2).sum(1)[:, None]
+                        top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[some], top.shape[1])), pa.array(ids[own][top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["query_id", "id", "score"])
+
+        return _best_of(assigned.select("id", "vec", "cell").mapInArrow(best, "query_id long, id long, score double"), k)
+
     def probes(self, query: Sequence[float], nprobe: int | None) -> list[int]:
         q = self._prepared(np.asarray(query, float))
         n = nprobe or max(1, int(np.sqrt(len(self.centroids))))

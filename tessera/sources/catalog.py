@@ -1,8 +1,10 @@
 """A folder of typed tables under a versioned manifest.
 
 A commit writes new Parquet folders and then a new manifest, whose name is its version; readers take the newest
-manifest that is whole. So a commit is all or nothing, and readers see one state. Files go through Hadoop's
-file system, so the folder may be anywhere Spark can write.
+manifest that is whole. So a commit is all or nothing, and readers see one state. A table is a list of folders, and
+appending adds one. Files go through Hadoop's file system, so the folder may be anywhere Spark can write. Of two
+writers one is refused, as its manifest's rename finds the version taken: local file systems and HDFS promise that,
+object stores don't, and there one writer at a time may commit.
 """
 
 from __future__ import annotations
@@ -18,9 +20,23 @@ from pyspark.sql import functions as F
 
 from ..errors import Dropped, NameTaken, NotFound, ReadOnly, SchemaError
 from ..functions.types import conformed, struct
+from ..operators import structures, vectors
 from ..operators.collection import Collection, Index, Many, Range, Search, Unique, Vector, dangling
+from ..operators.dataset import Dataset
+from ..operators.fulltext import SearchIndex
+from ..operators.sketches import Bloom, CountingBloom
 
 KINDS = ("dataset", "collection", "map", "ordered", "sequence", "set", "queue", "priority", "lru", "bloom", "counting_bloom", "graph", "search", "flat", "ivf")
+OPTIONS: dict[str, dict[str, Any]] = {
+    "bloom": {"expected": 10_000, "rate": 0.01}, "counting_bloom": {"expected": 10_000, "rate": 0.01, "max_count": 255},
+    "map": {"key": "_key"}, "ordered": {"key": "_key"}, "sequence": {"pos": "_pos", "valid": "_valid"}, "set": {"column": "member"},
+    "queue": {"seq": "_seq"}, "priority": {"priority": "priority", "seq": "_seq", "max_first": True}, "lru": {"capacity": 1000, "key": "_key", "used": "_used"},
+    "flat": {"dim": None, "metric": "cosine"}, "ivf": {"dim": None, "metric": "cosine", "n_clusters": 256, "pq": False, "n_sub": 16, "n_bits": 8},
+    "search": {"text_fields": None, "ignore_case": True, "ignore_accent": True, "scoring": "boolean", "k1": 1.5, "b": 0.75}, "graph": {"directed": True, "label_field": None},
+    "dataset": {}, "collection": {"primary": None, "indexes": None},
+}
+_NEEDED = {"flat": {"dim": "int64"}, "ivf": {"dim": "int64"}, "search": {"text_fields": "text"}}
+_FIELDS = {"bloom": {"bit": "int64"}, "counting_bloom": {"bit": "int64", "n": "int64"}}
 _INDEXES = {c.__name__: c for c in (Unique, Range, Many, Search, Vector)}
 
 
@@ -96,16 +112,28 @@ class Catalog:
     # structures
 
     def create(self, name: str, kind: str = "dataset", fields: dict[str, str] | None = None, exist_ok: bool = False, **options: Any) -> dict[str, Any]:
-        """Declares a structure: a name, its fields and options. No job runs."""
+        """Declares a structure: a name, its fields and options, which have defaults by kind. No job runs."""
         self._writable()
         if kind not in KINDS:
             raise SchemaError(f"no kind {kind}")
-        struct(fields or {})
+        if unknown := set(options) - set(OPTIONS[kind]):
+            raise SchemaError(f"{kind} has no options {sorted(unknown)}")
+        if missing := set(_NEEDED.get(kind, ())) - set(options):
+            raise SchemaError(f"{kind} needs {sorted(missing)}")
+        options = {**OPTIONS[kind], **options}
+        if kind in ("flat", "ivf") and (options["metric"] not in vectors.METRICS or options["dim"] < 1):
+            raise SchemaError("no such metric, or no dimension")
+        if kind in ("bloom", "counting_bloom") and not (options["expected"] > 0 and 0 < options["rate"] < 1):
+            raise SchemaError("expected must be positive, and rate between 0 and 1")
+        if kind == "lru" and options["capacity"] < 1:
+            raise SchemaError("capacity must be positive")
+        fields = fields or _FIELDS.get(kind) or ({"id": "int64", "vec": f"float64[{options['dim']}]"} if kind in ("flat", "ivf") else {})
+        struct(fields)
         if name in self._now():
             if exist_ok:
                 return self._now()[name]
             raise NameTaken(name)
-        entry = {"kind": kind, "fields": fields or {}, "options": options, "path": None, "id": uuid.uuid4().hex}
+        entry = {"kind": kind, "fields": fields, "options": options, "paths": [], "id": uuid.uuid4().hex}
         self._change(lambda e: e.__setitem__(name, entry))
         return entry
 
@@ -117,7 +145,7 @@ class Catalog:
             specs = {k: [type(v).__name__, dict(v.__dict__)] for k, v in (indexes or {}).items()}
             self.create(name, "collection", fields, primary=primary, indexes=specs)
         entry = self.entry(name)
-        made = {k: _INDEXES[c](**{f: tuple(v) if isinstance(v, list) else v for f, v in args.items()}) for k, (c, args) in entry["options"]["indexes"].items()}
+        made = {k: _INDEXES[c](**{f: tuple(v) if isinstance(v, list) else v for f, v in args.items()}) for k, (c, args) in (entry["options"]["indexes"] or {}).items()}
         return Collection(self.read(name), entry["options"]["primary"], made)
 
     def entry(self, name: str) -> dict[str, Any]:
@@ -125,6 +153,40 @@ class Catalog:
             raise NotFound(name)
         return self._now()[name]
 
+    def open(self, name: str) -> Any:
+        """The structure as an object over its rows, by its kind; `save` takes the changed one."""
+        entry = self.entry(name)
+        kind, o, df = entry["kind"], entry["options"], self.read(name)
+        made: dict[str, Callable[[], Any]] = {
+            "collection": lambda: self.collection(name),
+            "dataset": lambda: Dataset(df, name),
+            "map": lambda: structures.KeyedMap(df, o["key"]),
+            "ordered": lambda: structures.OrderedMap(df, o["key"]),
+            "sequence": lambda: structures.Sequence(df, o["pos"], o["valid"]),
+            "set": lambda: structures.StringSet(df, o["column"]),
+            "queue": lambda: structures.Fifo(df, o["seq"]),
+            "priority": lambda: structures.PriorityQueue(df, o["priority"], o["seq"], o["max_first"]),
+            "lru": lambda: structures.LruMap(df, o["capacity"], o["key"], o["used"]),
+            "bloom": lambda: Bloom(o["expected"], o["rate"]),
+            "counting_bloom": lambda: CountingBloom(o["expected"], o["rate"], o["max_count"]),
+            "flat": lambda: vectors.FlatIndex(df, o["dim"], o["metric"]),
+            "ivf": lambda: vectors.InvertedFile(o["metric"], o["n_clusters"], o["n_sub"] if o["pq"] else 0, o["n_bits"]),
+            "search": lambda: self._search_index(name, o),
+        }
+        if kind not in made:
+            raise SchemaError(f"{kind} has no object")
+        return made[kind]()
+
+    def _search_index(self, name: str, o: dict[str, Any]) -> SearchIndex:
+        folder = f"{self.folder}/_search/{self.entry(name)['id']}"
+        if self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(f"{folder}/index.json")):
+            return SearchIndex.open(self.spark, folder)
+        return SearchIndex.create(self.spark, folder, o["text_fields"], o["ignore_case"], o["ignore_accent"])
+
+    def save(self, name: str, structure: Any) -> None:
+        """The rows of a structure's object in the place of the stored ones."""
+        self.write(name, structure.df.select(*self.entry(name)["fields"]))
+
     def names(self, kind: str | None = None) -> list[str]:
         return sorted(k for k, v in self._now().items() if kind in (None, v["kind"]))
 
@@ -134,10 +196,19 @@ class Catalog:
     def read(self, name: str) -> DataFrame:
         entry = self.entry(name)
         schema = struct(entry["fields"])
-        return self.spark.read.schema(schema).parquet(entry["path"]) if entry["path"] else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*entry["paths"]) if entry["paths"] else self.spark.createDataFrame([], schema)
 
     def write(self, name: str, df: DataFrame, sort: list[str] | None = None, partition: list[str] | None = None) -> None:
         """The structure's rows, checked against its fields. `sort` lays files out in ranges, for pruning by their statistics."""
+        path = self._folder(name, df, sort, partition)
+        self._change(lambda e: e[name].__setitem__("paths", [path]))
+
+    def append(self, name: str, df: DataFrame, sort: list[str] | None = None) -> None:
+        """More rows, in a folder of their own: what is there isn't read. vacuum() makes one folder of many."""
+        path = self._folder(name, df, sort, None)
+        self._change(lambda e: e[name].__setitem__("paths", [*e[name]["paths"], path]))
+
+    def _folder(self, name: str, df: DataFrame, sort: list[str] | None, partition: list[str] | None) -> str:
         self._writable()
         entry = self.entry(name)
         out = conformed(df, entry["fields"])
@@ -146,10 +217,7 @@ class Catalog:
         path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
         writer = out.write.partitionBy(*partition) if partition else out.write
         writer.parquet(path)
-        self._change(lambda e: e[name].__setitem__("path", path))
-
-    def append(self, name: str, df: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(conformed(df, self.entry(name)["fields"])))
+        return path
 
     def drop(self, name: str) -> None:
         self.entry(name)
@@ -182,10 +250,10 @@ class Catalog:
         """Every table written anew and compactly; folders that no manifest version keeps are removed, and old manifests."""
         with self.durable():
             for name, entry in list(self._staged.items()):
-                if entry["path"]:
+                if entry["paths"]:
                     df = self.read(name)
                     self.write(name, df.coalesce(partitions) if partitions else df)
-        kept = {e["path"].rsplit("/", 1)[1] for e in self.entries.values() if e["path"]}
+        kept = {p.rsplit("/", 1)[1] for e in self.entries.values() for p in e["paths"]}
         for folder in self._fs.listStatus(self._path()):
             if folder.isDirectory() and not folder.getPath().getName().startswith("_"):
                 for sub in self._fs.listStatus(folder.getPath()):
@@ -199,11 +267,11 @@ class Catalog:
         """{'ok', 'issues'}: unique fields, and references (child, field, parent, key)."""
         issues = []
         for name in self.names("collection"):
-            issues += [f"{name}.{r['field']} = {r['value']}: {r['n']} records" for r in self.collection(name).violations().limit(100).collect()]
+            issues += [f"{name}.{r['field']} = {r['value']}: {r['n']} records" for r in self.collection(name).violations().toLocalIterator()]
         for child, field, parent, key in references:
             if n := dangling(self.read(child), field, self.read(parent), key).count():
                 issues.append(f"{child}.{field}: {n} without a record in {parent}")
         return {"ok": not issues, "issues": issues}
 
     def stats(self) -> dict[str, Any]:
-        return {name: {"kind": e["kind"], "rows": self.read(name).count(), "bytes": int(self._fs.getContentSummary(self._jvm.org.apache.hadoop.fs.Path(e["path"])).getLength()) if e["path"] else 0} for name, e in self._now().items()}
+        return {name: {"kind": e["kind"], "rows": self.read(name).count(), "bytes": sum(int(self._fs.getContentSummary(self._jvm.org.apache.hadoop.fs.Path(p)).getLength()) for p in e["paths"])} for name, e in self._now().items()}

@@ -131,8 +131,8 @@ def test_dataset_and_structures(spark):
             row, q = q.pop()
             taken.append(row["x"])
     assert taken == ["a", "b", "c"]
-    jobs = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate([("low", 1), ("high", 9), ("mid", 5), ("high2", 9)])], "seq long, t string, p long")
-    assert ids(structures.drain_priority(jobs, "p", "seq"), "t") == ["high", "high2", "mid", "low"]
+    jobs = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate([("sweep", 2), ("bake", 8), ("wash", 3), ("cook", 8), ("iron", 3)])], "seq long, t string, p long")
+    assert ids(structures.drain_priority(jobs, "p", "seq"), "t") == ["bake", "cook", "wash", "iron", "sweep"]
     log = [("set", "a"), ("set", "b"), ("set", "c"), ("get", "a"), ("set", "d"), ("get", "c"), ("get", "b"), ("set", "e")]
     log = spark.createDataFrame([("x", k, i, op, float(i)) for i, (op, k) in enumerate(log)], "cache string, key string, seq long, op string, v double")
     assert [r["key"] for r in structures.lru_replay(log, "cache", "key", "seq", "op", 3, "v").orderBy("rank").collect()] == ["e", "c", "d"]
