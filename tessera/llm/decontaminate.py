@@ -92,7 +92,7 @@ def counts(cell: np.ndarray, col: np.ndarray, size: int) -> tuple[np.ndarray, np
 
 
 def frequencies(docs: DataFrame, bench: Benchmark) -> np.ndarray:
-    """idf of each column over all passages: of the benchmark's words by the passages that hold them, of hashed columns by the words that fall there."""
+    """idf of each column over all passages: of the benchmark's words by the passages that hold them, of hashed columns by the words that fall there. It is 1 at least, so that items of common words can be found."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(bench.width, np.int64), 0
@@ -110,7 +110,7 @@ def frequencies(docs: DataFrame, bench: Benchmark) -> np.ndarray:
     df = np.zeros(bench.width + 1)
     for r in rows:
         df[r["col"]] = r["n"]  # the last is the number of passages
-    return np.maximum(0, np.log((df[-1] + 1) / (df[:-1] + 0.5))).astype(np.float32)
+    return (1 + np.maximum(0, np.log((df[-1] + 1) / (df[:-1] + 0.5)))).astype(np.float32)
 
 
 def passages(w: Words, bench: Benchmark, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples: exact tf-idf cosine over a block-max inverted index.
 
-1. At most EXAMPLES labelled documents of either class are drawn by a hash. Every term of theirs is in the
-   vocabulary; document frequencies are counted over all documents.
+1. At most EXAMPLES labelled documents of either class are drawn by a hash. The vocabulary is every term of theirs whose
+   presence depends on the class beyond chance (chi squared of CHI_SQUARED or more, in LEAST_EXAMPLES of them): over
+   all terms, what rare words two texts share by chance drowns what makes them toxic. Document frequencies are counted over all documents.
 2. Examples are laid in blocks of BLOCK by their heaviest term. Rare terms have inverted lists. Terms that more
    than one in DENSE examples has are kept as columns of the blocks, with each block's greatest weight of them.
 3. Every document is a query. The lists of its rare terms give a lower bound of the cosine with every example,
@@ -25,6 +26,7 @@ from .textscan import Words, expand, words
 
 EXAMPLES = 6000  # of either class, at most: the bound of the labelled sample
 K = 15
+LEAST_EXAMPLES, CHI_SQUARED = 4, 15.0
 BLOCK = 128
 DENSE = 16
 ROWS = 256  # queries that are scored at once
@@ -42,6 +44,20 @@ def term_counts(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return d[head], h[head], np.diff(np.append(head, len(d)))
 
 
+def vocabulary(terms: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Terms (in order) that tell the classes apart, by chi squared of their presence."""
+    if not len(terms) or toxic.all() or not toxic.any():
+        return np.zeros(0, np.uint64)
+    of = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    value, back = np.unique(np.concatenate(terms), return_inverse=True)
+    bad = np.bincount(back, toxic[of], minlength=len(value))
+    all_of = np.bincount(back, minlength=len(value)).astype(float)
+    n, n_bad = len(terms), toxic.sum()
+    a, b, c, d = bad, all_of - bad, n_bad - bad, (n - n_bad) - (all_of - bad)
+    chi = n * (a * d - b * c) ** 2 / np.maximum(1e-9, (a + b) * (c + d) * (a + c) * (b + d))
+    return value[(all_of >= LEAST_EXAMPLES) & (chi >= CHI_SQUARED)]
+
+
 class Index:
     """Examples as unit vectors, (example, term, weight) in order of example: inverted lists of rare terms, and blocks of frequent ones."""
 
@@ -143,18 +159,20 @@ def calibrate(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray, rounds:
 class Model:
     """Vocabulary, idf, index of examples, and the calibration."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, other: float, index: Index, curve: tuple[float, float]):
-        self.terms, self.idf, self.other, self.index, self.curve = terms, idf, other, index, curve
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, index: Index | None, curve: tuple[float, float]):
+        self.terms, self.idf, self.index, self.curve = terms, idf, index, curve
 
     def vectors(self, doc: np.ndarray, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, place in the vocabulary, weight) of unit tf-idf rows; terms that no example has count in the length alone, with the greatest idf."""
+        """(text, place in the vocabulary, weight) of unit tf-idf rows over the vocabulary."""
         if not len(self.terms):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
         hit = self.terms[at] == term
-        x = (1 + np.log(times)) * np.where(hit, self.idf[at], self.other)
-        x /= np.maximum(1e-9, np.sqrt(np.bincount(doc, x * x)))[doc]
-        return doc[hit], at[hit], x[hit].astype(np.float32)
+        doc, at = doc[hit], at[hit]
+        x = (1 + np.log(times[hit])) * self.idf[at]
+        if len(x):
+            x /= np.maximum(1e-9, np.sqrt(np.bincount(doc, x * x)))[doc]
+        return doc, at, x.astype(np.float32)
 
     def probability(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * votes + self.curve[1], -40, 40)))
@@ -187,9 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col:
     # repeats of an example, by id or by text, are of its group
     group = _groups(ids[order], [hash(blobs[i]) for i in order])
     ids, toxic = ids[order], toxic[order].astype(float)
-    if len(set(toxic.tolist())) < 2:
-        columns, ids, toxic, group = [], ids[:0], toxic[:0], group[:0]
-    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *[c[0] for c in columns]]))
+    terms = vocabulary([c[0] for c in columns], toxic)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(terms), np.int64), 0
@@ -207,8 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col:
     if len(terms):
         counted = base.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the examples
         df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
-    idf = np.log((df[-1] + 1) / (df[:-1] + 0.5)).clip(min=0).astype(np.float32)
-    model = Model(terms, idf, float(np.log(df[-1] + 1)), None, (1.0, -20.0))
+    idf = np.log((df[-1] + 1) / (df[:-1] + 0.5)).clip(min=0.05).astype(np.float32)
+    model = Model(terms, idf, None, (1.0, -20.0))
     doc = np.repeat(np.arange(len(columns)), [len(c[0]) for c in columns])
     x = model.vectors(doc, *[np.concatenate([np.zeros(0, k), *[c[j] for c in columns]]) for j, k in ((0, np.uint64), (1, np.int32))])
     model.index = Index(*x, len(terms), toxic, ids, group)
@@ -233,7 +249,7 @@ def _groups(ids: np.ndarray, marks: list[int]) -> np.ndarray:
 def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, score (probability of toxic), toxic (score at the threshold or above), evidence (ids of the nearest examples), similar (their cosines).
 
-    A text that is null, empty or without any term of the examples has no neighbours: its evidence is
+    A text that is null, empty or without any term of the vocabulary has no neighbours: its evidence is
     empty, and its score is that of no votes. So are all where the labels hold one class only. A null
     doc_id stays null. Labels that are null or for unknown documents aren't used; a doc_id with two labels
     is toxic if one of them says so. Very long texts are compared whole. Repeated rows are rated each time and alike.
@@ -255,7 +271,7 @@ def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     for r, (ids, s) in enumerate(zip(who[:, :EVIDENCE].tolist(), sims[:, :EVIDENCE].tolist(), strict=True)):
                         evidence[r] = [int(model.index.ids[e]) for e in ids if e >= 0]
                         similar[r] = [float(v) for e, v in zip(ids, s, strict=True) if e >= 0]
-                p = model.probability(votes)
+                p = model.probability(np.asarray(votes, np.float64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, n), pa.array(p), pa.array(p >= threshold), pa.array(evidence, pa.list_(pa.int64())), pa.array(similar, pa.list_(pa.float64()))],
                     names=["doc_id", "score", "toxic", "evidence", "similar"],

@@ -20,7 +20,7 @@ from .textscan import chunks, expand, mix
 BITS = 18
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.5
-PRIOR = 0.2  # of unwanted sites
+PRIOR = 0.35  # of unwanted sites
 LABELLED_MOST = 100_000  # labelled rows that are fitted on, at most
 _SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -29,7 +29,7 @@ _BAD = """
 casino casinos poker slot slots jackpot roulette blackjack baccarat craps bet bets betting bookmaker sportsbook gamble gambling lottery lotto bingo wager
 porn porno xxx sex sexy adult adults nude nudes escort escorts camgirl cams webcam fetish erotic hookup hentai milf naked hotgirls singles
 pill pills pharmacy viagra cialis levitra meds steroid steroids xanax tramadol valium ambien opioid weightloss slimming diet keto detox miracle cure
-spam scam phishing linkfarm backlink backlinks seo traffic clickbait doorway autosurf paidtoclick popup popunder popads adserver adclick ads adtrack track tracker tracking
+spam spammer scam phishing linkfarm clickfarm contentfarm spamfarm backlink backlinks seo traffic clickbait doorway autosurf paidtoclick popup popunder popads adserver adclick ads adtrack track tracker tracking
 banner banners affiliate sponsor redirect cloak spy spyware malware trojan virus keylogger botnet exploit ransomware
 warez crack cracked cracks keygen serials nulled torrent torrents pirate piratebay rip leaked bypass activator
 loan loans payday cash fastcash getrich richquick income forex binary trading profit profits doubler bitcoin crypto airdrop giveaway prize winner win freebies free freemoney
@@ -40,7 +40,7 @@ news times journal herald gazette chronicle tribune post daily press magazine re
 university college school campus academy institute faculty library museum archive gallery theatre opera orchestra philharmonic
 science physics chemistry biology astronomy geology mathematics statistics research laboratory medicine nursing dental clinic hospital hospice therapist therapy physician
 government council city county parish police fire station court justice parliament embassy ministry treasury customs passport
-garden gardening cooking recipes kitchen bakery restaurant cafe brewery vineyard farm dairy orchard fishing sailing cycling hiking climbing skiing running football rugby cricket tennis golf
+garden gardening cooking recipes kitchen bakery restaurant cafe brewery vineyard farming farmers dairy orchard fishing sailing cycling hiking climbing skiing running football rugby cricket tennis golf
 travel hotel hostel airline railway train bus ferry maps weather climate ocean river mountain forest wildlife birds bees horses dogs cats veterinary
 history heritage genealogy archaeology philosophy language grammar dictionary encyclopedia wiki books poetry novel film cinema music guitar piano jazz folk
 code docs developer programming python java linux kernel compiler database network protocol standards forum support help tutorial manual reference
@@ -56,6 +56,10 @@ _ENDINGS = {1: "com net org info biz xyz top click online site club shop win bid
 _BAD_PATHS = ("", "/", "/bonus", "/free-spins", "/signup?aff={k}", "/buy-cheap-{w}", "/click?id={k}", "/go.php?url={k}", "/win/{k}", "/{w}-online-{k}.html", "/download/{w}-crack", "/landing/{k}", "/best-{w}", "/promo/{w}", "/pop/{k}.js")
 _GOOD_PATHS = ("", "/", "/about", "/contact", "/news/20{y}/0{m}/{w}", "/wiki/{w}", "/docs/{w}/index.html", "/articles/{k}", "/research/{w}", "/blog/{w}-{v}", "/events/{k}", "/en/{w}", "/library/{w}.pdf", "/page/{k}", "/store/{w}?item={k}")
 
+_SHARED = ("com", "com", "net", "org", "info", "co", "io")
+_HOSTS = ("example.", "hosting.", "pages.", "site.", "web.", "server.", "cloud.")
+_PLAIN = ("", "", "/", "/{k}", "/{l}", "/{l}/{k}", "/page/{k}", "/page/{k}.html", "/index.html", "/p/{k}", "/item/{k}/", "/{l}/page/{k}")
+
 
 def seeds(without: frozenset[str] = frozenset()) -> list[tuple[str, int]]:
     """A small labelled table of addresses: 1 for unwanted. without: words that are left out, to measure what is learned of the others."""
@@ -65,13 +69,18 @@ def seeds(without: frozenset[str] = frozenset()) -> list[tuple[str, int]]:
         words = [w for w in dict.fromkeys(words) if w not in without]
         ends, paths = _ENDINGS[label], (_BAD_PATHS, _GOOD_PATHS)[1 - label]
         for k, word in enumerate(words):
-            for _ in range(12):
+            for _ in range(20):
                 mate, third = (words[int(i)] for i in rng.integers(0, len(words), 2))
                 number = int(rng.integers(1, 999))
                 name = (word, f"{word}-{mate}", f"{word}{mate}", f"{mate}-{word}", f"{mate}{word}", f"{word}{number}", f"{word}-{mate}-{third}", f"{word}-{number}")[int(rng.integers(0, 8))]
-                sub = ("", "www.", "www.", "m.", "blog.", f"{mate}.", "en.", "shop.")[int(rng.integers(0, 8))]
-                path = paths[int(rng.integers(0, len(paths)))].format(k=number, w=third, v=mate, y=int(rng.integers(10, 26)), m=int(rng.integers(1, 10)))
-                out.append((f"http{'s' * int(rng.integers(0, 2))}://{sub}{name}.{ends[int(rng.integers(0, len(ends)))]}{path}", label))
+                sub = ("", "", "www.", "www.", "m.", "blog.", "en.", "shop.", "news.")[int(rng.integers(0, 9))]
+                # most addresses have nothing but the name to tell them by: common endings and plain paths, often at a host of many sites
+                plain = rng.random() < 0.75
+                end = _SHARED[int(rng.integers(0, len(_SHARED)))] if plain else ends[int(rng.integers(0, len(ends)))]
+                path = _PLAIN[int(rng.integers(0, len(_PLAIN)))] if plain else paths[int(rng.integers(0, len(paths)))]
+                path = path.format(k=number, w=third, v=mate, y=int(rng.integers(10, 26)), m=int(rng.integers(1, 10)), l=("en", "fr", "de", "es", "it")[int(rng.integers(0, 5))])
+                host = _HOSTS[int(rng.integers(0, len(_HOSTS)))] if rng.random() < 0.4 else ""
+                out.append((f"http{'s' * int(rng.integers(0, 2))}://{sub}{name}.{host}{end}{path}", label))
     return out
 
 

@@ -42,7 +42,7 @@ def test_nearest_is_exact():
 
 
 def test_the_query_against_a_brute_force_version(spark, tmp_path):
-    """Draw, frequencies, cosines over all words, votes and evidence in plain Python, but for the curve, which is the model's."""
+    """Draw, frequencies, cosines over all words, chi squared, votes and evidence in plain Python, but for the curve, which is the model's."""
     rng = random.Random(4)
     rows = [(i, " ".join([sentence(rng, rng.randrange(5, 40))] + ["vile nasty filth"[: 5 * (1 + i % 3)]] * (i % 4 == 0))) for i in range(120)]
     labels = [(i, int(i % 4 == 0)) for i in range(60)]
@@ -51,10 +51,16 @@ def test_the_query_against_a_brute_force_version(spark, tmp_path):
     label_frame.write.parquet(str(tmp_path / "labels.parquet"))
     tokens = {i: Counter(word_hashes(t)) for i, t in rows}
     df = Counter(w for c in tokens.values() for w in c)
-    known = {w for i, _ in labels for w in tokens[i]}
+    known = set()
+    for w in {w for i, _ in labels for w in tokens[i]}:
+        a, b = (sum(w in tokens[i] for i, y in labels if y == k) for k in (1, 0))
+        c, d = 15 - a, 45 - b
+        if a + b >= tx.LEAST_EXAMPLES and 60 * (a * d - b * c) ** 2 / max(1e-9, (a + b) * (c + d) * (a + c) * (b + d)) >= tx.CHI_SQUARED:
+            known.add(w)
+    assert len(known) >= 2
 
     def vector(c):
-        x = {w: (1 + math.log(n)) * (max(0.0, math.log(121 / (df[w] + 0.5))) if w in known else math.log(121)) for w, n in c.items()}
+        x = {w: (1 + math.log(n)) * max(0.05, math.log(121 / (df[w] + 0.5))) for w, n in c.items() if w in known}
         size = math.sqrt(sum(v * v for v in x.values()))
         return {w: v / size for w, v in x.items()}
 
@@ -68,7 +74,7 @@ def test_the_query_against_a_brute_force_version(spark, tmp_path):
         near = [(s, j) for s, j in near if s > 1e-9]
         vote = sum(s for s, j in near if j % 4 == 0) / (sum(s for s, _ in near) + tx.SMOOTH)
         score = 1 / (1 + math.exp(-(model.curve[0] * vote + model.curve[1])))
-        assert abs(got[i]["score"] - score) < 1e-3 and got[i]["evidence"][0] == near[0][1]
+        assert abs(got[i]["score"] - score) < 1e-3 and got[i]["evidence"] == [j for _, j in near[: tx.EVIDENCE]]
         assert np.allclose(got[i]["similar"], [s for s, _ in near[: tx.EVIDENCE]], atol=1e-4)
 
 
