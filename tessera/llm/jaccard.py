@@ -550,7 +550,7 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
     """The documents without near duplicates: of each class the least doc_id stays. Rows without doc_id stay, and those whose
     text is null, empty or without words; of rows with one doc_id, all stay or go. All columns stay as they are, whatever their names."""
     drop = classes(docs, n, threshold, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    return docs.join(drop, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

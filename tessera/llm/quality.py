@@ -286,9 +286,10 @@ def keep_good(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.rate(batch.column(at))[1] >= model.threshold))
+            yield batch.filter(pa.array(model.rate(batch.column(at))[1] >= model.threshold)).rename_columns(docs_columns)
 
-    return docs.mapInArrow(kept, docs.schema)
+    docs_columns = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(docs_columns))]).mapInArrow(kept, docs.schema)  # names may hold dots
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
