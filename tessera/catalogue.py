@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import capitals
 from .functions.types import cut_bytes, dt_key, stored, struct
 from .operators import fulltext, structures, vectors
 from .operators.collection import Collection, Many, Range, Search, Unique, Vector, dangling
@@ -838,7 +839,7 @@ def nested_write_back(spark, d):
     base = table(spark, d, "conversations").select("conv_id", "turn", "text")
     outer = structures.Nested(base, "conv_id", structures.KeyedMap, ("turn",))
     one, two = outer.open(1), outer.from_ref(outer.to_ref(2))
-    outer = outer.write_back(1, one.put(one.df.withColumn("text", F.upper("text"))))
+    outer = outer.write_back(1, one.put(one.df.withColumn("text", capitals(F.col("text")))))
     least = two.df.agg(F.min("turn")).first()[0]
     return (outer if least is None else outer.write_back(2, two.remove([least]))).df
 
