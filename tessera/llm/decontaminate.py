@@ -37,6 +37,7 @@ LEAST_WORDS = 5  # of an item that is searched by similarity; a shorter one is f
 BITS, OTHERS = 20, 13  # the benchmark's words by so many bits of their hash, and the hashed columns of other words, as powers of two
 SLICES = 16
 ITEMS = 20_000  # items that are searched at once; a larger benchmark is searched in blocks
+_CACHED = 1 << 16  # numbers that are multiplied at once, as the cache holds them
 _CELLS = 8_000_000  # numbers of columns x items that a task holds at once
 
 
@@ -129,15 +130,30 @@ def passages(w: Words, bench: Benchmark, idf: np.ndarray) -> Iterator[tuple[np.n
 
 def times(p: np.ndarray, t: np.ndarray, x: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(product with the basis of each row that has entries, the row of each entry among these)."""
-    head = np.concatenate(([True], p[1:] != p[:-1]))
-    return np.add.reduceat(basis[t] * x[:, None], np.flatnonzero(head), axis=0), np.cumsum(head) - 1
+    head = np.concatenate(([True], p[1:] != p[:-1]))[: len(p)]
+    first = np.append(np.flatnonzero(head), len(p))
+    out = np.empty((len(first) - 1, basis.shape[1]), np.result_type(basis, x))
+    for i, j, lo, hi in _runs(first, basis.shape[1]):
+        out[i:j] = np.add.reduceat(basis[t[lo:hi]] * x[lo:hi, None], first[i:j] - lo, axis=0)
+    return out, np.cumsum(head) - 1
+
+
+def _runs(first: np.ndarray, wide: int) -> Iterator[tuple[int, int, int, int]]:
+    """(from, to, first entry, last entry) of runs of rows whose entries, of `wide` numbers each, the cache holds; a longer row is a run of its own."""
+    i, most = 0, max(1, _CACHED // max(1, wide))
+    while i < len(first) - 1:
+        j = max(i + 1, int(np.searchsorted(first, first[i] + most, side="right")) - 1)
+        yield i, j, int(first[i]), int(first[j])
+        i = j
 
 
 def into(total: np.ndarray, row: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
     """total += A'y."""
     order = np.argsort(t.astype(np.uint16) if len(total) <= 1 << 16 else t, kind="stable")
-    head = np.flatnonzero(np.concatenate(([True], t[order][1:] != t[order][:-1])))
-    total[t[order][head]] += np.add.reduceat(y[row[order]] * x[order][:, None], head, axis=0)
+    t, row, x = t[order], row[order], x[order]
+    first = np.append(np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))[: len(t)]), len(t))
+    for i, j, lo, hi in _runs(first, y.shape[1]):
+        total[t[first[i:j]]] += np.add.reduceat(y[row[lo:hi]] * x[lo:hi, None], first[i:j] - lo, axis=0)
 
 
 def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +328,7 @@ def _leaks(base: DataFrame, bench: Benchmark, rank: int, cosine: float, schema:
                 e = min(len(head), b + 1024)
                 s0, s1 = head[b], head[e] if e < len(head) else len(p)
                 passage = p[head[b:e]]
-                near = np.add.reduceat(parts[t[s0:s1]] * x[s0:s1, None], head[b:e] - s0, axis=0) / np.maximum(1e-9, norm[passage])[:, None]
+                near = times(p[s0:s1], t[s0:s1], x[s0:s1], parts)[0] / np.maximum(1e-9, norm[passage])[:, None]
                 for q, item in zip(*np.nonzero(near >= cosine), strict=True):
                     j = passage[q]
                     doc = int(text_of[likely[j]])

@@ -156,3 +156,26 @@ def test_edges(spark):
     assert dc.leaks(docs_frame(spark, []), bench).count() == 0
     assert dc.leaks(docs_frame(spark, rows), bench.where("item_id = 9")).count() == 0
     assert dc.without_leaks(docs_frame(spark, rows), bench.where("item_id = 9")).count() == len(rows)
+
+
+def test_products_in_runs_that_the_cache_holds():
+    """times and into give the dense products, and hold no more than a run of them at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(13)
+    a = (rng.random((1200, 400)) < 0.08) * rng.random((1200, 400)).astype(np.float32)
+    a[7], a[9] = 0, 1  # a row without entries, and a full one
+    p, t = np.nonzero(a)
+    x, basis = a[p, t], rng.standard_normal((400, 72)).astype(np.float32)
+    dc.times(p, t, x, basis)
+    tracemalloc.start()
+    y, row = dc.times(p, t, x, basis)
+    total = np.zeros((400, 72), np.float32)
+    dc.into(total, row, t, x, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    some = a.any(1)
+    assert np.allclose(y, (a @ basis)[some], atol=1e-4) and np.allclose(total, a[some].T @ y, atol=1e-2)
+    assert most < x.nbytes * 72  # the products of all entries would take as much
+    none = dc.times(p[:0], t[:0], x[:0], basis)
+    assert none[0].shape == (0, 72) and not len(none[1])
