@@ -132,28 +132,40 @@ def times(p: np.ndarray, t: np.ndarray, x: np.ndarray, basis: np.ndarray) -> tup
     """(product with the basis of each row that has entries, the row of each entry among these)."""
     head = np.concatenate(([True], p[1:] != p[:-1]))[: len(p)]
     first = np.append(np.flatnonzero(head), len(p))
-    out = np.empty((len(first) - 1, basis.shape[1]), np.result_type(basis, x))
-    for i, j, lo, hi in _runs(first, basis.shape[1]):
-        out[i:j] = np.add.reduceat(basis[t[lo:hi]] * x[lo:hi, None], first[i:j] - lo, axis=0)
+    out = np.zeros((len(first) - 1, basis.shape[1]), np.result_type(basis, x))
+    _add(out, np.arange(len(out)), first, t, x, basis)
     return out, np.cumsum(head) - 1
 
 
-def _runs(first: np.ndarray, wide: int) -> Iterator[tuple[int, int, int, int]]:
-    """(from, to, first entry, last entry) of runs of rows whose entries, of `wide` numbers each, the cache holds; a longer row is a run of its own."""
-    i, most = 0, max(1, _CACHED // max(1, wide))
-    while i < len(first) - 1:
-        j = max(i + 1, int(np.searchsorted(first, first[i] + most, side="right")) - 1)
-        yield i, j, int(first[i]), int(first[j])
-        i = j
-
-
 def into(total: np.ndarray, row: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
     """total += A'y."""
     order = np.argsort(t.astype(np.uint16) if len(total) <= 1 << 16 else t, kind="stable")
     t, row, x = t[order], row[order], x[order]
     first = np.append(np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))[: len(t)]), len(t))
-    for i, j, lo, hi in _runs(first, y.shape[1]):
-        total[t[first[i:j]]] += np.add.reduceat(y[row[lo:hi]] * x[lo:hi, None], first[i:j] - lo, axis=0)
+    _add(total, t[first[:-1]], first, row, x, y)
+
+
+def _add(out: np.ndarray, to: np.ndarray, first: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """out[to[i]] += the sum of x * y[at] over the entries first[i] : first[i + 1], of which there are some, in products of small matrices.
+
+    Those with as many entries are multiplied together, in runs that the cache holds; a longer one is a run of its own."""
+    count = np.diff(first)
+    if not len(count):
+        return
+    order = np.argsort(count.astype(np.uint16) if count.max() < 1 << 16 else count, kind="stable")
+    count = count[order]
+    ends = np.append(np.flatnonzero(np.concatenate(([True], count[1:] != count[:-1]))), len(count))
+    wide = y.shape[1]
+    most = max(1, _CACHED // max(1, wide))
+    room = np.empty((max(most, int(count[-1])), wide), y.dtype)
+    for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        n = int(count[begin])
+        for i in range(begin, end, max(1, most // n)):
+            some = order[i : min(end, i + max(1, most // n))]
+            entry = first[some][:, None] + np.arange(n)
+            # all places are within y, and "clip" saves a copy of what is taken
+            taken = np.take(y, at[entry].ravel(), axis=0, out=room[: entry.size], mode="clip")
+            out[to[some]] += np.matmul(x[entry][:, None, :], taken.reshape(len(some), n, wide))[:, 0]
 
 
 def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
@@ -329,7 +341,7 @@ def _leaks(base: DataFrame, bench: Benchmark, rank: int, cosine: float, schema:
                 s0, s1 = head[b], head[e] if e < len(head) else len(p)
                 passage = p[head[b:e]]
                 near = times(p[s0:s1], t[s0:s1], x[s0:s1], parts)[0] / np.maximum(1e-9, norm[passage])[:, None]
-                for q, item in zip(*np.nonzero(near >= cosine), strict=True):
+                for q, item in zip(*divmod(np.flatnonzero(near >= cosine), near.shape[1]), strict=True):
                     j = passage[q]
                     doc = int(text_of[likely[j]])
                     size = len(bench.words[base_item + item])

@@ -179,3 +179,45 @@ def test_products_in_runs_that_the_cache_holds():
     assert most < x.nbytes * 72  # the products of all entries would take as much
     none = dc.times(p[:0], t[:0], x[:0], basis)
     assert none[0].shape == (0, 72) and not len(none[1])
+
+
+def test_products_take_less_than_entry_by_entry():
+    """times and into take less CPU time than a multiplication and a sum for each entry, in runs that the cache holds."""
+    import time
+
+    rng = np.random.default_rng(17)
+    p = np.repeat(np.arange(1500), 28)
+    t = np.sort((rng.random((1500, 28)) ** 2 * 12000).astype(np.int64), axis=1).ravel()
+    x, basis = rng.random(len(p)).astype(np.float32), rng.standard_normal((12000, 72)).astype(np.float32)
+
+    def summed(of, at, a, y, out):
+        order = np.argsort(of, kind="stable")
+        of, at, a = of[order], at[order], a[order]
+        first = np.append(np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))), len(of))
+        i = 0
+        while i < len(first) - 1:
+            j = max(i + 1, int(np.searchsorted(first, first[i] + 900, side="right")) - 1)
+            lo, hi = first[i], first[j]
+            out[of[first[i:j]]] += np.add.reduceat(y[at[lo:hi]] * a[lo:hi, None], first[i:j] - lo, axis=0)
+            i = j
+
+    def plain():
+        y, total = np.zeros((1500, 72), np.float32), np.zeros((12000, 72), np.float32)
+        summed(p, t, x, basis, y)
+        summed(t.astype(np.uint16), p, x, y, total)
+        return total
+
+    def ours():
+        total = np.zeros((12000, 72), np.float32)
+        y, row = dc.times(p, t, x, basis)
+        dc.into(total, row, t, x, y)
+        return total
+
+    took = {plain: [], ours: []}
+    for _ in range(15):
+        for f, seconds in took.items():
+            began = time.process_time()
+            f()
+            seconds.append(time.process_time() - began)
+    assert np.allclose(ours(), plain(), atol=1e-3)
+    assert min(took[ours]) < 0.8 * min(took[plain])
