@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -414,33 +415,53 @@ def lru_of_puts(log: DataFrame, cache: str, key: str, seq: str, capacity: int) -
 
 
 def lru_replay(log: DataFrame, cache: str, key: str, seq: str, op: str, capacity: int, value: str | None = None) -> DataFrame:
-    """(cache, key, value, rank): contents after a log of set, get and delete, most recent first. A get of a key that is gone changes nothing. Caches are replayed side by side; one cache is sequential."""
+    """(cache, key, value, rank): contents after a log of set, get and delete, most recent first. A get of a key that is gone changes nothing.
+    Caches are replayed side by side, each in one pass over its sorted rows, and a task holds one cache's contents and an Arrow batch; one cache is sequential."""
     from collections import OrderedDict
 
-    import pandas as pd
-
-    fields = [cache, key, op, seq] + ([value] if value else [])
     kinds = {f.name: f.dataType.simpleString() for f in log.schema.fields}
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict = OrderedDict()
-        group = group.sort_values("seq")
-        for k, what, v in zip(*(group[c].tolist() for c in ("k", "op", "v")), strict=True):
-            if what == "set":
-                held[k] = v
-                held.move_to_end(k)
-                if len(held) > capacity:
-                    held.popitem(last=False)
-            elif what == "get":
-                if k in held:
+        of, types, done = None, None, ([], [], [], [])
+
+        def close() -> None:
+            done[0].extend([of] * len(held))
+            done[1].extend(reversed(held))
+            done[2].extend(reversed(held.values()))
+            done[3].extend(range(len(held)))
+            held.clear()
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(done, types, strict=True)], names=["cache", "key", "value", "rank"])
+            for x in done:
+                x.clear()
+            return out
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in ("cache", "k", "v")] + [pa.int64()]
+            for c, k, what, v in zip(*(batch.column(x).to_pylist() for x in ("cache", "k", "op", "v")), strict=True):
+                if c != of and not (c != c and of != of):  # NaN is one cache
+                    close()
+                    of = c
+                if what == "set":
+                    held[k] = v
                     held.move_to_end(k)
-            elif what == "delete":
-                held.pop(k, None)
-        keys = list(reversed(held))
-        return pd.DataFrame({"cache": [group["cache"].iloc[0]] * len(keys), "key": keys, "value": [held[k] for k in keys], "rank": range(len(keys))})
-
-    df = log.select(*fields).select(F.col(cache).alias("cache"), F.col(key).alias("k"), F.col(op).alias("op"), F.col(seq).alias("seq"), (F.col(value) if value else F.lit(None).cast("string")).alias("v"))
-    return df.groupBy("cache").applyInPandas(run, f"cache {kinds[cache]}, key {kinds[key]}, value {kinds[value] if value else 'string'}, rank long")
+                    if len(held) > capacity:
+                        held.popitem(last=False)
+                elif what == "get":
+                    if k in held:
+                        held.move_to_end(k)
+                elif what == "delete":
+                    held.pop(k, None)
+            yield rows()
+        close()
+        if types:
+            yield rows()
+
+    df = log.select(F.col(cache).alias("cache"), F.col(key).alias("k"), F.col(op).alias("op"), F.col(seq).alias("seq"), (F.col(value) if value else F.lit(None).cast("string")).alias("v"))
+    df = df.repartition("cache").sortWithinPartitions("cache", F.col("seq").asc_nulls_last())
+    return df.select("cache", "k", "op", "v").mapInArrow(run, f"cache {kinds[cache]}, key {kinds[key]}, value {kinds[value] if value else 'string'}, rank long")
 
 
 _INNER = {"map": {"map", "sequence", "set", "ordered", "queue"}, "sequence": {"map", "sequence", "set", "ordered", "queue"}, "ordered": {"map", "sequence", "set", "queue"}, "queue": {"map", "sequence", "set", "queue"}, "set": set(), "lru": {"map", "sequence"}, "bloom": set(), "vector": set()}

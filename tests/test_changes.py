@@ -250,3 +250,31 @@ def test_vector_index_declared(spark):
     df = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [0.0, 1.0])], "id long, g string, v array<double>")
     c = Collection(df, "id", {"v": Vector("v"), "g": Many("g")})
     assert c.nearest("v", [1.0, 0.1], 1).first()["id"] == 1 and c.nearest("v", [1.0, 0.1], 1, {"g": "b"}).first()["id"] == 2
+
+
+def test_replay_of_many_caches(spark):
+    """More caches than go into one Arrow batch of results, and one that is longer than a batch."""
+    from collections import OrderedDict
+
+    from tessera.operators import structures
+
+    rng = np.random.default_rng(11)
+    n = 60_000
+    caches = np.where(np.arange(n) < 25_000, -1, rng.integers(0, 3000, n)).tolist()
+    keys = [None if k == 5 else f"k{k}" for k in rng.integers(0, 6, n).tolist()]
+    ops = [("set", "set", "get", "delete")[i] for i in rng.integers(0, 4, n).tolist()]
+    want: dict = {}
+    for i, (c, k, op) in enumerate(zip(caches, keys, ops, strict=True)):
+        held = want.setdefault(c, OrderedDict())
+        if op == "set":
+            held[k] = i
+            held.move_to_end(k)
+            if len(held) > 3:
+                held.popitem(last=False)
+        elif op == "get" and k in held:
+            held.move_to_end(k)
+        elif op == "delete":
+            held.pop(k, None)
+    log = spark.createDataFrame([(c, k, i, op, i) for i, (c, k, op) in enumerate(zip(caches, keys, ops, strict=True))], "cache long, key string, seq long, op string, v long")
+    got = structures.lru_replay(log.repartition(4), "cache", "key", "seq", "op", 3, "v")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((c, k, v, r) for c, held in want.items() for r, (k, v) in enumerate(reversed(held.items()))), key=repr)
