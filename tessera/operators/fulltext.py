@@ -79,6 +79,24 @@ def times(of: str, word: str) -> Column:
     return F.size(F.filter(of, lambda x: x == word)).cast("double")
 
 
+def _tokens(df: DataFrame, doc_id: str, fields: Sequence[str], once: bool, case: bool = True, accent: bool = True) -> DataFrame:
+    """(doc_id, t): each document's terms, those of rows with one id together; a generator, so that texts are cut once. once: no id comes twice."""
+    each = df.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(terms(document(fields), case, accent))).alias("t"))
+    return each if once else each.groupBy("doc_id").agg(F.flatten(F.collect_list("t")).alias("t"))
+
+
+def _counted(tokens: DataFrame, heads: bool = False) -> DataFrame:
+    """(term, doc_id, tf, dl), counted within each row, so without a shuffle; with heads also a row without a term for each document."""
+    work = tokens.select("doc_id", F.size("t").cast("long").alias("dl"), F.explode(F.array(F.sort_array("t"))).alias("t"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    starts = F.when(F.size("t") > 0, starts).otherwise(F.array().cast("array<int>"))
+    work = work.select("*", F.explode(F.array(F.concat(F.array(F.lit(-1)), starts) if heads else starts)).alias("s"))
+    runs = work.select("*", F.posexplode("s").alias("p", "at"))
+    tf = F.when(F.col("at") < 0, 0).otherwise(F.coalesce(F.get("s", F.col("p") + 1), F.size("t")) - F.col("at"))
+    term = F.when(F.col("at") >= 0, F.get("t", "at"))
+    return runs.select(term.alias("term"), "doc_id", F.least(F.lit(65535), tf).cast("long").alias("tf"), "dl")
+
+
 def postings(df: DataFrame, doc_id: str, fields: Sequence[str]) -> DataFrame:
     """(term, doc_id, tf, dl): an inverted index, to be written sorted by term. tf stops at 65535."""
     base = df.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(terms(document(fields)))).alias("t"))
@@ -106,7 +124,7 @@ class SearchIndex:
     """A stored inverted index: postings in order of term, lengths of documents, and tombstones, in folders of their own.
 
     Each add writes new folders and nothing else, and a delete writes ids. A search reads the postings of its
-    terms alone: files are sorted by term, so a scan passes over the others by their statistics. Frequencies and
+    terms alone: each file has some documents' postings sorted by term, so a scan passes over the other pages by their statistics. Frequencies and
     lengths count deleted documents until `merged`. The manifest is written last and anew; one writer at a time.
     """
 
@@ -121,6 +139,7 @@ class SearchIndex:
     accent: bool = True
 
     _POSTINGS, _DOCS = "term string, doc_id long, tf long, dl long", "doc_id long, dl long"
+    _PART, _MANY = 16_000_000, 2_000_000  # bytes of text and postings that a task sorts at once, about
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str, fields: Sequence[str], case: bool = True, accent: bool = True) -> SearchIndex:
@@ -139,14 +158,17 @@ class SearchIndex:
         return self
 
     def add_many(self, df: DataFrame, doc_id: str) -> SearchIndex:
-        """Documents, whose ids must be new to the index; the texts are read once."""
+        """Documents, whose ids must be new to the index. Texts are counted once, in parts of about _PART bytes by document: a part
+        is sorted by term in a task's memory, and no posting is shuffled. A first pass over the texts gives their size and whether an id comes twice."""
         name = f"{self.folder}/{uuid.uuid4().hex}"
-        text = F.explode(F.array(terms(document(self.fields), self.case, self.accent))).alias("t")
-        base = df.select(F.col(doc_id).cast("long").alias("doc_id"), text).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("term"))
-        each = base.groupBy("term", "doc_id").agg(F.least(F.lit(65535).cast("long"), F.count("*")).alias("tf"), F.first("dl").alias("dl"))
-        each.repartitionByRange("term").sortWithinPartitions("term", "doc_id").select("term", "doc_id", "tf", "dl").write.parquet(f"{name}/postings")
-        self.spark.read.parquet(f"{name}/postings").select("doc_id", "dl").distinct().write.parquet(f"{name}/documents")
-        n, total = self.spark.read.parquet(f"{name}/documents").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        text = document(self.fields).alias("text")
+        docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), text)
+        most, size = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+        docs = docs.repartition(-(-size // self._PART) or 1, "doc_id")
+        each = _counted(_tokens(docs, "doc_id", ["text"], most < 2, self.case, self.accent), heads=True)
+        each.sortWithinPartitions("term", "doc_id").write.parquet(f"{name}/postings")
+        self.spark.read.schema(self._POSTINGS).parquet(f"{name}/postings").where("term is null").select("doc_id", "dl").write.parquet(f"{name}/documents")
+        n, total = self.spark.read.schema(self._DOCS).parquet(f"{name}/documents").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return replace(self, segments=(*self.segments, name), n=self.n + n, total=self.total + total)._published()
 
     def delete(self, ids: DataFrame | Sequence[int]) -> SearchIndex:
@@ -188,7 +210,8 @@ class SearchIndex:
         """One segment, without what is deleted; the old folders can be removed once nobody reads them."""
         name = f"{self.folder}/{uuid.uuid4().hex}"
         live = self._read("postings", self._POSTINGS).join(self._gone(), "doc_id", "left_anti")
-        live.repartitionByRange("term").sortWithinPartitions("term", "doc_id").select("term", "doc_id", "tf", "dl").write.parquet(f"{name}/postings")
+        parts = -(-self._read("postings", self._POSTINGS).count() // self._MANY) or 1
+        live.repartition(parts, "doc_id").sortWithinPartitions("term", "doc_id").select("term", "doc_id", "tf", "dl").write.parquet(f"{name}/postings")
         self.documents().write.parquet(f"{name}/documents")
         n, total = self.spark.read.parquet(f"{name}/documents").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return replace(self, segments=(name,), tombstones=(), n=n, total=total)._published()

@@ -278,3 +278,33 @@ def test_replay_of_many_caches(spark):
     log = spark.createDataFrame([(c, k, i, op, i) for i, (c, k, op) in enumerate(zip(caches, keys, ops, strict=True))], "cache long, key string, seq long, op string, v long")
     got = structures.lru_replay(log.repartition(4), "cache", "key", "seq", "op", 3, "v")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(((c, k, v, r) for c, held in want.items() for r, (k, v) in enumerate(reversed(held.items()))), key=repr)
+
+
+def _plain_postings(rows):
+    from collections import Counter
+
+    texts: dict = {}
+    for i, t in rows:
+        texts.setdefault(i, []).extend((t or "").split())
+    return sorted((w, i, n, len(ws)) for i, ws in texts.items() for w, n in Counter(ws).items())
+
+
+def test_index_is_made_in_parts_by_document(spark, tmp_path, monkeypatch):
+    """No posting goes through a shuffle: a document's are in one file, each file is sorted by term, and no task has much text."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(SearchIndex, "_PART", 300, raising=False)
+    monkeypatch.setattr(SearchIndex, "_MANY", 50, raising=False)
+    rows = [(i, " ".join(f"w{(i * j) % 11}" for j in range(i % 13))) for i in range(90)] + [(200, None)]
+    index = SearchIndex.create(spark, str(tmp_path / "ix"), ["t"]).add_many(spark.createDataFrame(rows, "id long, t string"), "id")
+    more = [(300, "w1 w1 late"), (300, "w2"), (301, "")]
+    both = index.add_many(spark.createDataFrame(more, "id long, t string"), "id")
+    for found, want, files in ((index, rows, 2), (both, rows + more, 2), (both.merged(), rows + more, 2)):
+        assert sorted(map(tuple, found.postings().select("term", "doc_id", "tf", "dl").collect())) == _plain_postings(want)
+        assert sorted((r["doc_id"], r["dl"]) for r in found.documents().collect()) == sorted({i: sum(len((t or "").split()) for k, t in want if k == i) for i, _ in want}.items())
+        assert found.n == len({i for i, _ in want}) == len(found) and found.total == sum(len((t or "").split()) for _, t in want)
+        where = found.postings().select(F.input_file_name().alias("f"), "doc_id", "term").collect()
+        assert len({r["f"] for r in where}) >= files and len({(r["f"], r["doc_id"]) for r in where}) == len({r["doc_id"] for r in where})
+    for part in (tmp_path / "ix").glob("*/postings/*.parquet"):
+        terms = [r["term"] or "" for r in spark.read.parquet(str(part)).collect()]
+        assert terms == sorted(terms)
