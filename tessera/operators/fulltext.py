@@ -98,10 +98,9 @@ def _counted(tokens: DataFrame, heads: bool = False) -> DataFrame:
 
 
 def postings(df: DataFrame, doc_id: str, fields: Sequence[str]) -> DataFrame:
-    """(term, doc_id, tf, dl): an inverted index, to be written sorted by term. tf stops at 65535."""
-    base = df.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(terms(document(fields)))).alias("t"))
-    each = base.select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    return each.groupBy("term", "doc_id").agg(F.least(F.lit(65535).cast("long"), F.count("*")).alias("tf"), F.first("dl").alias("dl"))
+    """(term, doc_id, tf, dl): an inverted index, to be written sorted by term. tf stops at 65535. A first job over the ids alone tells whether one comes twice; if none does, nothing is shuffled."""
+    once = df.groupBy(doc_id).count().where("count > 1").isEmpty()
+    return _counted(_tokens(df, doc_id, fields, once))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:

@@ -289,6 +289,21 @@ def _plain_postings(rows):
     return sorted((w, i, n, len(ws)) for i, ws in texts.items() for w, n in Counter(ws).items())
 
 
+def test_postings_without_a_shuffle(spark):
+    """Counted within each document; rows of one id are one document, with the length of all its rows."""
+    from tessera.operators import fulltext
+
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 9))) for i in range(60)] + [(100, None)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = fulltext.postings(df, "id", ["t"])
+    assert sorted(map(tuple, got.collect())) == _plain_postings(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    rows += [(5, "w1 w1 other"), (5, None), (6, "w0")]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    assert sorted(map(tuple, fulltext.postings(df, "id", ["t"]).collect())) == _plain_postings(rows)
+
+
 def test_index_is_made_in_parts_by_document(spark, tmp_path, monkeypatch):
     """No posting goes through a shuffle: a document's are in one file, each file is sorted by term, and no task has much text."""
     from pyspark.sql import functions as F
