@@ -16,7 +16,7 @@ from ..session import last_of
 
 METRICS = ("cosine", "dot", "l2")
 BLOCK = 50_000  # queries that every task holds at once, about
-_SCORES = 4_000_000  # that a task holds
+_SCORES = 1_000_000  # that a task holds, at 16 bytes each
 TRAIN_MOST = 100_000  # rows that centroids are trained on, about
 
 
@@ -48,6 +48,21 @@ def flat_search(df: DataFrame, query: Sequence[float], k: int, metric: str = "co
     return df.select(F.col(id_col).alias("id"), (-s * s if metric == "l2" else s).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
+def _nearest(q: np.ndarray, who: Sequence[int], x: np.ndarray, k: int, metric: str, most: int) -> Iterator[tuple[Sequence[int], np.ndarray, np.ndarray]]:
+    """(queries, places of their k nearest rows of x, scores) for the queries `who`, in runs of `most` scores, so memory doesn't grow with their number."""
+    step = max(1, most // len(x))
+    for at in range(0, len(who), step):
+        some = who[at : at + step]
+        s = q[some] @ x.T
+        if metric == "l2":
+            s *= 2
+            s -= (x * x).sum(1)[None]
+            s -= (q[some] * q[some]).sum(1)[:, None]
+        np.negative(s, out=s)
+        top = np.argpartition(s, min(k, s.shape[1]) - 1, axis=1)[:, :k].copy()
+        yield some, top, -np.take_along_axis(s, top, 1)
+
+
 def batch_search(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "vec") -> DataFrame:
     """(query_id, id, score): the k nearest for many queries. Each Arrow batch of vectors is multiplied with all queries and keeps its k best, so a scan serves a block of queries and k rows a batch and query are shuffled."""
     blocks = -(-queries.count() // BLOCK)
@@ -75,14 +90,8 @@ def _batch_search(df: DataFrame, queries: DataFrame, k: int, metric: str, id_col
                 continue
             ids = batch.column(0).to_numpy()
             x = unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float32))
-            step = max(1, _SCORES // len(x))
-            for at in range(0, len(q), step):
-                some = q[at : at + step]
-                s = some @ x.T
-                if metric == "l2":
-                    s = 2 * s - (x * x).sum(1)[None] - (some * some).sum(1)[:, None]
-                top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[at : at + step], top.shape[1])), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel().astype(float))], names=["query_id", "id", "score"])
+            for some, top, s in _nearest(q, np.arange(len(q)), x, k, metric, _SCORES):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[some], top.shape[1])), pa.array(ids[top].ravel()), pa.array(s.ravel().astype(float))], names=["query_id", "id", "score"])
 
     return _best_of(df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col)).mapInArrow(best, "query_id long, id long, score double"), k)
 
@@ -244,13 +253,8 @@ class InvertedFile:
                 x = prepared(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
                 for c in np.unique(cell).tolist():
                     own, who = np.flatnonzero(cell == c), by_cell.get(c, ())
-                    for at in range(0, len(who), max(1, _SCORES // len(own))):
-                        some = who[at : at + max(1, _SCORES // len(own))]
-                        s = q[some] @ x[own].T
-                        if metric == "l2":
-                            s = 2 * s - (x[own] ** 2).sum(1)[None] - (q[some] ** 2).sum(1)[:, None]
-                        top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[some], top.shape[1])), pa.array(ids[own][top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["query_id", "id", "score"])
+                    for some, top, s in _nearest(q, who, x[own], k, metric, _SCORES):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[some], top.shape[1])), pa.array(ids[own][top].ravel()), pa.array(s.ravel())], names=["query_id", "id", "score"])
 
         return _best_of(assigned.select("id", "vec", "cell").mapInArrow(best, "query_id long, id long, score double"), k)
 

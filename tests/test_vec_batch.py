@@ -17,3 +17,23 @@ def test_every_row_has_its_neighbours(spark, tmp_path, monkeypatch):
     got = {(r["query_id"], r["id"]) for r in catalogue.QUERIES["vec_batch_all"](spark, str(tmp_path)).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert got == {(i, int(j)) for i, row in enumerate(-u @ u.T) for j in np.argsort(row)[:5]}
+
+
+def test_memory_does_not_grow_with_the_queries():
+    """What a task has while many queries meet the rows of a batch: 50 MB at most; and runs of any length find the same."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    q, x = rng.normal(size=(40_000, 8)), rng.normal(size=(300, 8))
+    who = np.arange(0, len(q), 2)
+    tracemalloc.start()
+    n = sum(len(some) for some, _, _ in vectors._nearest(q, who, x, 5, "cosine", vectors._SCORES))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(who) and peak < 50e6
+    for metric in ("dot", "l2"):
+        s = -(q[who[:50]] @ x.T) if metric == "dot" else ((q[who[:50], None] - x[None]) ** 2).sum(2)
+        for most in (1, 700, 10**6):
+            got = [(i, set(t.tolist()), sorted(v)) for some, top, score in vectors._nearest(q, who[:50], x, 5, metric, most) for i, t, v in zip(some.tolist(), top, score, strict=True)]
+            assert [g[0] for g in got] == who[:50].tolist() and [g[1] for g in got] == [set(r.tolist()) for r in np.argsort(s)[:, :5]]
+            assert np.allclose([g[2] for g in got], -np.sort(s)[:, 4::-1])
